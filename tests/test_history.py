@@ -1,0 +1,247 @@
+import random
+
+import pytest
+from support import ALL_TIME, History, log, rows, table, universe
+
+from commitloom import schemas
+from commitloom.functions import measures
+from commitloom.operators import history, renames
+from commitloom.options import Options
+from pyspark.sql import functions as F
+
+CORE = [("core/", "module", None), ("core/a.py", "file", "core/")]
+WEB = [("web/", "module", None), ("web/b.ts", "file", "web/")]
+
+
+def test_counts_commits_authors_and_newest_instant(spark):
+    got = History(
+        universe(spark, *WEB),
+        log(
+            spark,
+            ("c3", 300, "Ada@x", "web/b.ts"),
+            ("c2", 200, "ben@x", "web/b.ts"),
+            ("c1", 100, "ada@X", "web/b.ts"),
+        ),
+    )
+    assert got.nodes["web/b.ts"] == (1.0, 3, 2, 300)
+    assert got.totals == [(3, 300)]
+
+
+def test_module_counts_a_commit_once(spark):
+    names = ["core/a.py", "core/b.py", "core/c.py"]
+    nodes = [("core/", "module", None)] + [(n, "file", "core/") for n in names]
+    got = History(universe(spark, *nodes), log(spark, ("c", 100, "a", *names)))
+    assert got.nodes["core/"][1] == 1
+    assert got.nodes["core/a.py"][1] == 1
+
+
+def test_rename_carries_history(spark):
+    got = History(
+        universe(spark, ("core/", "module", None), ("core/scoring.py", "file", "core/")),
+        log(
+            spark,
+            ("c3", 300, "a", ("core/score.py", "core/scoring.py")),
+            ("c2", 200, "b", "core/score.py"),
+            ("c1", 100, "a", "core/score.py"),
+        ),
+    )
+    assert got.nodes["core/scoring.py"][1] == 3
+    assert got.warnings == {}
+
+
+def test_churn_is_normalised_per_kind(spark):
+    got = History(
+        universe(spark, *CORE, *WEB),
+        log(
+            spark,
+            ("4", 400, "a", "core/a.py"),
+            ("3", 300, "a", "core/a.py"),
+            ("2", 200, "a", "core/a.py", "web/b.ts"),
+            ("1", 100, "a", "core/a.py", "web/b.ts"),
+        ),
+    )
+    assert [got.nodes[n][0] for n in ("core/a.py", "web/b.ts", "core/", "web/")] == [1, 0.5, 1, 0.5]
+
+
+def test_empty_window_gives_zeros(spark):
+    got = History(universe(spark, *CORE), log(spark, ("c", 1, "a", "core/a.py")),
+                  Options(anchor="2020-01-01T00:00:00Z"))
+    assert set(got.nodes.values()) == {(0.0, 0, 0, None)}
+    assert got.totals == [] and got.pairs == []
+
+
+def test_paths_outside_the_universe_are_counted(spark):
+    got = History(
+        universe(spark, *WEB),
+        log(spark, ("c", 100, "a", "web/b.ts", "node_modules/dep/index.js", "deleted.ts")),
+    )
+    assert got.warnings == {"path-outside-universe": (2, "node_modules/dep/index.js")}
+    assert got.nodes["web/b.ts"][1] == 1
+
+
+def test_unknown_parent_is_counted(spark):
+    got = History(universe(spark, ("web/b.ts", "file", "ghost/")), log(spark, ("c", 1, "a", "web/b.ts")))
+    assert got.warnings == {"unknown-module-parent": (1, "ghost/")}
+
+
+def test_pairs_at_the_threshold(spark):
+    entries = [(f"c{i}", i, "a", "core/a.py", "web/b.ts") for i in (3, 2, 1)]
+    got = History(universe(spark, *CORE, *WEB), log(spark, *entries))
+    assert got.pairs == [("core/", "web/", 3), ("core/a.py", "web/b.ts", 3)]
+    got = History(universe(spark, *CORE, *WEB), log(spark, *entries[:2]))
+    assert got.pairs == []
+
+
+@pytest.mark.parametrize("size", [50, 51])
+def test_bulk_commits_give_no_pairs(spark, size):
+    names = [f"core/f{i:03}.ts" for i in range(size)]
+    nodes = [("core/", "module", None)] + [(n, "file", "core/") for n in names]
+    entries = [(f"bulk{i}", i, "a", *names) for i in (3, 2, 1)]
+    got = History(universe(spark, *nodes), log(spark, *entries))
+    assert got.nodes["core/f000.ts"][1] == 3
+    if size == 50:
+        assert len(got.pairs) == 500 and got.warnings == {}
+    else:
+        assert got.pairs == []
+        assert got.warnings == {"bulk-commit-skipped": (3, "bulk3")}
+
+
+def test_changeless_commit_counts_for_the_repository_only(spark):
+    got = History(universe(spark, *WEB), log(spark, ("m", 400, "a"), ("c", 100, "a", "web/b.ts")))
+    assert got.totals == [(2, 400)]
+    assert got.nodes["web/b.ts"] == (1.0, 1, 1, 100)
+
+
+def test_commit_after_the_anchor_only_renames(spark):
+    got = History(
+        universe(spark, ("new.ts", "file", None)),
+        log(spark, ("after", 900, "late", ("old.ts", "new.ts")), ("in", 100, "a", "old.ts")),
+        Options(anchor="1970-01-01T00:08:20Z", window_days=1),
+    )
+    assert got.nodes["new.ts"] == (1.0, 1, 1, 100)
+    assert got.totals == [(1, 100)] and got.warnings == {}
+
+
+def test_commit_before_the_window_is_not_read(spark):
+    day = 86400
+    got = History(
+        universe(spark, *WEB),
+        log(spark, ("in", 10 * day, "a", "web/b.ts"), ("edge", 5 * day, "b", "web/b.ts"),
+            ("out", 5 * day - 1, "c", "web/b.ts")),
+        Options(anchor="1970-01-11T00:00:00Z", window_days=5),
+    )
+    assert got.nodes["web/b.ts"][1:] == (2, 2, 10 * day)
+
+
+def test_built_repository(spark):
+    at = _seconds
+    nodes = universe(
+        spark,
+        ("core/", "module", None), ("core/scoring.py", "file", "core/"),
+        ("legacy/", "module", None), ("legacy/old.ts", "file", "legacy/"),
+        ("web/", "module", None), ("web/api.ts", "file", "web/"),
+    )
+    entries = [
+        ("7", at("2025-06-30T08:00:00Z"), "ben", "core/scoring.py"),
+        ("6", at("2025-05-20T16:45:00Z"), "cara", "web/api.ts"),
+        ("5", at("2025-04-05T11:15:00Z"), "ada", ("core/score.py", "core/scoring.py")),
+        ("4", at("2025-03-10T14:30:00Z"), "ben", "core/score.py", "web/api.ts"),
+        ("3", at("2025-02-01T09:00:00Z"), "ada", "core/score.py", "web/api.ts"),
+        ("2", at("2024-06-15T10:00:00Z"), "ada", "legacy/old.ts"),
+        ("1", at("2024-03-01T10:00:00Z"), "ada", "legacy/old.ts"),
+    ]
+    got = History(nodes, log(spark, *entries), Options(anchor="2026-01-01T00:00:00Z", window_days=365))
+    newest, web = entries[0][1], entries[1][1]
+    assert got.nodes == {
+        "core/": (1.0, 4, 2, newest), "core/scoring.py": (1.0, 4, 2, newest),
+        "legacy/": (0.0, 0, 0, None), "legacy/old.ts": (0.0, 0, 0, None),
+        "web/": (0.75, 3, 3, web), "web/api.ts": (0.75, 3, 3, web),
+    }
+    assert got.totals == [(5, newest)] and got.pairs == [] and got.warnings == {}
+
+
+def _seconds(instant):
+    from commitloom.options import instant_seconds
+
+    return int(instant_seconds(instant))
+
+
+def test_churn_formula(spark):
+    cases = [(0, 5, 0.0), (5, 0, 0.0), (1, 3, 0.333), (2, 3, 0.667), (9, 4, 1.0), (1, 100000, 0.001)]
+    df = table(spark, cases, "c long, p long, want double")
+    got = df.select(measures.churn(F.col("c"), F.col("p")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+@pytest.mark.parametrize("n", [1, 2, 19, 20, 21, 40, 100])
+def test_p95_is_nearest_rank(spark, n):
+    import math
+
+    values = [(("r"), "file", i * 3 + 1) for i in range(n)]
+    got = history.p95_by_kind(table(spark, values, "repo_id string, kind string, commits long"))
+    assert got.first().p95 == values[math.ceil(0.95 * n) - 1][2]
+
+
+def _walk(entries):
+    """Rename map of a log, kept while walking newest first."""
+    known = {}
+    for _, _, _, *touched in entries:
+        for change in touched:
+            if isinstance(change, tuple) and change[0] not in known:
+                known[change[0]] = known.get(change[1], change[1])
+    return known
+
+
+def test_alias_closure_against_a_walk(spark):
+    rng = random.Random(7)
+    for _ in range(4):
+        entries = [
+            (str(i), 1000 - i, "a", *[
+                (f"p{rng.randrange(12)}", f"p{rng.randrange(12)}") for _ in range(rng.randrange(3))
+            ])
+            for i in range(40)
+        ]
+        _, changes = log(spark, *entries)
+        got = {r.old: r.target for r in renames.aliases(changes).collect()}
+        assert got == _walk(entries)
+
+
+def test_long_chain(spark):
+    entries = [(str(i), 1000 - i, "a", (f"p{i + 1}", f"p{i}")) for i in range(100)]
+    _, changes = log(spark, *entries)
+    got = {r.target for r in renames.aliases(changes).collect()}
+    assert got == {"p0"}
+
+
+def test_repositories_do_not_mix(spark):
+    nodes = universe(spark, *WEB)
+    both = nodes.unionByName(nodes.withColumn("repo_id", F.lit("s")))
+    c1, h1 = log(spark, ("x", 5, "a", "web/b.ts"))
+    c2, h2 = log(spark, ("y", 9, "b", "web/b.ts"), ("z", 8, "c", "web/b.ts"), repo="s")
+    touched = history.resolve_history(both, c1.union(c2), h1.union(h2), ALL_TIME)
+    got = rows(history.node_activity(both, touched).where("kind = 'file'"), "repo_id", "commits", "last_changed_at")
+    assert got == [("r", 1, 5), ("s", 2, 9)]
+
+
+def test_hot_keys_are_split_without_changing_the_result(spark):
+    from commitloom.operators.skew import per_repo_join, spread_join
+
+    left = spark.range(2000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) as k", "id as v")
+    left = left.unionByName(spark.createDataFrame([(None, -1)], "k string, v long"))
+    right = spark.createDataFrame([("hot", 1), ("5", 2), ("zz", 3)], "k string, w int")
+    for how in ("inner", "left"):
+        want = left.join(right, "k", how)
+        got = spread_join(left, right, ["k"], how, spread=["v"], hot_rows=100)
+        assert rows(got, "k", "v", "w") == rows(want, "k", "v", "w")
+        got = per_repo_join(left, right, ["k"], how, spread=["v"])
+        assert rows(got, "k", "v", "w") == rows(want, "k", "v", "w")
+
+
+def test_bad_anchor_is_an_error():
+    with pytest.raises(ValueError):
+        Options(anchor="yesterday")
+
+
+def test_schema_strings_parse(spark):
+    for schema in (schemas.NODES, schemas.EDGES, schemas.DOCUMENT):
+        assert spark.createDataFrame([], schema).columns
