@@ -3,7 +3,7 @@
 Input ``events(series, ts)`` with ``ts`` in whole milliseconds. A series may be
 arbitrarily long, so it is never handled as one group. Equal instants are first
 folded into one row with a count; then a series is cut into time buckets, and a
-bucket of ``BUCKET_MS`` can hold no more than that many rows.
+bucket can hold no more rows than it has milliseconds.
 """
 
 from __future__ import annotations
@@ -15,11 +15,15 @@ SECOND = 1000
 BUCKET_MS = 600_000
 
 
-def _instants(events: DataFrame) -> DataFrame:
+def _bucket_of(ts: str, size: int) -> Column:
+    return F.floor(F.col(ts) / size)
+
+
+def _instants(events: DataFrame, size: int = BUCKET_MS) -> DataFrame:
     return (
         events.groupBy("series", "ts")
         .agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.floor(F.col("ts") / BUCKET_MS))
+        .withColumn("bucket", _bucket_of("ts", size))
     )
 
 
@@ -28,7 +32,7 @@ def _buckets(instants: DataFrame) -> DataFrame:
     ends = instants.groupBy("series", "bucket").agg(
         F.min("ts").alias("first"), F.max("ts").alias("last")
     )
-    # one row per bucket: at most span / BUCKET_MS rows per series
+    # one row per bucket, so a series has few however many events it holds
     in_order = Window.partitionBy("series").orderBy("bucket")
     whole = Window.partitionBy("series")
     return ends.select(
@@ -112,9 +116,10 @@ def worst_second(events: DataFrame, width: int = SECOND) -> DataFrame:
     A window counts what follows its first event within ``width``, and only
     windows that end by the last event count; without one the average is used.
     """
-    instants = _instants(events)
+    size = max(BUCKET_MS, width)
+    instants = _instants(events, size)
     # a bucket also sees the first ``width`` of the next one
-    into_previous = F.col("ts") - F.col("bucket") * BUCKET_MS <= width
+    into_previous = F.col("ts") - F.col("bucket") * size <= width
     seen = instants.select(
         "series", "ts", "n",
         F.explode(
@@ -125,7 +130,7 @@ def worst_second(events: DataFrame, width: int = SECOND) -> DataFrame:
     )
     ahead = Window.partitionBy("series", "bucket").orderBy("ts").rangeBetween(1, width)
     counted = seen.withColumn("following", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    own = counted.where(F.floor(F.col("ts") / BUCKET_MS) == F.col("bucket"))
+    own = counted.where(_bucket_of("ts", size) == F.col("bucket"))
     ends = _buckets(instants).select("series", "bucket", "series_last")
     lows = (
         own.join(ends, ["series", "bucket"])
