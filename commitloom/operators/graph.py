@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitloom.operators.skew import spread_join
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -15,10 +14,8 @@ def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     kinds = nodes.select("repo_id", "id", "kind")
     sources = kinds.select("repo_id", F.col("id").alias("source"), F.col("kind").alias("level"))
     targets = kinds.select("repo_id", F.col("id").alias("target"), F.col("kind").alias("_other"))
-    with_source = spread_join(edges, sources, ["repo_id", "source"], spread=["target"])
-    with_both = spread_join(
-        with_source, targets, ["repo_id", "target"], spread=["source"], profile=edges
-    )
+    with_source = edges.join(sources, ["repo_id", "source"])
+    with_both = with_source.join(targets, ["repo_id", "target"])
     return with_both.where(F.col("level") == F.col("_other")).drop("_other")
 
 
@@ -35,7 +32,7 @@ def members(nodes: DataFrame) -> DataFrame:
     files = nodes.where((F.col("kind") == "file") & F.col("parent").isNotNull()).select(
         "repo_id", F.col("parent").alias("module"), "id"
     )
-    return spread_join(files, modules, ["repo_id", "module"], spread=["id"])
+    return files.join(modules, ["repo_id", "module"])
 
 
 def member_counts(nodes: DataFrame) -> DataFrame:
@@ -54,15 +51,12 @@ def one_hop(foci: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
     ids = nodes.select("repo_id", F.col("id").alias("focus"))
     known = foci.join(ids, ["repo_id", "focus"])
     own = known.select("repo_id", "focus", F.col("focus").alias("id"))
-    hops = spread_join(
-        near.select("repo_id", F.col("id").alias("focus"), F.col("other").alias("id")),
-        known.select("repo_id", "focus"), ["repo_id", "focus"], spread=["id"],
-    )
+    hops = near.select(
+        "repo_id", F.col("id").alias("focus"), F.col("other").alias("id")
+    ).join(known.select("repo_id", "focus"), ["repo_id", "focus"])
     held = members(nodes).withColumnRenamed("module", "focus")
-    inside = spread_join(
-        held, known.where("unfolded").select("repo_id", "focus"),
-        ["repo_id", "focus"], spread=["id"],
-    )
+    unfolded = known.where("unfolded").select("repo_id", "focus")
+    inside = held.join(unfolded, ["repo_id", "focus"])
     return own.unionByName(hops).unionByName(inside).distinct()
 
 
@@ -74,14 +68,12 @@ def scopes(foci: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
     modules = nodes.where(F.col("kind") == "module").select("repo_id", F.col("id").alias("focus"))
     known = foci.select("repo_id", "focus").join(modules, ["repo_id", "focus"])
     own = known.select("repo_id", "focus", F.col("focus").alias("id"))
-    inside = spread_join(
-        members(nodes).withColumnRenamed("module", "focus"), known,
-        ["repo_id", "focus"], spread=["id"],
-    )
+    held = members(nodes).withColumnRenamed("module", "focus")
+    inside = held.join(known, ["repo_id", "focus"])
     beside = near.where(F.col("level") == "module").select(
         "repo_id", F.col("id").alias("focus"), F.col("other").alias("id")
     )
-    around = spread_join(beside, known, ["repo_id", "focus"], spread=["id"])
+    around = beside.join(known, ["repo_id", "focus"])
     return own.unionByName(inside).unionByName(around).distinct()
 
 
@@ -100,9 +92,8 @@ def lift_edges(valid: DataFrame, nodes: DataFrame) -> DataFrame:
         "repo_id", F.col("id").alias(name),
         F.col("top").alias(f"_{name}"), F.col("root").alias(f"_{name}_root"),
     )
-    lifted = spread_join(
-        spread_join(pairs, ends("source"), ["repo_id", "source"], spread=["target"]),
-        ends("target"), ["repo_id", "target"], spread=["source"], profile=pairs,
+    lifted = pairs.join(ends("source"), ["repo_id", "source"]).join(
+        ends("target"), ["repo_id", "target"]
     )
     touching = lifted.where(F.col("_source_root") | F.col("_target_root")).select(
         "repo_id", F.col("_source").alias("source"), F.col("_target").alias("target")
@@ -119,13 +110,8 @@ def filter_layers(
     shown = F.col("layer").isin(*layers)
     kept = nodes.where(shown)
     ids = kept.select("repo_id", "id")
-    half = spread_join(
-        edges, ids.withColumnRenamed("id", "source"), ["repo_id", "source"], spread=["target"]
-    )
-    whole = spread_join(
-        half, ids.withColumnRenamed("id", "target"), ["repo_id", "target"],
-        spread=["source"], profile=edges,
-    )
+    half = edges.join(ids.withColumnRenamed("id", "source"), ["repo_id", "source"])
+    whole = half.join(ids.withColumnRenamed("id", "target"), ["repo_id", "target"])
     hidden = nodes.groupBy("repo_id").agg(
         F.count_if(~shown).alias("hidden"), F.count_if(shown).alias("visible")
     )
@@ -159,14 +145,9 @@ def connected(candidates: DataFrame, near: DataFrame) -> DataFrame:
     neighbour from anybody, so only a module's last member can pull it along.
     """
     ids = candidates.select("repo_id", "id")
-    half = spread_join(
-        near.select("repo_id", "id", "other"), ids, ["repo_id", "id"], spread=["other"]
-    )
+    half = near.select("repo_id", "id", "other").join(ids, ["repo_id", "id"])
     linked = (
-        spread_join(
-            half, ids.withColumnRenamed("id", "other"), ["repo_id", "other"],
-            spread=["id"], profile=near.select("repo_id", "id", "other"),
-        )
+        half.join(ids.withColumnRenamed("id", "other"), ["repo_id", "other"])
         .select("repo_id", "id")
         .distinct()
     )

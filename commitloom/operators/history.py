@@ -47,7 +47,7 @@ def dated_changes(commits: DataFrame, changes: DataFrame, options: Options) -> D
         "repo_id", "seq", "committed_at", "author_email"
     )
     return spread_join(
-        changes, attributes, ["repo_id", "seq"], spread=["path", "pos"]
+        changes, attributes, ["repo_id", "seq"], spread=["path", "pos"], profile=changes
     )
 
 
@@ -61,7 +61,7 @@ def path_dictionary(universe: DataFrame, alias_rows: DataFrame) -> DataFrame:
     modules = universe.where(F.col("kind") == "module").select(
         "repo_id", F.col("id").alias("parent"), F.col("id").alias("module")
     )
-    known = spread_join(files, modules, ["repo_id", "parent"], "left", spread=["path"])
+    known = files.join(modules, ["repo_id", "parent"], "left")
     entry = F.struct("path", "id", "parent", "module")
     own = known.select("repo_id", "path", entry.alias("self"))
     ends = own.select("repo_id", F.col("path").alias("target"), F.col("self").alias("end"))
@@ -79,18 +79,19 @@ def path_dictionary(universe: DataFrame, alias_rows: DataFrame) -> DataFrame:
 
 
 def touches(
-    dated: DataFrame, dictionary: DataFrame, options: Options
+    dated: DataFrame, dictionary: DataFrame, options: Options, changes: DataFrame
 ) -> DataFrame:
     """One row per in-window commit and distinct present-day path.
 
     ``id`` is null outside the universe; ``module`` is null where the parent is
     missing or is no module. ``pos`` is the first position of the path.
+    ``changes`` is the stored table ``dated`` comes from.
     """
     windowed = dated.where(F.col("committed_at") <= options.until).select(
         "repo_id", "seq", "pos", "path", "committed_at", "author_email"
     )
     looked_up = spread_join(
-        windowed, dictionary, ["repo_id", "path"], "left", spread=["seq"]
+        windowed, dictionary, ["repo_id", "path"], "left", spread=["seq"], profile=changes
     )
     # strictly newer: a commit's own renames do not apply to it
     unknown = F.struct(
@@ -120,9 +121,8 @@ def resolve_history(
     rename_rows = dated_changes(
         commits, changes.where(F.col("status") == "R"), options
     )
-    return touches(
-        dated, path_dictionary(universe, renames.aliases(rename_rows)), options
-    )
+    dictionary = path_dictionary(universe, renames.aliases(rename_rows))
+    return touches(dated, dictionary, options, changes)
 
 
 def _activity(rows: DataFrame) -> DataFrame:

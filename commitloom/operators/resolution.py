@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitloom.functions import fixed_values as fv
-from commitloom.operators.skew import spread_join
 from commitloom.operators.warnings import count_warnings, union_warnings
 
 EDGE = "edge"
@@ -39,10 +38,8 @@ def module_edges(file_edge_rows: DataFrame, universe: DataFrame) -> DataFrame:
     sources = parents.select("repo_id", F.col("id").alias("source"), F.col("parent").alias("sm"))
     targets = parents.select("repo_id", F.col("id").alias("target"), F.col("parent").alias("tm"))
     pairs = file_edge_rows.select("repo_id", "source", "target").distinct()
-    with_source = spread_join(pairs, sources, ["repo_id", "source"], spread=["target"])
-    with_both = spread_join(
-        with_source, targets, ["repo_id", "target"], spread=["source"], profile=pairs
-    )
+    with_source = pairs.join(sources, ["repo_id", "source"])
+    with_both = with_source.join(targets, ["repo_id", "target"])
     return (
         with_both.where(F.col("sm") != F.col("tm"))
         .groupBy("repo_id", F.col("sm").alias("source"), F.col("tm").alias("target"))

@@ -13,8 +13,8 @@ from commitloom.functions import fixed_values as fv
 from commitloom.functions import measures
 from commitloom.functions.globs import matches_any
 from commitloom.functions.paths import prefix
-from commitloom.operators.skew import per_repo_join, spread_join
-from commitloom.operators.warnings import count_warnings, union_warnings
+from commitloom.operators.skew import per_repo_join
+from commitloom.operators.warnings import count_warnings
 from commitloom.options import Options
 
 
@@ -186,10 +186,3 @@ def inventory_warnings(inventory: DataFrame) -> DataFrame:
     hits = inventory.withColumn("_code", code).where(F.col("_code").isNotNull())
     return count_warnings(hits, "scan", F.col("_code"), F.col("path"), F.col("path"))
 
-
-__all__ = [
-    "assign_modules", "dominant_folders", "drop_data_blobs", "exclude_paths",
-    "inventory_warnings", "language_map", "language_shares", "measure_files",
-    "module_nodes", "scan_warnings", "spread_join", "top_languages", "totals",
-    "union_warnings", "universe",
-]

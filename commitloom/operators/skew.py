@@ -1,4 +1,10 @@
-"""Joins that stay balanced when one key holds a large part of all rows."""
+"""Joins that stay balanced when one key holds a large part of all rows.
+
+Most joins need nothing here: with the settings of ``session.configure`` Spark
+measures the shuffled partitions and splits the skewed ones. The two joins of
+the raw change table, the largest input, are salted by counted hot keys, and
+tables of a few rows per repository are joined through copies.
+"""
 
 from __future__ import annotations
 
@@ -48,7 +54,7 @@ def spread_join(
     how: str = "inner",
     *,
     spread: Sequence[str],
-    profile: DataFrame | None = None,
+    profile: DataFrame,
     splits: int = SPLITS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -56,9 +62,10 @@ def spread_join(
 
     Left rows of a hot key go to ``splits`` places by the hash of ``spread``;
     the matching right rows are copied there. All other keys keep one place.
-    ``profile`` is a cheaper table with the same key distribution as ``left``.
+    ``profile`` is a stored table with the keys of ``left``; it is scanned once
+    more to count them, so it must be cheap to read.
     """
-    hot = hot_keys(profile if profile is not None else left, on, hot_rows)
+    hot = hot_keys(profile, on, hot_rows)
     # at most HOT_KEYS rows by construction of hot_keys
     flags = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     # null keys match nothing and are spread like a hot key

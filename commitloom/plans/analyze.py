@@ -47,7 +47,8 @@ def resolve_imports(files: DataFrame, universe: DataFrame) -> tuple[DataFrame, D
     listed = universe.where(F.col("kind") == "file").select("repo_id", "path")
     sources = files.join(listed, ["repo_id", "path"], "left_semi")
     python = checkpoint(python_imports.extract(sources))
-    scripts = script_imports.resolve(script_imports.extract(sources), files, universe)
+    specifiers = checkpoint(script_imports.extract(sources))
+    scripts = script_imports.resolve(specifiers, files, universe)
     both = scripts.unionByName(
         python_imports.resolve(python_imports.imports(python), universe)
     )
@@ -63,8 +64,8 @@ def analyze(
 ) -> Analysis:
     """Scan, history and imports of every repository in the input tables.
 
-    Results used by several stages are written once: the measured files, the
-    touched paths and the resolved imports.
+    What several stages use is written once to the checkpoint folder: measured
+    files, universe, touched paths, read and resolved imports.
     """
     measured = checkpoint(
         scan.measure_files(scan.exclude_paths(files, options.excludes), options)
@@ -75,7 +76,7 @@ def analyze(
     resolutions, broken = resolve_imports(files, universe)
     resolutions = checkpoint(resolutions)
 
-    activity = history.with_churn(history.node_activity(universe, touched))
+    activity = history.with_churn(checkpoint(history.node_activity(universe, touched)))
     logged = history.repo_totals(commits, options)
     stats = (
         scan.totals(kept)

@@ -277,7 +277,7 @@ py_imports AS (
 
 def event_ctes(key: str) -> str:
     return f"""
-ev AS (SELECT CAST({key} AS VARCHAR) AS series, epoch_ms(ts) AS ts FROM events),
+ev AS (SELECT CAST({key} AS VARCHAR) AS series, epoch_us(ts) // 1000 AS ts FROM events),
 spans AS (
   SELECT series, count(*) - 1 AS frames, max(ts) - min(ts) AS duration, max(ts) AS final
   FROM ev GROUP BY ALL),
@@ -498,14 +498,14 @@ WHERE code IS NOT NULL GROUP BY ALL"""),
         "SELECT repo_id, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM kept GROUP BY ALL"),
     "language_shares": with_(
         DOCS,
-        """SELECT repo_id, language, CAST(sum(loc) AS BIGINT) AS loc,
-  sum(loc) / sum(sum(loc)) OVER (PARTITION BY repo_id) AS share
-FROM kept GROUP BY ALL HAVING sum(loc) > 0"""),
+        """SELECT repo_id, language, loc, loc / sum(loc) OVER (PARTITION BY repo_id) AS share
+FROM (SELECT repo_id, language, CAST(sum(loc) AS BIGINT) AS loc FROM kept GROUP BY ALL)
+WHERE loc > 0"""),
     "top_languages": with_(
         DOCS + """,
 shares AS (
-  SELECT repo_id, language, sum(loc) / sum(sum(loc)) OVER (PARTITION BY repo_id) AS share
-  FROM kept GROUP BY ALL),
+  SELECT repo_id, language, loc / sum(loc) OVER (PARTITION BY repo_id) AS share
+  FROM (SELECT repo_id, language, sum(loc) AS loc FROM kept GROUP BY ALL)),
 top AS (
   SELECT * FROM shares WHERE share > 0
   QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY share DESC, language) <= 3)""",
@@ -640,11 +640,12 @@ FROM avgs LEFT JOIN q USING (series)"""),
         event_ctes("event_type"), "SELECT series, gap, count(*) AS n FROM gaps GROUP BY ALL"),
     "worst_1s_rate": worst("user_id", 1000),
     "worst_day_rate": worst("event_type", 86_400_000),
-    "display_numbers": f"""WITH v AS (SELECT o_orderkey, floor(o_totalprice) AS v FROM orders)
+    "display_numbers": f"""WITH v AS (
+  SELECT o_orderkey, floor(o_totalprice) AS v, CAST(floor(o_totalprice) AS BIGINT) AS w FROM orders)
 SELECT o_orderkey,
-  CASE WHEN v >= 1000000 THEN printf('%.1f', v / 1000000) || 'm'
-       WHEN v >= 1000 THEN printf('%.1f', v / 1000) || 'k'
-       ELSE CAST(CAST(v AS BIGINT) AS VARCHAR) END AS compact,
+  CASE WHEN v >= 1000000 THEN ((w + 50000) // 1000000) || '.' || (w + 50000) % 1000000 // 100000 || 'm'
+       WHEN v >= 1000 THEN ((w + 50) // 1000) || '.' || (w + 50) % 1000 // 100 || 'k'
+       ELSE CAST(w AS VARCHAR) END AS compact,
   {grouped('v')} AS grouped,
   CASE WHEN v <= 0 THEN '0%' ELSE CAST(floor(least(v / 400000, 1.0) * 100 + 0.5) AS BIGINT) || '%'
   END AS percent,

@@ -34,8 +34,11 @@ def query(function: Callable[[shop.Tables], DataFrame]) -> Callable[[shop.Tables
 
 
 def touched(t: shop.Tables) -> DataFrame:
-    return history.resolve_history(
-        shop.universe(t), shop.commits(t), shop.changes(t), shop.OPTIONS
+    return t.stored(
+        "touched",
+        lambda: history.resolve_history(
+            shop.universe(t), shop.commits(t), shop.changes(t), shop.OPTIONS
+        ),
     )
 
 
@@ -169,7 +172,7 @@ def valid(t: shop.Tables) -> DataFrame:
 
 
 def near(t: shop.Tables) -> DataFrame:
-    return graph.neighbours(valid(t))
+    return t.stored("near", lambda: graph.neighbours(valid(t)))
 
 
 @query
@@ -351,14 +354,20 @@ def universe_nodes(t):
 
 def script_resolutions(t: shop.Tables) -> DataFrame:
     disk = shop.script_files(t)
-    return script_imports.resolve(
-        script_imports.extract(disk), disk, shop.import_universe(t, "ts")
+    found = t.stored("specifiers", lambda: script_imports.extract(disk))
+    return t.stored(
+        "scripts", lambda: script_imports.resolve(found, disk, shop.import_universe(t, "ts"))
     )
 
 
 def python_resolutions(t: shop.Tables) -> DataFrame:
-    found = python_imports.imports(python_imports.extract(shop.python_files(t)))
-    return python_imports.resolve(found, shop.import_universe(t, "py"))
+    return python_imports.resolve(
+        python_imports.imports(python_rows(t)), shop.import_universe(t, "py")
+    )
+
+
+def python_rows(t: shop.Tables) -> DataFrame:
+    return t.stored("python", lambda: python_imports.extract(shop.python_files(t)))
 
 
 @query
@@ -388,9 +397,7 @@ def resolution_rate(t):
 
 @query
 def python_extract(t):
-    return python_imports.extract(shop.python_files(t)).select(
-        "repo_id", "source", "level", "module", "name", "broken"
-    )
+    return python_rows(t).select("repo_id", "source", "level", "module", "name", "broken")
 
 
 @query
@@ -400,11 +407,8 @@ def python_resolve(t):
 
 @query
 def python_warnings(t):
-    extracted = python_imports.extract(shop.python_files(t))
-    resolved = python_imports.resolve(
-        python_imports.imports(extracted), shop.import_universe(t, "py")
-    )
-    return resolution.import_warnings(resolved, python_imports.unparsable(extracted))
+    broken = python_imports.unparsable(python_rows(t))
+    return resolution.import_warnings(python_resolutions(t), broken)
 
 
 @query
@@ -617,7 +621,11 @@ def determinism(t):
 
 
 def _documents(t: shop.Tables) -> DataFrame:
-    """One document per module folder, so the documents grow in number and size."""
+    """Lines of one document per module folder and root file."""
+    return t.stored("lines", lambda: _document_lines(t))
+
+
+def _document_lines(t: shop.Tables) -> DataFrame:
     everything = shop.universe(t)
     folder = F.regexp_replace(F.coalesce("parent", "id"), "/", "")
     split = lambda df: df.withColumn("repo_id", folder)

@@ -7,6 +7,7 @@ is also a small source file with one import; ``events`` are event series.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from commitloom.operators import resolution, scan
 from commitloom.options import Options
-from commitloom.session import configure
+from commitloom.session import checkpoint, configure
 
 REPO = "shop"
 OPTIONS = Options(anchor="2000-07-01T00:00:00Z", window_days=1800)
@@ -39,6 +40,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = configure(spark)
         self.folder = folder
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A result that one query uses several times, computed and written once."""
+        if name not in self._stored:
+            self._stored[name] = checkpoint(make())
+        return self._stored[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -111,7 +119,10 @@ def part_files(t: Tables, extension: str = "ts") -> DataFrame:
 
 
 def universe(t: Tables) -> DataFrame:
-    return scan.universe(part_files(t)).where(F.col("id") != UNDECLARED_MODULE)
+    return t.stored(
+        "universe",
+        lambda: scan.universe(part_files(t)).where(F.col("id") != UNDECLARED_MODULE),
+    )
 
 
 # -------------------------------------------------------------------- edges
@@ -173,7 +184,9 @@ def listed_documents(t: Tables) -> DataFrame:
 
 
 def measured_documents(t: Tables) -> DataFrame:
-    return scan.measure_files(listed_documents(t), SCAN_OPTIONS)
+    return t.stored(
+        "measured", lambda: scan.measure_files(listed_documents(t), SCAN_OPTIONS)
+    )
 
 
 def kept_documents(t: Tables) -> DataFrame:
@@ -243,7 +256,8 @@ def _line_nodes(t: Tables, extension: str) -> DataFrame:
 
 
 def import_universe(t: Tables, extension: str) -> DataFrame:
-    return scan.universe(part_files(t, extension).unionByName(_line_nodes(t, extension)))
+    listed = part_files(t, extension).unionByName(_line_nodes(t, extension))
+    return t.stored(f"universe.{extension}", lambda: scan.universe(listed))
 
 
 def python_files(t: Tables) -> DataFrame:

@@ -76,11 +76,9 @@ def document_lines(
         F.lit(f'{{"schemaVersion":"{fv.SCHEMA_VERSION}","repo":'),
         F.to_json(repo, _KEEP_NULLS), F.lit(',"nodes":['),
     )
+    parts = ((0, head), (2, F.lit('],"edges":[')), (4, F.lit('],"cochanges":[')), (6, F.lit("]}")))
     frame = F.array(
-        F.struct(F.lit(0).alias("section"), head.alias("line")),
-        F.struct(F.lit(2), F.lit('],"edges":[')),
-        F.struct(F.lit(4), F.lit('],"cochanges":[')),
-        F.struct(F.lit(6), F.lit("]}")),
+        *[F.struct(F.lit(n).alias("section"), line.alias("line")) for n, line in parts]
     )
     key = F.struct(zero.alias("n"), blank.alias("a"), blank.alias("b")).alias("key")
     frames = repos.select("repo_id", F.inline(frame)).select(

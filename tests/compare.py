@@ -38,8 +38,10 @@ def normal(columns, rows):
 
 
 def check(spark, db, folder, name, queries, oracles):
+    start = time.time()
     df = queries[name](spark, folder)
     got = normal(df.columns, df.collect())
+    print(f"      {name} spark {time.time() - start:.1f}s", flush=True)
     result = db.execute(oracles[name])
     want = normal([c[0] for c in result.description], result.fetchall())
     return got, want
