@@ -41,6 +41,12 @@ def repo_totals(commits: DataFrame, options: Options) -> DataFrame:
     )
 
 
+def dated_renames(commits: DataFrame, changes: DataFrame, options: Options) -> DataFrame:
+    """The renames of the read part of the log; few rows, so no salt."""
+    read = log_since(commits, options).select("repo_id", "seq")
+    return changes.where(F.col("status") == "R").join(read, ["repo_id", "seq"])
+
+
 def dated_changes(commits: DataFrame, changes: DataFrame, options: Options) -> DataFrame:
     """Changes of the read part of the log with instant and author."""
     attributes = log_since(commits, options).select(
@@ -117,11 +123,8 @@ def resolve_history(
 ) -> DataFrame:
     """Window, renames and universe applied to the log: see :func:`touches`."""
     dated = dated_changes(commits, changes, options)
-    # renames are few: they are picked from the raw table before the wide join
-    rename_rows = dated_changes(
-        commits, changes.where(F.col("status") == "R"), options
-    )
-    dictionary = path_dictionary(universe, renames.aliases(rename_rows))
+    alias_rows = renames.aliases(dated_renames(commits, changes, options))
+    dictionary = path_dictionary(universe, alias_rows)
     return touches(dated, dictionary, options, changes)
 
 

@@ -20,6 +20,8 @@ HOT_KEYS = 1000
 # A key with fewer rows than this fits one task and is left alone.
 HOT_ROWS = 200_000
 SPLITS = 32
+# Part of the rows that is counted to find the hot keys.
+SHARE = 0.01
 
 _SALT = "_salt"
 
@@ -32,15 +34,19 @@ def _all_salts(splits: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(
+    rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, share: float = SHARE
+) -> DataFrame:
     """The heaviest keys: never more than ``HOT_KEYS`` rows, so it may be broadcast.
 
     A key beyond that bound holds less than 1/1000 of the rows and needs no
-    split; it is joined on the ordinary path.
+    split; it is joined on the ordinary path. Counting a share of the rows is
+    enough to find a hot key, and a key that is missed is only not split.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    seen = rows.select(*keys).sample(share, seed=7) if share < 1 else rows
+    counts = seen.groupBy(*keys).agg(F.count("*").alias("_rows"))
     return (
-        counts.where(F.col("_rows") > hot_rows)
+        counts.where(F.col("_rows") > hot_rows * share)
         .orderBy(F.desc("_rows"))
         .limit(HOT_KEYS)
         .select(*keys)
@@ -57,15 +63,16 @@ def spread_join(
     profile: DataFrame,
     splits: int = SPLITS,
     hot_rows: int = HOT_ROWS,
+    share: float = SHARE,
 ) -> DataFrame:
     """Equi-join (inner or left) whose hot left keys are split over tasks.
 
     Left rows of a hot key go to ``splits`` places by the hash of ``spread``;
     the matching right rows are copied there. All other keys keep one place.
-    ``profile`` is a stored table with the keys of ``left``; it is scanned once
-    more to count them, so it must be cheap to read.
+    ``profile`` is a stored table with the keys of ``left``; its key columns are
+    read once more to find the hot ones.
     """
-    hot = hot_keys(profile, on, hot_rows)
+    hot = hot_keys(profile, on, hot_rows, share)
     # at most HOT_KEYS rows by construction of hot_keys
     flags = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     # null keys match nothing and are spread like a hot key

@@ -110,7 +110,7 @@ def window_filter(t):
 
 @query
 def rename_resolve(t):
-    dated = history.dated_changes(shop.commits(t), shop.changes(t), shop.OPTIONS)
+    dated = history.dated_renames(shop.commits(t), shop.changes(t), shop.OPTIONS)
     return renames.aliases(dated)
 
 

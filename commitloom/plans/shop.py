@@ -242,7 +242,7 @@ def script_files(t: Tables) -> DataFrame:
         F.lit(REPO).alias("repo_id"), F.lit("tsconfig.json").alias("path"),
         F.encode(F.lit(config), "UTF-8").alias("content"),
     )
-    return lines.unionByName(parts).unionByName(settings)
+    return t.stored("disk", lambda: lines.unionByName(parts).unionByName(settings))
 
 
 def _line_nodes(t: Tables, extension: str) -> DataFrame:

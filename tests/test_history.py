@@ -231,7 +231,9 @@ def test_hot_keys_are_split_without_changing_the_result(spark):
     right = spark.createDataFrame([("hot", 1), ("5", 2), ("zz", 3)], "k string, w int")
     for how in ("inner", "left"):
         want = left.join(right, "k", how)
-        got = spread_join(left, right, ["k"], how, spread=["v"], hot_rows=100)
+        got = spread_join(
+            left, right, ["k"], how, spread=["v"], profile=left, hot_rows=100, share=1.0
+        )
         assert rows(got, "k", "v", "w") == rows(want, "k", "v", "w")
         got = per_repo_join(left, right, ["k"], how, spread=["v"])
         assert rows(got, "k", "v", "w") == rows(want, "k", "v", "w")
