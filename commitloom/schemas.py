@@ -20,15 +20,15 @@ REPOS = (
     "analyzed_at long, window_days int"
 )
 
-# the JSON document of one repository
+# the JSON document of one repository; JSON numbers are doubles, 3.0 is a whole one
 DOCUMENT = """
 schemaVersion string,
 repo struct<name string, remoteUrl string, analyzedAt string, defaultBranch string,
-  analysisWindowDays long,
-  stats struct<files long, loc long, commits long, languages map<string,double>>>,
+  analysisWindowDays double,
+  stats struct<files double, loc double, commits double, languages map<string,double>>>,
 nodes array<struct<id string, kind string, parent string, path string, layer string,
-  loc long, churn double, commits long, authors long, lastChangedAt string,
+  loc double, churn double, commits double, authors double, lastChangedAt string,
   description string, descriptionSource string>>,
-edges array<struct<source string, target string, kind string, weight long>>,
-cochanges array<struct<a string, b string, count long>>
+edges array<struct<source string, target string, kind string, weight double>>,
+cochanges array<struct<a string, b string, count double>>
 """

@@ -141,7 +141,7 @@ def write_table(table: DataFrame, path: str, *order: str) -> None:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``(repo_id, raw)``: one JSON file per repository, named by the file."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.json)?\z", 1)
     return raw.select(name.alias("repo_id"), F.col("value").alias("raw"))
 
@@ -253,26 +253,29 @@ def document_tables(docs: DataFrame) -> dict[str, DataFrame]:
         .select("repo_id", F.from_json("raw", schemas.DOCUMENT).alias("d"))
     )
     seconds = lambda c: F.unix_timestamp(F.to_timestamp(c))
+    whole = lambda c: F.col(c).cast("long").alias(c.split(".")[-1])
     nodes = parsed.select("repo_id", F.inline("d.nodes")).select(
-        "repo_id", "id", "kind", "parent", "path", "layer", "loc", "churn", "commits",
-        "authors", seconds("lastChangedAt").alias("last_changed_at"),
+        "repo_id", "id", "kind", "parent", "path", "layer", whole("loc"), "churn",
+        whole("commits"), whole("authors"), seconds("lastChangedAt").alias("last_changed_at"),
         "description", F.col("descriptionSource").alias("description_source"),
     )
     kinds = nodes.select("repo_id", F.col("id").alias("a"), "kind")
     pairs = parsed.select("repo_id", F.inline("d.cochanges"))
     return {
         "nodes": nodes,
-        "edges": parsed.select("repo_id", F.inline("d.edges")),
+        "edges": parsed.select("repo_id", F.inline("d.edges")).select(
+            "repo_id", "source", "target", "kind", whole("weight")
+        ),
         "cochanges": pairs.join(kinds, ["repo_id", "a"], "left").select(
-            "repo_id", "kind", "a", "b", "count"
+            "repo_id", "kind", "a", "b", whole("count")
         ),
         "repos": parsed.select(
             "repo_id", F.col("d.repo.name").alias("name"),
             F.col("d.repo.remoteUrl").alias("remote_url"),
             F.col("d.repo.defaultBranch").alias("default_branch"),
             seconds("d.repo.analyzedAt").alias("analyzed_at"),
-            F.col("d.repo.analysisWindowDays").alias("window_days"),
-            "d.repo.stats.files", "d.repo.stats.loc", "d.repo.stats.commits",
+            F.col("d.repo.analysisWindowDays").cast("int").alias("window_days"),
+            *[whole(f"d.repo.stats.{field}") for field in ("files", "loc", "commits")],
             "d.repo.stats.languages",
         ),
     }

@@ -1,95 +1,86 @@
-"""Working trees as tables: ``<root>/<repo_id>/<path>``."""
+"""File trees as tables.
+
+A tree is stored as tar archives, ``<root>/<repo_id>/<number>.tar`` (what ``git
+archive`` or ``tar`` over a checkout write), split by files so that many tasks
+read one repository. Spark's own folder listing would not do: it leaves out
+empty files and every name that starts with ``_`` or ``.``, so a package's
+``__init__.py`` would be missing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import io
+import tarfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitloom.functions import fixed_values as fv
-from commitloom.functions import measures
-from commitloom.operators import scan
-from commitloom.options import Options
+# A larger archive is an error: it would not fit one task.
+MAX_ARCHIVE_BYTES = 1 << 30
+_BATCH_BYTES = 32 * 1024 * 1024
+_COLUMNS = ["repo_id", "path", "entry_kind", "content"]
+_SCHEMA = "repo_id string, path string, entry_kind string, content binary"
+
+
+def _content(tar: tarfile.TarFile, entry: tarfile.TarInfo) -> bytes | None:
+    """Bytes of a file; null for a hard link whose other name is elsewhere."""
+    try:
+        return tar.extractfile(entry).read()
+    except KeyError:
+        return None
 
-# A file above this size is counted line by line over several tasks.
-LARGE_BYTES = 64 * 1024 * 1024
 
+def _entries(archive: bytes) -> Iterator[tuple[str, str, bytes | None]]:
+    """``(path, entry_kind, content)`` of everything that is not a folder."""
+    with tarfile.open(fileobj=io.BytesIO(archive), mode="r:") as tar:
+        for entry in tar:
+            path = entry.name.removeprefix("./")
+            if entry.isreg() or entry.islnk():
+                yield path, "file", _content(tar, entry)
+            elif entry.issym():
+                yield path, "symlink", None
+            elif not entry.isdir():
+                yield path, "other", None
 
-def _located(path: Column, root: str) -> list[Column]:
-    """``repo_id`` and relative ``path`` below the root folder."""
-    marker = root.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
-    below = F.call_function("substr", path, F.instr(path, marker) + len(marker))
-    decoded = F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B")))
-    return [
-        F.substring_index(decoded, "/", 1).alias("repo_id"),
-        F.regexp_replace(decoded, r"\A[^/]*/", "").alias("path"),
-    ]
 
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for repo, archive in zip(batch["repo_id"], batch["content"]):
+            rows, size = [], 0
+            for path, kind, content in _entries(archive):
+                rows.append((repo, path, kind, content))
+                size += len(content or b"")
+                if size > _BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=_COLUMNS)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
-def read_tree(spark: SparkSession, root: str, max_bytes: int = LARGE_BYTES) -> DataFrame:
-    """``files(repo_id, path, content)``; content stays unread where not selected."""
-    raw = (
+
+def read_entries(spark: SparkSession, root: str) -> DataFrame:
+    """``(repo_id, path, entry_kind, content)`` of all archives."""
+    archives = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.tar")
         .load(root)
-        .where(F.col("length") <= max_bytes)
-    )
-    return raw.select(*_located(F.col("path"), root), "content")
-
-
-def measure_large(spark: SparkSession, root: str, options: Options, min_bytes: int) -> DataFrame:
-    """Measures of the files above ``min_bytes``, read in splits of lines.
-
-    Same columns as :func:`commitloom.operators.scan.measure_files`. Only the
-    first split of a file is put in order, to see a NUL byte near its start.
-    """
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("lineSep", "\n")
-        .text(root)
-        .where(F.col("_metadata.file_size") > min_bytes)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("row"),
-            F.col("value").cast("binary").alias("bytes"),
-        )
-    )
-    counts = lines.groupBy("file").agg(
-        F.sum(measures.line_count(F.col("bytes"))).alias("loc")
     )
-    before = (
-        Window.partitionBy("file").orderBy("row")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offset = F.coalesce(F.sum(F.octet_length("bytes") + 1).over(before), F.lit(0))
-    nul = F.locate("\x00", F.decode("bytes", "ISO-8859-1"))
-    binary = (
-        lines.where(F.col("start") == 0)
-        .select("file", offset.alias("offset"), nul.alias("nul"))
-        .where((F.col("nul") > 0) & (F.col("offset") + F.col("nul") <= fv.BINARY_PROBE_BYTES))
-        .select("file", F.lit(True).alias("is_binary"))
-        .distinct()
-    )
-    rows = counts.join(binary, "file", "left").select(
-        *_located(F.col("file"), root), "loc",
-        F.coalesce("is_binary", F.lit(False)).alias("is_binary"),
-    )
-    path = F.col("path")
-    return rows.select(
-        "repo_id", "path",
-        measures.language(path).alias("language"),
-        measures.layer(path, options.layers).alias("layer"),
-        F.when(F.col("is_binary"), 0).otherwise(F.col("loc")).cast("long").alias("loc"),
-        "is_binary", F.lit(False).alias("is_unreadable"),
+    fits = F.assert_true(
+        F.col("length") <= MAX_ARCHIVE_BYTES, F.concat(F.lit("archive too large: "), "path")
     )
+    named = archives.select(
+        F.regexp_extract("path", r"([^/]+)/\d+\.tar\z", 1).alias("repo_id"),
+        "content", fits.alias("_fits"),
+    ).where(F.col("_fits").isNull())
+    return named.select("repo_id", "content").mapInPandas(_read, _SCHEMA)
 
 
-def measure_tree(
-    spark: SparkSession, root: str, options: Options, large_bytes: int = LARGE_BYTES
-) -> DataFrame:
-    """Measured files of a tree after the excludes, whatever their size."""
-    small = scan.exclude_paths(read_tree(spark, root, large_bytes), options.excludes)
-    large = scan.exclude_paths(
-        measure_large(spark, root, options, large_bytes), options.excludes
-    )
-    return scan.measure_files(small, options).unionByName(large)
+def files(entries: DataFrame) -> DataFrame:
+    """Regular files, the input of the scan."""
+    return entries.where(F.col("entry_kind") == "file").select("repo_id", "path", "content")
+
+
+def inventory(entries: DataFrame) -> DataFrame:
+    """All entries without content, for the counts of skipped ones."""
+    return entries.select("repo_id", "path", "entry_kind")
