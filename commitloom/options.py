@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from math import ceil, floor
 
 from commitloom.functions import fixed_values as fv
 
@@ -48,9 +49,9 @@ class Options:
     @property
     def until(self) -> int:
         """Last second of the window, inclusive."""
-        return int(instant_seconds(self.anchor) // 1)
+        return floor(instant_seconds(self.anchor))
 
     @property
-    def since(self) -> float:
-        """First instant of the window, inclusive."""
-        return instant_seconds(self.anchor) - self.window_days * 86400
+    def since(self) -> int:
+        """First second of the window, inclusive."""
+        return ceil(instant_seconds(self.anchor)) - self.window_days * 86400

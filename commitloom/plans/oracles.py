@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from commitloom.functions import fixed_values as fv
 from commitloom.plans import shop
 from commitloom.plans.queries import SEARCHES, SHOWN_LAYERS
@@ -665,6 +667,8 @@ SELECT c_custkey, CASE WHEN k = 5 THEN 'folder' ELSE n END AS name,
 FROM v""",
 }
 
+_ISO_NOW = datetime.fromtimestamp(NOW, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+
 _CUSTOMER_NODES = """
 n AS (
   SELECT 'customers' AS repo_id, 'n' || (c_custkey // 2) AS id,
@@ -759,6 +763,31 @@ WHERE repo_id IN (SELECT repo_id FROM doc_repos)"""),
     "document_order": with_(
         DOC_NODES,
         "SELECT repo_id, id AS path, id AS message FROM doc_nodes WHERE loc < 0"),
+    "document_budget": with_(
+        DOC_NODES + f""",
+pieces AS (
+  SELECT repo_id, 'n' AS section, '{{"id":"' || id || '","kind":"' || kind || '","parent":'
+    || coalesce('"' || parent || '"', 'null') || ',"path":"' || path || '","layer":"' || layer
+    || '","loc":' || loc || ',"churn":0.5,"commits":' || loc || ',"authors":1,"lastChangedAt":'
+    || '"{_ISO_NOW}","description":null,"descriptionSource":null}}' AS line
+  FROM doc_nodes
+  UNION ALL
+  SELECT repo_id, 'e', '{{"source":"' || source || '","target":"' || target
+    || '","kind":"import","weight":1}}'
+  FROM doc_edges WHERE repo_id IN (SELECT repo_id FROM doc_repos)
+  UNION ALL
+  SELECT repo_id, 'frame', '{{"schemaVersion":"1.0","repo":{{"name":"' || repo_id
+    || '","remoteUrl":null,"analyzedAt":"{_ISO_NOW}","defaultBranch":"main",'
+    || '"analysisWindowDays":90,"stats":{{"files":' || count(*) || ',"loc":' || sum(loc)
+    || ',"commits":0,"languages":{{"typescript":1.0}}}}}},"nodes":['
+    || '],"edges":[' || '],"cochanges":[' || ']}}'
+  FROM doc_nodes WHERE kind = 'file' GROUP BY repo_id),
+-- a line break per line, a comma before every element but the first of its list
+sizes AS (
+  SELECT repo_id, CAST(sum(n) AS BIGINT) AS bytes FROM (
+    SELECT repo_id, sum(strlen(line)) + CASE WHEN section = 'frame' THEN 4 ELSE 2 * count(*) - 1 END
+      AS n FROM pieces GROUP BY repo_id, section) GROUP BY repo_id)""",
+        "SELECT repo_id, bytes, bytes <= 10000 AS within_limit FROM sizes"),
     "document_status": """SELECT CAST(event_id AS VARCHAR) AS repo_id, 'malformed' AS status,
   CASE WHEN json_valid(props) THEN 'schemaVersion is missing' ELSE 'not valid JSON' END AS detail
 FROM events""",

@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a skewed join is split even where that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # file contents cross to Python in small batches
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
