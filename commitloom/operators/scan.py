@@ -23,8 +23,11 @@ def exclude_paths(files: DataFrame, globs: tuple[str, ...]) -> DataFrame:
     return files.where(~matches_any(F.col("path"), globs, subtree=True))
 
 
-def measure_files(files: DataFrame, options: Options) -> DataFrame:
-    """Language, layer, line count and the two read outcomes of every file."""
+def measure_files(files: DataFrame, options: Options, **extra: Column) -> DataFrame:
+    """Language, layer, line count and the two read outcomes of every file.
+
+    ``extra`` columns over ``path`` and ``content`` come from the same reading.
+    """
     content = F.col("content")
     binary = F.coalesce(measures.is_binary(content), F.lit(False))
     loc = F.when(F.col("is_binary") | F.col("is_unreadable"), F.lit(0)).otherwise(
@@ -36,6 +39,7 @@ def measure_files(files: DataFrame, options: Options) -> DataFrame:
         "content",
         content.isNull().alias("is_unreadable"),
         binary.alias("is_binary"),
+        *[column.alias(name) for name, column in extra.items()],
     ).select(
         "repo_id",
         "path",
@@ -44,6 +48,7 @@ def measure_files(files: DataFrame, options: Options) -> DataFrame:
         loc.cast("long").alias("loc"),
         "is_binary",
         "is_unreadable",
+        *extra,
     )
 
 

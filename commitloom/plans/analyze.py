@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from commitloom.functions.globs import matches_any
 from commitloom.operators import (
     cochange, history, python_imports, quality, resolution, scan, script_imports,
 )
@@ -42,17 +43,25 @@ def merge_nodes(universe: DataFrame, activity: DataFrame) -> DataFrame:
     )
 
 
-def resolve_imports(files: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Resolutions of both languages, and the files that do not parse."""
-    listed = universe.where(F.col("kind") == "file").select("repo_id", "path")
-    sources = files.join(listed, ["repo_id", "path"], "left_semi")
-    python = checkpoint(python_imports.extract(sources))
-    specifiers = checkpoint(script_imports.extract(sources))
-    scripts = script_imports.resolve(specifiers, files, universe)
-    both = scripts.unionByName(
-        python_imports.resolve(python_imports.imports(python), universe)
+def read_contents(files: DataFrame, options: Options) -> DataFrame:
+    """One pass over the contents: measures, script specifiers, settings files.
+
+    Excluded files stay, as paths only: an import may name them.
+    """
+    path, content = F.col("path"), F.col("content")
+    excluded = matches_any(path, options.excludes, subtree=True)
+    settings = script_imports.is_settings(path)
+    wanted = files.withColumn("excluded", excluded).withColumn(
+        "content", F.when(~F.col("excluded") | settings, content)
+    )
+    return scan.measure_files(
+        wanted, options,
+        excluded=F.col("excluded"),
+        settings=F.when(settings, content),
+        specifiers=F.when(
+            script_imports.is_script(path), script_imports.specifiers_of(content)
+        ),
     )
-    return both, python_imports.unparsable(python)
 
 
 def analyze(
@@ -64,17 +73,26 @@ def analyze(
 ) -> Analysis:
     """Scan, history and imports of every repository in the input tables.
 
-    What several stages use is written once to the checkpoint folder: measured
-    files, universe, touched paths, read and resolved imports.
+    Contents are read twice, once in the JVM and once for Python syntax. What
+    several stages use is written once: measured files, universe, touched
+    paths, read and resolved imports.
     """
-    measured = checkpoint(
-        scan.measure_files(scan.exclude_paths(files, options.excludes), options)
-    )
+    read = checkpoint(read_contents(files, options))
+    listed = read.where(~F.col("excluded"))
+    measured = listed.drop("excluded", "settings", "specifiers")
     kept = scan.drop_data_blobs(measured, options)
     universe = checkpoint(scan.universe(scan.assign_modules(kept)))
     touched = checkpoint(history.resolve_history(universe, commits, changes, options))
-    resolutions, broken = resolve_imports(files, universe)
-    resolutions = checkpoint(resolutions)
+    disk = read.select("repo_id", "path", F.col("settings").alias("content"))
+    python = checkpoint(
+        python_imports.extract(scan.exclude_paths(files, options.excludes))
+    )
+    scripts = script_imports.resolve(
+        script_imports.explode_specifiers(listed), disk, universe
+    )
+    resolutions = checkpoint(
+        scripts.unionByName(python_imports.resolve(python_imports.imports(python), universe))
+    )
 
     activity = history.with_churn(checkpoint(history.node_activity(universe, touched)))
     logged = history.repo_totals(commits, options)
@@ -92,7 +110,7 @@ def analyze(
     warnings = [
         scan.scan_warnings(measured, options),
         history.history_warnings(touched, commits, options),
-        resolution.import_warnings(resolutions, broken),
+        resolution.import_warnings(resolutions, python_imports.unparsable(python)),
     ]
     if inventory is not None:
         warnings.append(scan.inventory_warnings(inventory))

@@ -129,13 +129,18 @@ def universe(t: Tables) -> DataFrame:
 
 
 def import_pairs(t: Tables) -> DataFrame:
-    """Line items that name an existing file: part imports supplier-numbered part."""
-    flagged = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
-    return t.lineitem.where(flagged).select(
+    """Each line item as an import: its part names its supplier-numbered part."""
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    outcome = (
+        F.when(flag == "A", resolution.EXTERNAL)
+        .when((flag == "R") & (status == "O"), resolution.EDGE)
+        .otherwise(resolution.UNRESOLVED)
+    )
+    return t.lineitem.select(
         F.lit(REPO).alias("repo_id"),
         path(F.col("l_partkey")).alias("source"),
         path(F.col("l_suppkey")).alias("target"),
-        F.lit(resolution.EDGE).alias("outcome"),
+        outcome.alias("outcome"),
     )
 
 
