@@ -10,6 +10,6 @@ from commitloom import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    spark = session.build("tests", 8, shuffle_partitions=4)
+    spark = session.build("tests", 8, shuffle_partitions=2)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
