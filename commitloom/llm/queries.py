@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from commitloom.llm import packing, token_files
+from commitloom.llm import decontaminate, license_scan, packing, token_files
 from commitloom.llm.common import new_folder, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -17,6 +17,15 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.checksums(token_files.read_tokens(spark, path))
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, folder, "documents")).drop("spans")
+
+
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.contamination(docs, items)
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), end_id=2)
@@ -24,6 +33,8 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_license_scan": op2_license_scan,
+    "op3_decontamination": op3_decontamination,
     "op5_packing": op5_packing,
 }
 ORACLES: dict[str, str] = {}
