@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from commitloom.llm import decontaminate, license_scan, packing, token_files
+from commitloom.llm import decontaminate, license_scan, packing, simhash_trees, token_files
 from commitloom.llm.common import new_folder, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,10 +31,15 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), end_id=2)
 
 
+def op10_simhash_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_trees.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op5_packing": op5_packing,
+    "op10_simhash_trees": op10_simhash_trees,
 }
 ORACLES: dict[str, str] = {}
