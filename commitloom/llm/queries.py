@@ -5,9 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from commitloom.llm import decontaminate, license_scan, packing, simhash_trees, token_files
+from commitloom.llm import (
+    decontaminate,
+    license_scan,
+    packing,
+    simhash_trees,
+    substrings,
+    token_files,
+)
+from commitloom.llm.oracles import ORACLES
 from commitloom.llm.common import new_folder, table
 
+__all__ = ["ORACLES", "QUERIES"]
+
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -31,6 +41,10 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), end_id=2)
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digests(substrings.repeats(table(spark, folder, "documents")))
+
+
 def op10_simhash_trees(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_trees.near_duplicates(table(spark, folder, "documents"))
 
@@ -40,6 +54,6 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op5_packing": op5_packing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_trees": op10_simhash_trees,
-}
-ORACLES: dict[str, str] = {}
+}
\ No newline at end of file
