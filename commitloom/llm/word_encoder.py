@@ -5,15 +5,18 @@ from __future__ import annotations
 from commitloom.llm.common import worker_state
 
 #: words whose ids one worker remembers in its younger and its older half
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+PUNCTUATION = b".,;:!?$%&*#|"
 
 
-class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+class WordEncoder(dict):
+    """Ids of texts as little-endian unsigned 32-bit bytes; itself the words seen lately.
 
-    ASCII white space ends a word for this tokenizer and leaves no token, so a
-    text's ids are its words' ids in a row. Words seen lately are remembered in
-    two halves: when the younger is full it becomes the older one. What is
+    For a tokenizer that lower-cases, and for which ASCII white space ends a word
+    and leaves no token, a text's ids are its lower-cased words' ids in a row.
+    Where such a tokenizer also splits letters from punctuation, a word of
+    letters and marks is looked up in two parts. Words seen lately are remembered
+    in two halves: when the younger is full it becomes the older one. What is
     remembered never changes a result.
     """
 
@@ -23,34 +26,47 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered, self.young, self.old = remembered, {}, {}
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content.lower().encode() for t in special]
+        self.remembered, self.old = remembered, {}
+        self.lowers = self._encode(b"A B") == self._encode(b"a b")
+        self.splits = self._encode(b"a.") == self._encode(b"a") + self._encode(b".")
 
     def words(self, text: bytes) -> tuple[list[bytes], list[bytes]]:
         """The words of a UTF-8 text, and the ids of each."""
-        words = text.split()
-        ids = list(map(self.young.get, words))
-        if None in ids:
-            known = self._learn({w for w, i in zip(words, ids, strict=True) if i is None})
-            ids = [known[w] if i is None else i for w, i in zip(words, ids, strict=True)]
-        return words, ids
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        folded = text.lower() if self.lowers else text
+        if folded is not text and any(s in folded for s in self.special):
+            folded = text  # the tokenizer tells these strings' case apart
+        words = folded.split()
+        return words, list(map(self.__getitem__, words))
+
+    def _encode(self, word: bytes) -> bytes:
         import numpy as np
 
-        known = {w: self.old[w] for w in words if w in self.old}
-        new = [w for w in words if w not in known]
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            encoded = self.tokenizer.encode_batch_fast(
-                [w.decode() for w in some], add_special_tokens=False
-            )
-            known |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(some, encoded, strict=True)}
-        if len(self.young) + len(known) > self.remembered:
-            self.old, self.young = self.young, {}
-        if len(known) <= self.remembered:
-            self.young.update(known)
-        return known
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            letters = word.rstrip(PUNCTUATION) if self.splits else word
+            if letters != word and _only_letters(letters.decode()):
+                ids = self[letters] + self[word[len(letters) :]]
+            else:
+                ids = self._encode(word)
+        if len(self) >= self.remembered:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+def _only_letters(word: str) -> bool:
+    """Latin letters that stay letters when composed and lower-cased."""
+    import unicodedata
+
+    return max(word, default="") < "\u0250" and unicodedata.normalize("NFC", word).lower().isalpha()
 
 
 def word_encoder(path: str) -> WordEncoder:
