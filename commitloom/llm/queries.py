@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from commitloom.llm import (
     decontaminate,
+    fingerprints,
     license_scan,
     packing,
     simhash_trees,
@@ -41,6 +42,10 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), end_id=2)
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, folder, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digests(substrings.repeats(table(spark, folder, "documents")))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op5_packing": op5_packing,
+    "op7_fingerprints": op7_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_trees": op10_simhash_trees,
 }
\ No newline at end of file
