@@ -9,6 +9,7 @@ from commitloom.llm import (
     decontaminate,
     fingerprints,
     license_scan,
+    lines,
     packing,
     simhash_trees,
     substrings,
@@ -37,6 +38,10 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(docs, items)
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_classes(table(spark, folder, "documents"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), end_id=2)
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op7_fingerprints": op7_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
