@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from commitloom.llm import (
     decontaminate,
     fingerprints,
+    interpolation,
     license_scan,
     lines,
     packing,
@@ -47,6 +48,10 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), end_id=2)
 
 
+def op6_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    return interpolation.score_texts(table(spark, folder, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, folder, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op6_interpolation": op6_interpolation,
     "op7_fingerprints": op7_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_trees": op10_simhash_trees,
