@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from commitloom.llm import (
     decontaminate,
+    factorization,
     fingerprints,
     interpolation,
     license_scan,
@@ -56,6 +57,10 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, folder, "documents"))
 
 
+def op8_factorization(spark: SparkSession, folder: str) -> DataFrame:
+    return factorization.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digests(substrings.repeats(table(spark, folder, "documents")))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_interpolation": op6_interpolation,
     "op7_fingerprints": op7_fingerprints,
+    "op8_factorization": op8_factorization,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_trees": op10_simhash_trees,
 }
\ No newline at end of file
