@@ -17,8 +17,10 @@ ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,25 +62,30 @@ def pack(
     )
 
 
-def best_cuts(places: list[int], costs: list[int], sequence: int) -> list[int]:
+def best_cuts(places: list[int], costs: list[int], sequence: int, last_cost) -> list[int]:
     """Indexes of the cheapest cuts; places ascend from 0, the last is the end.
 
     Neighbouring places lie at most `sequence` apart. The value of a place is the
-    least padding plus cut costs of a division that ends there.
+    least padding plus cut costs of a division that ends there; what the last
+    sequence costs is `last_cost` of its length.
     """
-    came = [0] * len(places)
+    came, values = [0] * len(places), [0] * len(places)
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # value + place, place, index
     push, pop, drop = queue.append, queue.pop, queue.popleft
-    for j in range(1, len(places)):
+    for j in range(1, len(places) - 1):
         place = places[j]
         while queue[0][1] < place - sequence:
             drop()
         best, _, came[j] = queue[0]
         value = best + sequence + costs[j]  # the place itself cancels out
+        values[j] = value - place
         while queue and queue[-1][0] >= value:
             pop()
         push((value, place, j))
-    cuts = [len(places) - 1]
+    end = len(places) - 1
+    near = range(bisect_left(places, places[end] - sequence), end)
+    came[end] = min(near, key=lambda i: values[i] + last_cost(places[end] - places[i]))
+    cuts = [end]
     while cuts[-1]:
         cuts.append(came[cuts[-1]])
     return cuts[::-1]
@@ -93,11 +100,12 @@ def sentence_ends(text: bytes):
         table[list(some)] = True
         return table
 
-    # three bytes before the text, so that a word's end can be looked back from
-    data = np.frombuffer(b"   " + text + b" ", "u1")
+    # blanks before the text, so that a word's end can be looked back from
+    data = np.frombuffer(b"    " + text + b" ", "u1")
     space = holds(SPACE)[data]
     last = np.flatnonzero(~space[:-1] & space[1:])
-    last = np.where(holds(CLOSERS)[data[last]], last - 1, last)
+    for _ in range(2):
+        last = np.where(holds(CLOSERS)[data[last]], last - 1, last)
     wide = data[last].astype("i4") | data[last - 1].astype("i4") << 8 | data[last - 2].astype("i4") << 16
     marks = [int.from_bytes(mark.encode(), "big") for mark in WIDE_MARKS]
     return holds(MARKS)[data[last]] | np.isin(wide, marks)
@@ -150,10 +158,12 @@ class _Stretch:
         costs = np.concatenate([costs, *(np.full(len(e), ELSEWHERE) for e in extra)])
         order = np.argsort(places, kind="stable")
         places, costs = places[order].tolist(), costs[order].tolist()
-        bounds = [places[c] for c in best_cuts(places, costs, sequence)]
-        tail = bounds[-1] - bounds[-2]
+        # what is carried on costs nothing yet
+        last_cost = (lambda length: _tail(length, sequence)[0]) if last else (lambda length: 0)
+        bounds = [places[c] for c in best_cuts(places, costs, sequence, last_cost)]
         if last:
-            bounds[-1:] = _tail(bounds[-2], tail, sequence)
+            start = bounds[-2]
+            bounds[-1:] = [start + end for end in _tail(bounds[-1] - start, sequence)[1]]
         else:
             bounds.pop()
         done = 0
@@ -174,16 +184,13 @@ class _Stretch:
         self.places, self.costs = [places[later] - at], [costs[later]]
 
 
-def _tail(start: int, length: int, sequence: int) -> list[int]:
-    """Ends of the last sequences: powers of two if that is cheaper than padding."""
+def _tail(length: int, sequence: int) -> tuple[int, list[int]]:
+    """Cost and ends of the last sequences: powers of two if that is cheaper than padding."""
     powers = [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
-    if (len(powers) - 1) * ELSEWHERE >= sequence - length:
-        return [start + length]
-    ends = []
-    for power in powers:
-        start += power
-        ends.append(start)
-    return ends
+    cost = (len(powers) - 1) * ELSEWHERE
+    if cost >= sequence - length:
+        return sequence - length, [length]
+    return cost, list(accumulate(powers))
 
 
 def _pack(batches: Iterator, tokenizer: str, end_id: int, sequence: int, stretch: int) -> Iterator:
