@@ -30,7 +30,7 @@ from commitloom.llm.words import folded_words, known_runs
 
 #: words of a passage that counts as a match, the widest gap between two chained
 #: matches, and the share of a template's words that gives its label
-SHORTEST, GAP, COVERAGE = 3, 6, 0.6
+SHORTEST, GAP, COVERAGE = 3, 6, 0.75
 
 
 @dataclass(frozen=True)

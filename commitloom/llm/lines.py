@@ -3,8 +3,9 @@
 Distinct lines get a MinHash signature over all their character shingles: a
 shingle is hashed once, each signature place takes the least value of its own
 mixing of that hash. Bands of signature places are buckets; in each bucket every
-line is held against one line of it, the least by an order that differs from
-band to band, so a bucket of any size gives as many pairs as it has lines, and a
+line is held against two lines of it: the one that occurs most often, of which
+the others tend to be variants, and the least by an order of the bucket's own.
+So a bucket of any size gives at most twice as many pairs as it has lines, and a
 group of like lines meets in several ways. Pairs count only if the exact Jaccard
 similarity of their shingle sets reaches the threshold. Connected lines form a
 component by distributed union-find, and of all places of a component's lines
@@ -55,9 +56,9 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """(id, data): every different line once, as bytes."""
-    lines = places(docs).groupBy("id").agg(F.min("line").alias("line"))
-    return lines.select("id", F.col("line").cast("binary").alias("data"))
+    """(id, data, n): every different line once, as bytes, and how often it occurs."""
+    lines = places(docs).groupBy("id").agg(F.min("line").alias("line"), F.count("*").alias("n"))
+    return lines.select("id", F.col("line").cast("binary").alias("data"), "n")
 
 
 def _shingles(data: Column) -> Column:
@@ -66,32 +67,37 @@ def _shingles(data: Column) -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(id, s0, s1, ...): at each place the shingle hash next to the place's own point.
+    """(id, n, s0, s1, ...): at each place the shingle hash next to the place's own point.
 
     Of the hashes combined with a drawn point by exclusive or the least one is as
     likely to be any shingle's, and two sets agree in it with the probability of
     their Jaccard similarity.
     """
-    starts = lines.select("id", "data", F.explode(_shingles(F.col("data"))).alias("start"))
-    hashes = starts.select("id", F.xxhash64(F.substring("data", F.col("start"), F.lit(SHINGLE))).alias("h"))
-    short = hashes.select("id", F.shiftright("h", 32).cast("int").alias("h"))
+    starts = lines.select("id", "n", "data", F.explode(_shingles(F.col("data"))).alias("start"))
+    hashes = starts.select("id", "n", F.xxhash64(F.substring("data", F.col("start"), F.lit(SHINGLE))).alias("h"))
+    short = hashes.select("id", "n", F.shiftright("h", 32).cast("int").alias("h"))
     rng = random.Random(4)
     points = [rng.getrandbits(32) - (1 << 31) for _ in range(ROWS * BANDS)]
     return short.groupBy("id").agg(
-        *(F.min(F.col("h").bitwiseXOR(F.lit(point))).alias(f"s{k}") for k, point in enumerate(points))
+        F.max("n").alias("n"),
+        *(F.min(F.col("h").bitwiseXOR(F.lit(point))).alias(f"s{k}") for k, point in enumerate(points)),
     )
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """(a, b): each line of a bucket with the line the bucket has chosen."""
+    """(a, b): each line of a bucket with the two lines the bucket has chosen."""
     bands = F.array(*(
         F.xxhash64(F.lit(band), *(f"s{band * ROWS + row}" for row in range(ROWS))) for band in range(BANDS)
     ))
-    rows = signed.select(F.explode(bands).alias("bucket"), "id").repartition("bucket")
+    rows = signed.select(F.explode(bands).alias("bucket"), "id", "n").repartition("bucket")
     chosen = rows.groupBy("bucket").agg(
-        F.min(F.col("id").bitwiseXOR(F.col("bucket"))).alias("least"), F.count("*").alias("n")
-    ).where("n > 1").select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("other"))
-    pairs = rows.join(chosen, "bucket").where("id <> other")
+        F.max(F.struct("n", "id"))["id"].alias("most"),
+        F.min(F.col("id").bitwiseXOR(F.col("bucket"))).alias("least"),
+        F.count("*").alias("size"),
+    ).where("size > 1").select(
+        "bucket", F.array_distinct(F.array("most", F.col("least").bitwiseXOR(F.col("bucket")))).alias("others")
+    )
+    pairs = rows.join(chosen, "bucket").select("id", F.explode("others").alias("other")).where("id <> other")
     return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
 
 

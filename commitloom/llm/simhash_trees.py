@@ -15,8 +15,8 @@ drawn bit positions then find a link with the probability `recall` states.
 
 Defined cases: null and wordless texts have fingerprint zero and are linked like
 any other; a text shorter than a shingle is one shingle; rows under one id are
-one document; a null id forms no link of its own and takes its fingerprint's
-component; an empty table gives an empty one; other columns are kept by
+judged each by its own text; a null id forms no link of its own and takes its
+fingerprint's component; an empty table gives an empty one; other columns are kept by
 `keep_one` and ignored elsewhere.
 """
 
@@ -193,8 +193,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_one(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     """The documents without near-duplicates: the least id of each component stays.
 
-    Rows without an id are kept; rows under one id stay or go together.
+    Rows without an id are kept; an id goes if all its rows are surplus.
     """
     prints = store(fingerprints(docs, shingle))
-    surplus = prints.join(classes(prints, radius), "print").where("doc_id <> component_id")
-    return docs.join(surplus.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    judged = prints.join(classes(prints, radius), "print").where("doc_id IS NOT NULL")
+    surplus = judged.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"))
+    return docs.join(surplus.where("gone").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)

@@ -41,4 +41,5 @@ def folder():
 @pytest.fixture(scope="session")
 def texts(spark, folder):
     rows = spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect()
-    return [(r.doc_id, r.text) for r in rows]
+    taken = {i for i, _ in AWKWARD}
+    return [(r.doc_id, r.text) for r in rows if r.doc_id not in taken]

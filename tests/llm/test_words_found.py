@@ -20,7 +20,7 @@ LICENSED = [
     (101, "Foo. Released under the MIT License. under the mit license under the MIT license"),
     (102, "Licensed under the Apache License, Version 2.0. CC-BY-NC cc by nc"),
     (103, "see the GNU General Public License, version 3. This work is licensed under the GNU General Public License, version 3"),
-    (104, "under the mit. license version 2 apache license version"),
+    (104, "under the mit like license version 2 apache license version"),
 ]
 
 
@@ -43,7 +43,7 @@ def test_base_places(make, texts):
     assert sorted(have, key=repr) == sorted(want, key=repr)
     labels = {r.doc_id: (r.labels, r.score) for r in got}
     assert labels[103][0] == "gpl-3" and labels[103][1] >= 0.9
-    assert labels[104] == ("", labels[104][1]) and labels[104][1] < 1
+    assert labels[104][0] == "" and labels[104][1] < 1
     assert labels[102][0] == "apache-2,cc-by-nc" and labels[4] == ("", 0.0)
     assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) for r in got if r.base_labels)
 
