@@ -110,14 +110,20 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, tie, places) of the least grams that occur at two places or more."""
+    """(doc, tie, rank, places): places of the least grams that occur twice or more.
+
+    `rank` numbers the documents with such places in their order.
+    """
     grams = _identified(docs).select("doc", "tie", "text").mapInArrow(
         lambda batches: _anchors(batches, window), "gram long, doc long, tie long, place int"
     )
-    repeated = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    return grams.join(repeated, "gram", "left_semi").groupBy("doc", "tie").agg(
+    # written first, so that a gram of many places can be split in the join
+    repeated = store(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    found = grams.join(repeated, "gram", "left_semi").groupBy("doc", "tie").agg(
         F.collect_list("place").alias("places")
     )
+    ordered = found.repartitionByRange("doc", "tie").sortWithinPartitions("doc", "tie")
+    return store(ordered.withColumn("rank", F.monotonically_increasing_id()))
 
 
 def _anchors(batches: Iterator, window: int) -> Iterator:
@@ -145,28 +151,28 @@ def _window_rows(batches: Iterator, window: int) -> Iterator:
 
     for batch in batches:
         rows = []
-        keys = zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "places")), strict=True)
-        for (doc, tie, places), text in zip(keys, binary(batch.column("text")), strict=True):
+        keys = zip(batch.column("rank").to_pylist(), batch.column("places").to_pylist(), strict=True)
+        for (rank, places), text in zip(keys, binary(batch.column("text")), strict=True):
             found = Windows(text, window)
             starts = found.candidates(places)
             if len(starts):
-                full = len(starts)
-                rows.append((found.keys()[starts].view("i8"), np.full(full, doc), np.full(full, tie), starts.astype("i4")))
+                rows.append((found.keys()[starts].view("i8"), np.full(len(starts), rank), starts.astype("i4")))
         if rows:
             columns = [pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "tie", "start"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "rank", "start"])
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the kept words joined by single spaces."""
-    found = store(candidates(docs, window))
+    found = candidates(docs, window)
     texts = _identified(docs)
-    rows = texts.join(found, ["doc", "tie"]).select("doc", "tie", "places", "text").mapInArrow(
-        lambda batches: _window_rows(batches, window), "key long, doc long, tie long, start int"
+    rows = texts.join(found, ["doc", "tie"]).select("rank", "places", "text").mapInArrow(
+        lambda batches: _window_rows(batches, window), "key long, rank long, start int"
     )
-    first = rows.groupBy("key").agg(F.min(F.struct("doc", "tie", "start")).alias("first"))
-    firsts = first.select("first.*").groupBy("doc", "tie").agg(F.collect_list("start").alias("firsts"))
-    whole = texts.join(found, ["doc", "tie"], "left").join(firsts, ["doc", "tie"], "left")
+    first = rows.groupBy("key").agg(F.min(F.struct("rank", "start")).alias("first"))
+    firsts = first.select("first.*").groupBy("rank").agg(F.collect_list("start").alias("firsts"))
+    judged = found.join(firsts, "rank", "left").select("doc", "tie", "places", "firsts")
+    whole = texts.join(judged, ["doc", "tie"], "left")
     return whole.select("doc_id", "text", "places", "firsts").mapInArrow(
         lambda batches: _kept(batches, window), "doc_id long, n_words long, n_removed long, kept string"
     )
