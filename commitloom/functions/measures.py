@@ -39,17 +39,12 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 def language(path: Column) -> Column:
     """File name, else extension, else the name before its first dot."""
-    by_extension = {
-        ext: name
-        for name, exts in fv.EXTENSIONS_BY_LANGUAGE.items()
-        for ext in exts.split()
-    }
     name = basename(path)
-    dotted = F.instr(F.substring(name, 2, 1 << 20), ".") > 0
+    dotted = F.instr(F.call_function("substr", name, F.lit(2)), ".") > 0
     extension = F.lower(F.substring_index(name, ".", -1))
     return F.coalesce(
         _lookup(fv.LANGUAGE_BY_FILENAME, name),
-        F.when(dotted, _lookup(by_extension, extension)),
+        F.when(dotted, _lookup(fv.LANGUAGE_BY_EXTENSION, extension)),
         F.when(dotted, _lookup(fv.LANGUAGE_BY_FILENAME, F.substring_index(name, ".", 1))),
         F.lit(fv.UNKNOWN_LANGUAGE),
     )

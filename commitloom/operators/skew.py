@@ -15,13 +15,11 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys can each hold more than 1/1000 of the rows.
-HOT_KEYS = 1000
-# A key with fewer rows than this fits one task and is left alone.
+from commitloom.session import checkpoint
+
+# What one task may get of a key; a key with more rows is split.
 HOT_ROWS = 200_000
 SPLITS = 32
-# Part of the rows that is counted to find the hot keys.
-SHARE = 0.01
 
 _SALT = "_salt"
 
@@ -34,23 +32,14 @@ def _all_salts(splits: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
 
 
-def hot_keys(
-    rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, share: float = SHARE
-) -> DataFrame:
-    """The heaviest keys: never more than ``HOT_KEYS`` rows, so it may be broadcast.
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every key with more than ``hot_rows`` rows, as a stored table.
 
-    A key beyond that bound holds less than 1/1000 of the rows and needs no
-    split; it is joined on the ordinary path. Counting a share of the rows is
-    enough to find a hot key, and a key that is missed is only not split.
+    Both sides of a join must see the same keys, so they are counted once, in
+    full, and written. The count combines before it shuffles.
     """
-    seen = rows.select(*keys).sample(share, seed=7) if share < 1 else rows
-    counts = seen.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    return (
-        counts.where(F.col("_rows") > hot_rows * share)
-        .orderBy(F.desc("_rows"))
-        .limit(HOT_KEYS)
-        .select(*keys)
-    )
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    return checkpoint(counts.where(F.col("_rows") > hot_rows).select(*keys))
 
 
 def spread_join(
@@ -63,18 +52,16 @@ def spread_join(
     profile: DataFrame,
     splits: int = SPLITS,
     hot_rows: int = HOT_ROWS,
-    share: float = SHARE,
 ) -> DataFrame:
     """Equi-join (inner or left) whose hot left keys are split over tasks.
 
     Left rows of a hot key go to ``splits`` places by the hash of ``spread``;
     the matching right rows are copied there. All other keys keep one place.
     ``profile`` is a stored table with the keys of ``left``; its key columns are
-    read once more to find the hot ones.
+    read once more to find the hot ones. Of n rows at most n / ``hot_rows`` keys
+    are hot; Spark broadcasts them where their written size allows.
     """
-    hot = hot_keys(profile, on, hot_rows, share)
-    # at most HOT_KEYS rows by construction of hot_keys
-    flags = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    flags = hot_keys(profile, on, hot_rows).withColumn("_hot", F.lit(True))
     # null keys match nothing and are spread like a hot key
     apart = reduce(or_, [F.col(key).isNull() for key in on], F.col("_hot"))
     salted_left = (

@@ -342,10 +342,14 @@ doc_nodes AS (
   SELECT replace(coalesce(parent, id), '/', '') AS repo_id, id, kind, parent, path, layer, loc,
     0.5 AS churn, {NOW} AS last_changed_at FROM nodes0),
 doc_repos AS (SELECT DISTINCT repo_id FROM doc_nodes WHERE kind = 'file'),
-""" + EDGE_PAIRS + """,
+""" + EDGE_PAIRS + f""",
 doc_edges AS (
-  SELECT CASE WHEN source LIKE '%/%' THEN split_part(source, '/', 1) ELSE '' END AS repo_id,
-    source, target, 'import' AS kind, 1 AS weight FROM import_pairs)"""
+  SELECT split_part(source, '/', 1) AS repo_id, source, target, 'import' AS kind, 1 AS weight
+  FROM import_pairs),
+doc_pairs AS (
+  SELECT split_part({path('l_partkey')}, '/', 1) AS repo_id, {path('l_partkey')} AS a,
+    {path('l_suppkey')} AS b, count(*) AS count
+  FROM lineitem WHERE {path('l_partkey')} < {path('l_suppkey')} GROUP BY ALL)"""
 
 ORACLES: dict[str, str] = {
     "node_activity": with_(TOUCHED, "SELECT repo_id, id, kind, commits, authors, last_changed_at FROM act"),
@@ -750,19 +754,51 @@ FROM nodes0 GROUP BY repo_id HAVING found <> 2000"""),
     "determinism": with_(
         TOUCHED,
         """SELECT repo_id, id, kind, parent, path, layer, loc, commits, authors, last_changed_at,
-  'left' AS only_in FROM act WHERE false"""),
+  'left' AS only_in FROM act WHERE loc % 25 = 0
+UNION ALL
+SELECT repo_id, id, kind, parent, path, layer, loc, commits + 1, authors, last_changed_at,
+  'right' FROM act WHERE loc % 25 = 0"""),
     "document_roundtrip": with_(
         DOC_NODES,
         """SELECT repo_id, id, kind, parent, layer, loc, churn, last_changed_at FROM doc_nodes
 WHERE repo_id IN (SELECT repo_id FROM doc_repos)"""),
     "document_edges": with_(
         DOC_NODES, "SELECT * FROM doc_edges WHERE repo_id IN (SELECT repo_id FROM doc_repos)"),
-    "document_violations": with_(
-        DOC_NODES,
-        "SELECT repo_id, id AS path, id AS message FROM doc_nodes WHERE loc < 0"),
-    "document_order": with_(
+    "document_cochanges": with_(
         DOC_NODES,
-        "SELECT repo_id, id AS path, id AS message FROM doc_nodes WHERE loc < 0"),
+        """SELECT p.repo_id, n.kind, p.a, p.b, p.count
+FROM doc_pairs p LEFT JOIN doc_nodes n ON n.repo_id = p.repo_id AND n.id = p.a
+WHERE p.repo_id IN (SELECT repo_id FROM doc_repos)"""),
+    "document_violations": "WITH c AS (SELECT *, CAST(c_custkey AS VARCHAR) AS repo_id FROM customer)\n"
+    + " UNION ALL ".join(
+        f"SELECT repo_id, '{place}' AS path, '{message}' AS message FROM c WHERE {broken}"
+        for place, message, broken in (
+            ("/nodes/0/kind", _ENUM, "c_nationkey > 20"),
+            ("/nodes/0/parent", "must have required property ''parent''", "c_nationkey = 13"),
+            ("/nodes/0/path", "must NOT have fewer than 1 characters", "c_nationkey = 3"),
+            ("/nodes/0/layer", _ENUM, "c_mktsegment = 'BUILDING'"),
+            ("/nodes/0/loc", "must be >= 0", "floor(c_acctbal) < 0"),
+            ("/nodes/0/churn", "must be <= 1", "c_nationkey = 4"),
+            ("/nodes/0/commits", "must be integer", "c_nationkey = 6"),
+            ("/nodes/0/authors", "must be integer", "c_nationkey = 8"),
+            ("/nodes/0/lastChangedAt", 'must match format "date-time"', "c_nationkey = 5"),
+            ("/nodes/0/description", "must be null", "c_nationkey = 7"),
+            ("/nodes/0", "must NOT have additional properties", "c_nationkey = 11"),
+            ("/schemaVersion", "must be equal to constant", "c_custkey % 10 = 0"),
+            ("/repo/analysisWindowDays", "must be >= 1", "c_custkey % 9 = 0"),
+            ("/repo/stats/languages/go", "must be <= 1", "c_custkey % 8 = 0"),
+        )
+    ),
+    "document_order": """WITH v AS (
+  SELECT l_orderkey || '-' || l_linenumber AS repo_id, CAST(l_partkey AS VARCHAR) AS p,
+    CAST(l_suppkey AS VARCHAR) AS s, CAST(l_linenumber AS VARCHAR) AS x, CAST(l_linenumber % 3 AS VARCHAR) AS y,
+    CAST(l_quantity AS INTEGER) % 5 AS m, l_linenumber % 5 AS n, l_returnflag AS a, l_linestatus AS b
+  FROM lineitem),
+found AS (
+  SELECT repo_id, '/nodes' AS path FROM v WHERE p > s
+  UNION ALL SELECT repo_id, '/edges' FROM v WHERE x > y OR (x = y AND p > s)
+  UNION ALL SELECT repo_id, '/cochanges' FROM v WHERE m < n OR (m = n AND a > b))
+SELECT repo_id, path, 'must be in stable order' AS message, count(*) AS n FROM found GROUP BY ALL""",
     "document_budget": with_(
         DOC_NODES + f""",
 pieces AS (
@@ -776,6 +812,9 @@ pieces AS (
     || '","kind":"import","weight":1}}'
   FROM doc_edges WHERE repo_id IN (SELECT repo_id FROM doc_repos)
   UNION ALL
+  SELECT repo_id, 'c', '{{"a":"' || a || '","b":"' || b || '","count":' || count || '}}'
+  FROM doc_pairs WHERE repo_id IN (SELECT repo_id FROM doc_repos)
+  UNION ALL
   SELECT repo_id, 'frame', '{{"schemaVersion":"1.0","repo":{{"name":"' || repo_id
     || '","remoteUrl":null,"analyzedAt":"{_ISO_NOW}","defaultBranch":"main",'
     || '"analysisWindowDays":90,"stats":{{"files":' || count(*) || ',"loc":' || sum(loc)
@@ -788,7 +827,14 @@ sizes AS (
     SELECT repo_id, sum(strlen(line)) + CASE WHEN section = 'frame' THEN 4 ELSE 2 * count(*) - 1 END
       AS n FROM pieces GROUP BY repo_id, section) GROUP BY repo_id)""",
         "SELECT repo_id, bytes, bytes <= 10000 AS within_limit FROM sizes"),
-    "document_status": """SELECT CAST(event_id AS VARCHAR) AS repo_id, 'malformed' AS status,
-  CASE WHEN json_valid(props) THEN 'schemaVersion is missing' ELSE 'not valid JSON' END AS detail
-FROM events""",
+    "document_status": """WITH v AS (SELECT CAST(event_id AS VARCHAR) AS repo_id, event_id, props FROM events)
+SELECT repo_id,
+  CASE event_id % 6 WHEN 1 THEN 'ok' WHEN 2 THEN 'unsupported-version' ELSE 'malformed' END AS status,
+  CASE event_id % 6
+    WHEN 0 THEN CASE WHEN json_valid(props) THEN 'schemaVersion is missing' ELSE 'not valid JSON' END
+    WHEN 2 THEN 'schemaVersion is not supported: ' || (event_id % 9 + 2) || '.0'
+    WHEN 3 THEN '`nodes` array is missing'
+    WHEN 4 THEN 'not a node at index 1'
+    WHEN 5 THEN '`repo.stats` is missing' END AS detail
+FROM v""",
 }

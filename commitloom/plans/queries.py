@@ -607,14 +607,15 @@ def run_validity(t):
 
 @query
 def determinism(t):
-    """Two runs over differently partitioned inputs: every difference, none expected."""
+    """Two runs over differently partitioned inputs, one with planted differences."""
     first = history.node_activity(shop.universe(t), touched(t))
     shuffled = history.resolve_history(
         shop.universe(t), shop.commits(t).repartition(3),
         shop.changes(t).repartition(5, "path"), shop.OPTIONS,
     )
     second = history.node_activity(shop.universe(t), shuffled)
-    return quality.differences(first, second)
+    planted = second.withColumn("commits", F.col("commits") + (F.col("loc") % 25 == 0).cast("long"))
+    return quality.differences(first, planted)
 
 
 # ---------------------------------------------------------------- documents
@@ -635,9 +636,8 @@ def _document_lines(t: shop.Tables) -> DataFrame:
             "last_changed_at": F.lit(shop.NOW).cast("long"),
         }
     )
-    imports = resolution.file_edges(shop.import_pairs(t)).withColumn(
-        "repo_id", F.regexp_extract("source", r"\A(?:([^/]+)/|(.*)\z)", 1)
-    )
+    folder_of = F.regexp_extract("source", r"\A[^/]+", 0)  # a root file is a folder of its own
+    imports = resolution.file_edges(shop.import_pairs(t)).withColumn("repo_id", folder_of)
     summary = (
         listed.where(F.col("kind") == "file")
         .groupBy("repo_id")
@@ -652,11 +652,16 @@ def _document_lines(t: shop.Tables) -> DataFrame:
             F.create_map(F.lit("typescript"), F.lit(1.0)).alias("languages"),
         )
     )
-    known = imports.join(summary.select("repo_id"), "repo_id", "left_semi")
-    none = listed.limit(0).select(
-        "repo_id", F.lit("a").alias("a"), F.lit("b").alias("b"), F.lit(1).cast("long").alias("count")
+    kept = summary.select("repo_id")
+    together = (
+        shop.import_pairs(t)
+        .where(F.col("source") < F.col("target"))
+        .groupBy(folder_of.alias("repo_id"), F.col("source").alias("a"), F.col("target").alias("b"))
+        .agg(F.count("*").alias("count"))
+    )
+    return documents.document_lines(
+        summary, listed, imports.join(kept, "repo_id", "left_semi"), together.join(kept, "repo_id", "left_semi")
     )
-    return documents.document_lines(summary, listed, known, none)
 
 
 @query
@@ -674,15 +679,59 @@ def document_edges(t):
     return documents.document_tables(raw)["edges"]
 
 
+@query
+def document_cochanges(t):
+    raw = documents.documents(_documents(t))
+    return documents.document_tables(raw)["cochanges"]
+
+
 @query
 def document_violations(t):
-    """Violations of the written documents: only unlisted parents may be missing."""
-    return quality.validate_documents(documents.documents(_documents(t)))
+    """Documents of one node each, broken in one way or another."""
+    nation, customer = F.col("c_nationkey"), F.col("c_custkey")
+
+    def field(name, value, when=None):
+        stated = F.concat(F.lit(f'"{name}":'), value)
+        return F.when(when, stated) if when is not None else stated
+
+    def quoted(value):
+        return F.concat(F.lit('"'), value, F.lit('"'))
+
+    def either(when, broken, sound):
+        return F.when(when, F.lit(broken)).otherwise(F.lit(sound))
+
+    node = F.concat_ws(
+        ",", field("id", quoted(F.col("c_name"))), field("kind", either(nation > 20, '"folder"', '"file"')),
+        field("parent", F.lit("null"), nation != 13), field("path", either(nation == 3, '""', '"p"')),
+        field("layer", either(F.col("c_mktsegment") == "BUILDING", '"house"', '"other"')),
+        field("loc", F.floor("c_acctbal").cast("string")), field("churn", either(nation == 4, "1.5", "0.5")),
+        field("commits", either(nation == 6, "0.5", "3")), field("authors", either(nation == 8, '"1"', "1")),
+        field("lastChangedAt", either(nation == 5, '"2023-02-29T00:00:00Z"', '"2024-02-29T00:00:00Z"')),
+        field("description", either(nation == 7, '"text"', "null")), field("descriptionSource", F.lit("null")),
+        field("extra", F.lit("1"), nation == 11),
+    )
+    raw = F.concat(
+        F.lit('{"schemaVersion":'), either(customer % 10 == 0, '"2.0"', '"1.0"'),
+        F.lit(',"repo":{"name":"r","remoteUrl":null,"analyzedAt":"2024-01-01T00:00:00Z","defaultBranch":"main",'),
+        field("analysisWindowDays", either(customer % 9 == 0, "0", "90")),
+        F.lit(',"stats":{"files":1,"loc":1,"commits":1,"languages":{"go":'), either(customer % 8 == 0, "1.5", "1"),
+        F.lit('}}},"nodes":[{'), node, F.lit('}],"edges":[],"cochanges":[]}'),
+    )
+    docs = t.customer.select(customer.cast("string").alias("repo_id"), raw.alias("raw"))
+    return quality.validate_documents(docs)
 
 
 @query
 def document_order(t):
-    return quality.document_order(documents.documents(_documents(t)))
+    """Lists of two elements each; about half of them stand in the wrong order."""
+    raw = F.expr(
+        """concat('{"nodes":[{"id":"', l_partkey, '"},{"id":"', l_suppkey, '"}],"edges":[{"source":"',
+        l_linenumber, '","target":"', l_partkey, '"},{"source":"', l_linenumber % 3, '","target":"', l_suppkey,
+        '"}],"cochanges":[{"a":"', l_returnflag, '","b":"x","count":', cast(l_quantity as int) % 5,
+        '},{"a":"', l_linestatus, '","b":"x","count":', l_linenumber % 5, '}]}')"""
+    )
+    docs = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("repo_id"), raw.alias("raw"))
+    return quality.document_order(docs).groupBy("repo_id", "path", "message").agg(F.count("*").alias("n"))
 
 
 @query
@@ -694,6 +743,18 @@ def document_budget(t):
 
 @query
 def document_status(t):
-    """Load status of texts that are hardly ever a document."""
-    docs = t.events.select(F.col("event_id").cast("string").alias("repo_id"), F.col("props").alias("raw"))
+    """Load status of texts that are a document, one of another version, or none."""
+    repo = '"repo":{"name":"r","stats":{"files":1,"loc":1,"commits":1,"languages":{}}}'
+    rest = f'"edges":[],"cochanges":[],{repo}'
+    node = '{"id":"a","kind":"file","path":"a","layer":"other","loc":1,"churn":0}'
+    forms = [
+        F.col("props"),
+        F.lit(f'{{"schemaVersion":"1.7","nodes":[{node}],{rest}}}'),
+        F.concat(F.lit('{"schemaVersion":"'), (F.col("event_id") % 9 + 2).cast("string"), F.lit('.0"}')),
+        F.lit(f'{{"schemaVersion":"1.0",{rest}}}'),
+        F.lit(f'{{"schemaVersion":"1.0","nodes":[{node},{{"id":1}}],{rest}}}'),
+        F.lit('{"schemaVersion":"1.0","nodes":[],"edges":[],"cochanges":[],"repo":{"name":"r"}}'),
+    ]
+    raw = F.element_at(F.array(*forms), (F.col("event_id") % len(forms) + 1).cast("int"))
+    docs = t.events.select(F.col("event_id").cast("string").alias("repo_id"), raw.alias("raw"))
     return documents.load_status(docs).select("repo_id", "status", "detail")

@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A longer chunk is an error: it would not fit one task.
-MAX_CHUNK_BYTES = 256 * 1024 * 1024
+from commitloom.session import checkpoint
+
 _CHUNK_BITS = 32
 _BATCH_ROWS = 50_000
 
@@ -83,16 +83,15 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", "*.log")
         .load(root)
     )
-    fits = F.assert_true(
-        F.col("length") <= MAX_CHUNK_BYTES, F.concat(F.lit("log chunk too long: "), "path")
-    )
+    repo = F.regexp_extract("path", r"([^/]+)/\d+\.log\z", 1)
+    unnamed = F.raise_error(F.concat(F.lit("not named <repo_id>/<number>.log: "), "path"))
     named = chunks.select(
-        F.regexp_extract("path", r"([^/]+)/\d+\.log\z", 1).alias("repo_id"),
-        F.regexp_extract("path", r"(\d+)\.log\z", 1).cast("long").alias("chunk"),
+        F.when(repo != "", repo).otherwise(unnamed).alias("repo_id"),
+        F.regexp_extract("path", r"(\d+)\.log\z", 1).try_cast("long").alias("chunk"),
         "content",
-        fits.alias("_fits"),
-    ).where(F.col("_fits").isNull())
-    return named.select("repo_id", "chunk", "content").mapInPandas(_parse, _SCHEMA)
+    )
+    # commits and changes both read it, so each chunk is parsed once
+    return checkpoint(named.mapInPandas(_parse, _SCHEMA))
 
 
 def commits(log: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,18 +98,15 @@ def document_sizes(lines: DataFrame, limit: int = fv.MAX_DOCUMENT_BYTES) -> Data
     return sizes.withColumn("within_limit", F.col("bytes") <= limit)
 
 
-def documents(lines: DataFrame, limit: int = fv.MAX_DOCUMENT_BYTES) -> DataFrame:
-    """``(repo_id, raw)``, one row per document within the size budget.
+def documents(lines: DataFrame) -> DataFrame:
+    """``(repo_id, raw)``, every document as one text.
 
-    Larger ones exist as lines only (:func:`write_documents` writes both alike);
-    :func:`document_sizes` names them.
+    For readers that need the whole text; :func:`write_documents` writes lines
+    and holds no document in one row. :func:`document_sizes` names the large ones.
     """
-    small = document_sizes(lines, limit).where("within_limit").select("repo_id")
     ordered = F.sort_array(F.collect_list(F.struct("section", "key", "line")))
-    return (
-        lines.join(small, "repo_id", "left_semi")
-        .groupBy("repo_id")
-        .agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("raw"))
+    return lines.groupBy("repo_id").agg(
+        F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("raw")
     )
 
 
@@ -140,10 +140,23 @@ def write_table(table: DataFrame, path: str, *order: str) -> None:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``(repo_id, raw)``: one JSON file per repository, named by the file."""
+    """``(repo_id, raw)`` of a folder of documents.
+
+    A document is a file named by its repository, or a folder ``repo_id=<name>``
+    of part files as :func:`write_documents` leaves it, put together in name order.
+    """
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.json)?\z", 1)
-    return raw.select(name.alias("repo_id"), F.col("value").alias("raw"))
+    file = F.col("_metadata.file_path")
+    folder = F.regexp_extract(file, r"/repo_id=([^/]+)/[^/]+\z", 1)
+    name = F.regexp_extract(file, r"([^/]+?)(?:\.json)?\z", 1)
+    parts = raw.select(
+        F.url_decode(F.when(folder != "", folder).otherwise(name)).alias("repo_id"),
+        F.struct(file.alias("file"), F.col("value").alias("text")).alias("part"),
+    )
+    ordered = F.sort_array(F.collect_list("part"))
+    return parts.groupBy("repo_id").agg(
+        F.array_join(F.transform(ordered, lambda part: part["text"]), "").alias("raw")
+    )
 
 
 def _get(value: Column, path: str, as_type: str = "variant") -> Column:
@@ -166,51 +179,46 @@ def is_type(value: Column, *types: str) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def _first_misshaped(elements: Column, shaped) -> Column:
-    """Index of the first element that fails, null when none does."""
-    index = F.array_position(F.transform(elements, lambda e: ~shaped(e)), True) - 1
-    return F.when(index >= 0, index)
-
-
-def _node_shaped(node: Column) -> Column:
-    return (
-        is_type(_get(node, "id"), "string")
-        & F.coalesce(_get(node, "kind", "string").isin(*fv.KINDS), F.lit(False))
-        & is_type(_get(node, "path"), "string")
-        & is_type(_get(node, "layer"), "string")
-        & is_type(_get(node, "loc"), "number")
-        & is_type(_get(node, "churn"), "number")
-    )
-
-
-def _edge_shaped(edge: Column) -> Column:
-    return is_type(_get(edge, "source"), "string") & is_type(_get(edge, "target"), "string")
+# What a document must have to be read at all: paths in reading order, their JSON
+# types, and for lists the fields of an element.
+_SHAPE = (
+    ("nodes", ("array",), {
+        "id": ("string",), "path": ("string",), "layer": ("string",), "loc": ("number",), "churn": ("number",),
+        "kind": fv.KINDS,
+    }),
+    ("edges", ("array",), {"source": ("string",), "target": ("string",)}),
+    ("cochanges", ("array",), {}),
+    ("repo", ("object",), {}),
+    ("repo.name", ("string",), {}),
+    ("repo.stats", ("object",), {}),
+    ("repo.stats.files", ("number",), {}),
+    ("repo.stats.loc", ("number",), {}),
+    ("repo.stats.commits", ("number",), {}),
+    ("repo.stats.languages", ("object", "array"), {}),
+)
 
 
 def _shape_problem(v: Column) -> Column:
-    def missing(path: str, kind: str) -> Column:
-        return ~is_type(_get(v, path), kind)
-
-    bad_node = _first_misshaped(_get(v, "nodes", "array<variant>"), _node_shaped)
-    bad_edge = _first_misshaped(_get(v, "edges", "array<variant>"), _edge_shaped)
-    problem = (
-        F.when(missing("nodes", "array"), "`nodes` array is missing")
-        .when(bad_node.isNotNull(), F.concat(F.lit("not a node at index "), bad_node.cast("string")))
-        .when(missing("edges", "array"), "`edges` array is missing")
-        .when(bad_edge.isNotNull(), F.concat(F.lit("not an edge at index "), bad_edge.cast("string")))
-        .when(missing("cochanges", "array"), "`cochanges` array is missing")
-        .when(missing("repo", "object"), "`repo` is missing")
-        .when(missing("repo.name", "string"), "`repo.name` is missing")
-        .when(missing("repo.stats", "object"), "`repo.stats` is missing")
-    )
-    for field in ("files", "loc", "commits"):
-        problem = problem.when(
-            missing(f"repo.stats.{field}", "number"), f"`repo.stats.{field}` is missing"
-        )
-    return problem.when(
-        ~is_type(_get(v, "repo.stats.languages"), "object", "array"),
-        "`repo.stats.languages` is missing",
-    )
+    """The first thing that keeps a document from being read, null if nothing does."""
+
+    def fits(element: Column, field: str, allowed: tuple[str, ...]) -> Column:
+        if allowed == fv.KINDS:
+            return F.coalesce(_get(element, field, "string").isin(*allowed), F.lit(False))
+        return is_type(_get(element, field), *allowed)
+
+    problems = []
+    for path, types, fields in _SHAPE:
+        noun = f"`{path}` array" if types == ("array",) else f"`{path}`"
+        problems.append(F.when(~is_type(_get(v, path), *types), f"{noun} is missing"))
+        if fields:
+            article = "a node" if path == "nodes" else "an edge"
+            numbered = F.transform(
+                _get(v, path, "array<variant>"),
+                lambda e, n: F.when(~reduce(and_, [fits(e, f, t) for f, t in fields.items()]), n),  # noqa: B023
+            )
+            first = F.array_min(numbered).cast("string")
+            problems.append(F.concat(F.lit(f"not {article} at index "), first))
+    return F.coalesce(*problems)
 
 
 def version_status(version: Column) -> tuple[Column, Column]:

@@ -17,8 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A larger archive is an error: it would not fit one task.
-MAX_ARCHIVE_BYTES = 1 << 30
 _BATCH_BYTES = 32 * 1024 * 1024
 _COLUMNS = ["repo_id", "path", "entry_kind", "content"]
 _SCHEMA = "repo_id string, path string, entry_kind string, content binary"
@@ -66,14 +64,10 @@ def read_entries(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", "*.tar")
         .load(root)
     )
-    fits = F.assert_true(
-        F.col("length") <= MAX_ARCHIVE_BYTES, F.concat(F.lit("archive too large: "), "path")
-    )
-    named = archives.select(
-        F.regexp_extract("path", r"([^/]+)/\d+\.tar\z", 1).alias("repo_id"),
-        "content", fits.alias("_fits"),
-    ).where(F.col("_fits").isNull())
-    return named.select("repo_id", "content").mapInPandas(_read, _SCHEMA)
+    repo = F.regexp_extract("path", r"([^/]+)/\d+\.tar\z", 1)
+    unnamed = F.raise_error(F.concat(F.lit("not named <repo_id>/<number>.tar: "), "path"))
+    named = archives.select(F.when(repo != "", repo).otherwise(unnamed).alias("repo_id"), "content")
+    return named.mapInPandas(_read, _SCHEMA)
 
 
 def files(entries: DataFrame) -> DataFrame:

@@ -232,7 +232,7 @@ def test_hot_keys_are_split_without_changing_the_result(spark):
     for how in ("inner", "left"):
         want = left.join(right, "k", how)
         got = spread_join(
-            left, right, ["k"], how, spread=["v"], profile=left, hot_rows=100, share=1.0
+            left, right, ["k"], how, spread=["v"], profile=left, hot_rows=100
         )
         assert rows(got, "k", "v", "w") == rows(want, "k", "v", "w")
         got = per_repo_join(left, right, ["k"], how, spread=["v"])

@@ -3,6 +3,7 @@ import json
 import pytest
 from support import files, log, rows, table
 
+from commitloom import schemas
 from commitloom.operators import quality, rates
 from commitloom.options import Options
 from commitloom.plans import analyze
@@ -214,11 +215,12 @@ def test_written_documents(spark, analysed, tmp_path):
     assert rows(tables["cochanges"]) == rows(analysed.cochanges)
     size = documents.document_sizes(lines).first()
     assert size.bytes == len(docs.first().raw) + 1 and size.within_limit
-    assert documents.documents(lines, limit=10).count() == 0
     documents.write_documents(lines, str(tmp_path / "out"))
     parts = sorted((tmp_path / "out" / "repo_id=r").glob("part-*"))
     whole = "".join(p.read_text() for p in parts)
     assert json.loads(whole) == json.loads(docs.first().raw)
+    back = documents.read_documents(spark, str(tmp_path / "out"))
+    assert [(r.repo_id, json.loads(r.raw)) for r in back.collect()] == [("r", json.loads(whole))]
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "demo.json").write_text(whole)
     read = documents.read_documents(spark, str(tmp_path / "in"))
@@ -227,6 +229,24 @@ def test_written_documents(spark, analysed, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "nodes")), "id") == rows(analysed.nodes, "id")
 
 
+def test_large_document_makes_the_round_trip(spark, tmp_path):
+    nodes = spark.range(60_000).selectExpr(
+        "'big' as repo_id", "concat('src/', id, '.ts') as id", "'file' as kind", "cast(null as string) as parent",
+        "concat('src/', id, '.ts') as path", "'other' as layer", "1L as loc", "0.5D as churn", "1L as commits",
+        "1L as authors", "1000L as last_changed_at",
+    )
+    repo = spark.createDataFrame(
+        [("big", "big", None, "main", 1000, 90, 60_000, 1, 1, {"go": 1.0})],
+        schemas.REPOS + ", files long, loc long, commits long, languages map<string,double>",
+    )
+    none = spark.createDataFrame([], schemas.EDGES), spark.createDataFrame([], schemas.COCHANGES)
+    lines = documents.document_lines(repo, nodes, *none)
+    assert not documents.document_sizes(lines).first().within_limit
+    documents.write_documents(lines, str(tmp_path / "out"))
+    back = documents.document_tables(documents.read_documents(spark, str(tmp_path / "out")))["nodes"]
+    assert back.select("id").exceptAll(nodes.select("id")).count() == 0 and back.count() == 60_000
+
+
 def test_enrichment_hook(analysed):
     assert analyze.enrich(analysed, lambda nodes: nodes).nodes.columns == analysed.nodes.columns
     with pytest.raises(ValueError):
