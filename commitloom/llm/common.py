@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -35,6 +36,17 @@ def store(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans nobody holds any more.
+
+    It does so when the driver's JVM collects them, which a driver that makes
+    little garbage does rarely; a job of several phases would keep every phase's
+    files on the executors' disks to its end.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def new_folder(spark: SparkSession) -> str:
     return f"{session.checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
 

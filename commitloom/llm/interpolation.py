@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commitloom.llm.common import binary, store
+from commitloom.llm.common import binary, free, store
 
 FOLDS, SCORED, WEIGHING = 5, 1, 0
 #: tokens of a chunk, but for the rest of its last document
@@ -383,6 +383,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     answers = store(
         requests.repartition("shard").sortWithinPartitions("shard", "kind", "chunk").mapInArrow(_answers, ANSWERS)
     )
+    free(spark)
     counts = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("known", "size", "held_size"))).first()
     known, size, held = counts
     answered = answers.where("chunk IS NOT NULL").groupBy("chunk").agg(

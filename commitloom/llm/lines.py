@@ -26,11 +26,12 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commitloom.llm.common import free, store
 from commitloom.llm.components import components
 
 #: bytes of a shingle; signature places of a band, bands; the least similarity
 SHINGLE, ROWS, BANDS, SIMILAR = 8, 4, 6, 0.8
-BLANK = r"^[ \t\r\x0b\f]*$"
+BLANKS = " \t\r\x0b\f"
 
 
 def recall(similarity: float, rows: int = ROWS, bands: int = BANDS) -> float:
@@ -38,6 +39,10 @@ def recall(similarity: float, rows: int = ROWS, bands: int = BANDS) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
+def _blank(line: Column) -> Column:
+    return F.ltrim(line, F.lit(BLANKS)) == ""
+
+
 def _identified(docs: DataFrame, *others: Column) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"),
@@ -50,7 +55,7 @@ def _identified(docs: DataFrame, *others: Column) -> DataFrame:
 def places(docs: DataFrame) -> DataFrame:
     """(id, line, at) of every line that is not blank; at: document and place."""
     lines = _identified(docs).select("doc", "tie", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    return lines.where(~F.col("line").rlike(BLANK)).select(
+    return lines.where(~_blank(F.col("line"))).select(
         F.xxhash64("line").alias("id"), "line", F.struct("doc", "tie", "place").alias("at")
     )
 
@@ -85,7 +90,7 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """(a, b): each line of a bucket with the two lines the bucket has chosen."""
+    """(a, b, n): each line of a bucket with the two lines the bucket has chosen."""
     bands = F.array(*(
         F.xxhash64(F.lit(band), *(f"s{band * ROWS + row}" for row in range(ROWS))) for band in range(BANDS)
     ))
@@ -97,8 +102,11 @@ def candidates(signed: DataFrame) -> DataFrame:
     ).where("size > 1").select(
         "bucket", F.array_distinct(F.array("most", F.col("least").bitwiseXOR(F.col("bucket")))).alias("others")
     )
-    pairs = rows.join(chosen, "bucket").select("id", F.explode("others").alias("other")).where("id <> other")
-    return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+    pairs = rows.join(chosen, "bucket").select("id", "n", F.explode("others").alias("other")).where("id <> other")
+    # n goes along so that the choice and the join read the same shuffled rows
+    return pairs.groupBy(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).agg(
+        F.max("n").alias("n")
+    )
 
 
 def similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
@@ -112,22 +120,24 @@ def similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
             _shingles(F.col(name)), lambda start: F.xxhash64(F.substring(F.col(name), start, F.lit(SHINGLE)))
         ))
 
-    sets = joined.select("a", "b", hashed("x").alias("x"), hashed("y").alias("y"))
+    sets = joined.select("a", "b", "n", hashed("x").alias("x"), hashed("y").alias("y"))
     counted = sets.select(
-        "a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both")
+        "a", "b", "n", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both")
     )
-    return counted.where(F.col("both") >= similarity * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b")
+    return counted.where(F.col("both") >= similarity * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b", "n")
 
 
 def links(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """(a, b): similar lines by id, enough of them to connect each bucket's alike."""
+    """(a, b, n): similar lines by id, enough of them to connect each bucket's alike."""
     lines = distinct_lines(docs)
-    return similar(candidates(signatures(lines)), lines, similarity)
+    return store(similar(candidates(signatures(lines)), lines, similarity))
 
 
 def kept_places(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     """(doc, tie, kept): the places of the lines each document keeps."""
-    found = components(links(docs, similarity)).withColumnRenamed("node", "id")
+    alike = links(docs, similarity)
+    free(docs.sparkSession)
+    found = components(alike).withColumnRenamed("node", "id")
     first = places(docs).groupBy("id").agg(F.min("at").alias("at"))
     classed = first.select("id", "at.*").join(found, "id", "left")
     grouped = classed.where("component IS NOT NULL").groupBy("component").agg(
@@ -144,7 +154,7 @@ def _with_kept(docs: DataFrame, similarity: float) -> DataFrame:
     lines = F.split("text", "\n", -1)
     kept = F.filter(
         F.transform(lines, lambda line, place: F.struct(line.alias("line"), place.alias("place"))),
-        lambda x: x["line"].rlike(BLANK) | F.array_contains("kept", x["place"]),
+        lambda x: _blank(x["line"]) | F.array_contains("kept", x["place"]),
     )
     listed = joined.select("row", "text", F.size(lines).alias("n_lines"), F.transform(kept, lambda x: x["line"]).alias("kept"))
     return listed.select(

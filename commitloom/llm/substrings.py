@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitloom.llm.common import binary, store
+from commitloom.llm.common import binary, free, store
 from commitloom.llm.suffix_automaton import SuffixAutomaton
 
 WINDOW, GRAM = 20, 8
@@ -165,6 +165,7 @@ def _window_rows(batches: Iterator, window: int) -> Iterator:
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the kept words joined by single spaces."""
     found = candidates(docs, window)
+    free(docs.sparkSession)
     texts = _identified(docs)
     rows = texts.join(found, ["doc", "tie"]).select("rank", "places", "text").mapInArrow(
         lambda batches: _window_rows(batches, window), "key long, rank long, start int"
