@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 SECOND = 1000
 BUCKET_MS = 600_000
+MINUTE_MS = 60_000
 
 
 def _bucket_of(ts: str, size: int) -> Column:
@@ -115,28 +116,47 @@ def worst_second(events: DataFrame, width: int = SECOND) -> DataFrame:
 
     A window counts what follows its first event within ``width``, and only
     windows that end by the last event count; without one the average is used.
+    No group is longer than a minute, however wide the window.
     """
-    size = max(BUCKET_MS, width)
-    instants = _instants(events, size)
-    # a bucket also sees the first ``width`` of the next one
-    into_previous = F.col("ts") - F.col("bucket") * size <= width
-    seen = instants.select(
-        "series", "ts", "n",
-        F.explode(
-            F.when(into_previous, F.array("bucket", F.col("bucket") - 1)).otherwise(
-                F.array("bucket")
-            )
-        ).alias("bucket"),
+    instants = _instants(events, MINUTE_MS)
+    in_bucket = Window.partitionBy("series", "bucket").orderBy("ts")
+    placed = instants.withColumn("within", F.sum("n").over(in_bucket))
+    # a window is the difference of two counts: up to its end, and up to its start
+    ends = placed.select(
+        "series", F.floor((F.col("ts") + width) / MINUTE_MS).alias("bucket"),
+        (F.col("ts") + width).alias("ts"), F.col("bucket").alias("start_bucket"), "within",
+    )
+    whole = Window.partitionBy("series")
+    in_order = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per minute with an event or an end, whatever the events
+    totals = (
+        instants.select("series", "bucket", "n", F.col("ts").alias("last"))
+        .unionByName(ends.select("series", "bucket", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last")))
+        .groupBy("series", "bucket")
+        .agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        .select(
+            "series", "bucket", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("earlier"),
+            F.max("last").over(whole).alias("series_last"),
+        )
+    )
+    marks = instants.select(
+        "series", "bucket", "ts", "n", F.lit(None).cast("long").alias("start_bucket"),
+        F.lit(None).cast("long").alias("start_within"),
+    ).unionByName(ends.select(
+        "series", "bucket", "ts", F.lit(0).cast("long").alias("n"), "start_bucket",
+        F.col("within").alias("start_within"),
+    ))
+    until_end = Window.partitionBy("series", "bucket").orderBy("ts")  # equal instants count
+    counted = marks.withColumn("within", F.sum("n").over(until_end)).where("start_bucket IS NOT NULL")
+    at_end = counted.join(totals, ["series", "bucket"]).where(F.col("ts") <= F.col("series_last"))
+    at_start = totals.select(
+        "series", F.col("bucket").alias("start_bucket"), F.col("earlier").alias("start_earlier")
     )
-    ahead = Window.partitionBy("series", "bucket").orderBy("ts").rangeBetween(1, width)
-    counted = seen.withColumn("following", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    own = counted.where(_bucket_of("ts", size) == F.col("bucket"))
-    ends = _buckets(instants).select("series", "bucket", "series_last")
+    following = F.col("earlier") + F.col("within") - F.col("start_earlier") - F.col("start_within")
     lows = (
-        own.join(ends, ["series", "bucket"])
-        .where(F.col("ts") + width <= F.col("series_last"))
+        at_end.join(at_start, ["series", "start_bucket"])
         .groupBy("series")
-        .agg(F.min("following").alias("lowest"))
+        .agg(F.min(following).alias("lowest"))
     )
     spans = _spans(events)
     return spans.join(lows, "series", "left").select(

@@ -50,7 +50,7 @@ def read_contents(files: DataFrame, options: Options) -> DataFrame:
     """
     path, content = F.col("path"), F.col("content")
     excluded = matches_any(path, options.excludes, subtree=True)
-    settings = script_imports.is_settings(path)
+    settings = script_imports.is_settings(path, content)
     wanted = files.withColumn("excluded", excluded).withColumn(
         "content", F.when(~F.col("excluded") | settings, content)
     )
@@ -61,6 +61,7 @@ def read_contents(files: DataFrame, options: Options) -> DataFrame:
         specifiers=F.when(
             script_imports.is_script(path), script_imports.specifiers_of(content)
         ),
+        unparsable=script_imports.is_script(path) & script_imports.is_unparsable(content),
     )
 
 
@@ -79,7 +80,7 @@ def analyze(
     """
     read = checkpoint(read_contents(files, options))
     listed = read.where(~F.col("excluded"))
-    measured = listed.drop("excluded", "settings", "specifiers")
+    measured = listed.drop("excluded", "settings", "specifiers", "unparsable")
     kept = scan.drop_data_blobs(measured, options)
     universe = checkpoint(scan.universe(scan.assign_modules(kept)))
     touched = checkpoint(history.resolve_history(universe, commits, changes, options))
@@ -107,10 +108,13 @@ def analyze(
             F.coalesce("languages", F.create_map().cast("map<string,double>")).alias("languages"),
         )
     )
+    unparsable = python_imports.unparsable(python).unionByName(
+        listed.where("unparsable").select("repo_id", F.col("path").alias("source"))
+    ).unionByName(script_imports.unreadable_configs(disk))
     warnings = [
         scan.scan_warnings(measured, options),
         history.history_warnings(touched, commits, options),
-        resolution.import_warnings(resolutions, python_imports.unparsable(python)),
+        resolution.import_warnings(resolutions, unparsable),
     ]
     if inventory is not None:
         warnings.append(scan.inventory_warnings(inventory))
@@ -125,10 +129,19 @@ def analyze(
 
 def enrich(analysis: Analysis, hook: Callable[[DataFrame], DataFrame]) -> Analysis:
     """Run a user function over the node table; its result must keep the contract."""
-    nodes = analysis.nodes.transform(hook)
-    if nodes.columns != analysis.nodes.columns:
-        raise ValueError(f"the hook changed the node columns to {nodes.columns}")
+    before = analysis.nodes
+    problem = quality.node_ranges(before).first()
+    if problem is not None:
+        raise ValueError(f"the nodes break the contract: {problem.path} {problem.message}")
+    nodes = checkpoint(before.transform(hook))
+    if nodes.dtypes != before.dtypes:
+        raise ValueError(f"the hook changed the node columns to {nodes.dtypes}")
     problem = quality.node_ranges(nodes).first()
     if problem is not None:
         raise ValueError(f"the hook broke the contract: {problem.path} {problem.message}")
+    # identity is not the hook's to change: the same nodes, each once, with their kind and parent
+    identity = ["repo_id", "id", "kind", "parent"]
+    change = quality.differences(before.select(identity), nodes.select(identity)).first()
+    if change is not None:
+        raise ValueError(f"the hook lost, added or moved a node: {change.repo_id} {change.id}")
     return replace(analysis, nodes=nodes)

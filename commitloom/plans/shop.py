@@ -220,8 +220,18 @@ def specifier() -> Column:
     )
 
 
+# One config a region: the root one extends two, one of them through a third.
+CONFIGS = (
+    ("tsconfig.json", '{ "extends": ["./config/other", "./config/base"], /* own */ "compilerOptions": {}, }'),
+    ("config/base.json", '\ufeff{ "extends": "./deeper/paths.json", "compilerOptions": { "strict": true, // end\n } }'),
+    ("config/deeper/paths.json", '{ "compilerOptions": { "paths": { "@/*": ["../../*"], /* last */ } } }'),
+    ("config/other.json", '{ "compilerOptions": { "paths": { "@/*": ["nowhere/*"] } } }'),
+    ("docs/tsconfig.json", '{ "extends": "./tsconfig.json", "compilerOptions": {} }'),
+)
+
+
 def script_files(t: Tables) -> DataFrame:
-    """All files on disk: one script per line item, the parts, one config."""
+    """All files on disk: one script per line item, the parts, a config per region."""
     spec, form = specifier(), F.col("l_linenumber") % 5
     statement = (
         F.when(form == 0, F.concat(F.lit('import { a, b as c } from "'), spec, F.lit('";')))
@@ -242,10 +252,12 @@ def script_files(t: Tables) -> DataFrame:
         F.lit(REPO).alias("repo_id"), path(F.col("p_partkey")).alias("path"),
         F.encode(F.lit(""), "UTF-8").alias("content"),
     )
-    config = '{ /* aliases */ "compilerOptions": { "paths": { "@/*": ["./*"], } } }'
-    settings = t.region.agg(F.count("*")).select(
-        F.lit(REPO).alias("repo_id"), F.lit("tsconfig.json").alias("path"),
-        F.encode(F.lit(config), "UTF-8").alias("content"),
+    settings = t.region.select(
+        F.lit(REPO).alias("repo_id"),
+        F.get(F.array(*[F.lit(name) for name, _ in CONFIGS]), F.col("r_regionkey")).alias("path"),
+        F.encode(
+            F.get(F.array(*[F.lit(text) for _, text in CONFIGS]), F.col("r_regionkey")), "UTF-8"
+        ).alias("content"),
     )
     return t.stored("disk", lambda: lines.unionByName(parts).unionByName(settings))
 
