@@ -48,7 +48,7 @@ def free(spark: SparkSession) -> None:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{session.checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
+    return f"{session.run_folder(spark)}/llm-{uuid.uuid4().hex}"
 
 
 def text_or_empty(column: str = "text") -> Column:

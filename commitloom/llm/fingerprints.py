@@ -84,7 +84,8 @@ def within(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFr
         rows = prints.select(F.col("print").alias(name), F.posexplode(listed).alias("table", "mask"))
         return rows.select(name, "table", F.col(name).bitwiseAND(F.col("mask")).alias("block"))
 
-    joined = tables(queries, "print").join(tables(index, "found"), ["table", "block"])
+    # Spark's size estimate leaves out the explosion and would broadcast what grows
+    joined = tables(queries, "print").hint("merge").join(tables(index, "found"), ["table", "block"])
     differs = F.col("print").bitwiseXOR(F.col("found"))
     first = F.array_position(
         F.transform(listed, lambda mask: differs.bitwiseAND(mask) == 0), F.lit(True)
