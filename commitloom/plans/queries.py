@@ -47,7 +47,9 @@ def activity(t: shop.Tables) -> DataFrame:
 
 
 def nodes(t: shop.Tables) -> DataFrame:
-    return merge_nodes(shop.universe(t), history.with_churn(activity(t)))
+    """Read several times by most reports, and its activity twice for the percentile."""
+    measured = t.stored("activity", lambda: activity(t))
+    return t.stored("nodes", lambda: merge_nodes(shop.universe(t), history.with_churn(measured)))
 
 
 def pairs(t: shop.Tables) -> DataFrame:
@@ -353,11 +355,15 @@ def universe_nodes(t):
 
 
 def script_resolutions(t: shop.Tables) -> DataFrame:
-    disk = shop.script_files(t)
-    found = t.stored("specifiers", lambda: script_imports.extract(disk))
-    return t.stored(
-        "scripts", lambda: script_imports.resolve(found, disk, shop.import_universe(t, "ts"))
-    )
+    path, content = F.col("path"), F.col("content")
+    # contents are read once; what goes on are paths, specifiers and settings files
+    read = t.stored("read", lambda: shop.script_files(t).select(
+        "repo_id", "path",
+        F.when(script_imports.is_settings(path, content), content).alias("content"),
+        F.when(script_imports.is_script(path), script_imports.specifiers_of(content)).alias("specifiers"),
+    ))
+    found = script_imports.explode_specifiers(read)
+    return script_imports.resolve(found, read.drop("specifiers"), shop.import_universe(t, "ts"))
 
 
 def python_resolutions(t: shop.Tables) -> DataFrame:

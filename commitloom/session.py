@@ -50,12 +50,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediates, below the shared folder."""
+    return f"{checkpoint_dir(spark)}/commitloom-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediates; results still to be read need them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder and go on from the stored table.
 
     The lineage ends there, so a lost executor costs no replay; readers prune
     columns, and joins see the table's real size.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -9,7 +10,12 @@ from commitloom import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--conf spark.ui.showConsoleProgress=false pyspark-shell")
     spark = session.build("tests", 8, shuffle_partitions=2)
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    shared = tmp_path_factory.mktemp("shared")
+    spark.conf.set("spark.checkpoint.dir", str(shared))
+    yield spark
+    session.clear(spark)
+    assert not list(shared.glob("commitloom-*"))
