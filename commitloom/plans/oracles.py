@@ -485,6 +485,34 @@ WHERE s.layer IN ({SHOWN}) AND t.layer IN ({SHOWN})"""),
 WHERE parent IS NOT NULL GROUP BY ALL"""),
     "module_members": with_(EDGES, "SELECT * FROM members"),
     "path_excludes": with_(DOCS, "SELECT repo_id, path FROM listed"),
+    "user_excludes": with_(
+        DOCS,
+        """SELECT repo_id, path FROM listed
+WHERE NOT (path LIKE '%.md' OR path LIKE 'packages/src1/%' OR regexp_matches(path, '^src/(.*/)?deep/'))"""),
+    "language_keys": with_(
+        DOCS,
+        """SELECT repo_id, string_agg(language, ',' ORDER BY language) AS languages
+FROM (SELECT repo_id, language FROM kept GROUP BY ALL HAVING sum(loc) > 0) GROUP BY repo_id"""),
+    "archive_entries": with_(
+        DOCS,
+        """SELECT repo_id, path, 'file' AS entry_kind,
+  md5(CASE WHEN source = 'src5' THEN '\\x00'::BLOB ELSE ''::BLOB END || encode(text)) AS md5 FROM placed
+UNION ALL SELECT repo_id, path || '.link', 'symlink', NULL FROM placed"""),
+    "log_commits": """SELECT 'shop' AS repo_id, 'h' || o_orderkey AS hash,
+  CAST(epoch(o_orderdate) AS BIGINT) AS committed_at, lower('C' || o_custkey || '@X') AS author_email
+FROM orders""",
+    "log_changes": f"""WITH c AS (
+  SELECT l_orderkey, l_linenumber, {path('l_partkey')} AS path,
+    CASE WHEN l_partkey % 10 < 3 AND l_quantity = l_partkey % 10 + 1 THEN 'R' WHEN l_returnflag = 'A' THEN 'A'
+      WHEN l_returnflag = 'R' THEN 'D' ELSE 'M' END AS status, {path('(l_partkey + 1)')} AS next
+  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
+SELECT 'shop' AS repo_id, 'h' || l_orderkey AS hash,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, path, status) - 1 AS pos,
+  status, path, CASE WHEN status = 'R' THEN next END AS old_path
+FROM c""",
+    "enriched_layers": with_(
+        NODES0,
+        "SELECT repo_id, id, kind, CASE WHEN loc < 10 THEN 'other' ELSE layer END AS layer FROM nodes0"),
     "loc_count": with_(DOCS, "SELECT repo_id, path, loc, is_binary FROM measured"),
     "language_detect": with_(DOCS, "SELECT repo_id, path, language FROM measured"),
     "layer_classify": with_(DOCS, "SELECT repo_id, path, layer FROM measured"),

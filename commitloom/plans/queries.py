@@ -14,8 +14,9 @@ from commitloom.operators import (
     scan, script_imports, search,
 )
 from commitloom.plans import shop
-from commitloom.plans.analyze import merge_nodes
-from commitloom.sources import documents
+from commitloom.options import merge_excludes
+from commitloom.plans.analyze import Analysis, enrich, merge_nodes
+from commitloom.sources import commit_log, documents, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -288,6 +289,56 @@ def path_excludes(t):
     return shop.listed_documents(t).select("repo_id", "path")
 
 
+@query
+def user_excludes(t):
+    """The user's globs on top of the default ones."""
+    globs = merge_excludes(shop.SCAN_OPTIONS.excludes, ["**/*.md", "packages/src1"], ["src/**/deep", "**/*.md"])
+    return scan.exclude_paths(shop.document_files(t), globs).select("repo_id", "path")
+
+
+@query
+def language_keys(t):
+    """Keys of the language map, in its order."""
+    shares = scan.language_map(scan.language_shares(shop.kept_documents(t)))
+    return shares.select("repo_id", F.array_join(F.map_keys("languages"), ",").alias("languages"))
+
+
+@query
+def archive_entries(t):
+    """Every document as a tar archive with a file, a folder and a symbolic link, read back."""
+    archives = shop.document_files(t).mapInPandas(shop.archived, "repo_id string, content binary")
+    entries = tree.parse_archives(archives)
+    return entries.select("repo_id", "path", "entry_kind", F.md5("content").alias("md5"))
+
+
+def _parsed_log(t: shop.Tables) -> DataFrame:
+    return t.stored("log", lambda: commit_log.parse_chunks(shop.log_chunks(t)))
+
+
+@query
+def log_commits(t):
+    """Orders exported as a commit log and read back; 64 order keys make a chunk."""
+    return commit_log.commits(_parsed_log(t)).select("repo_id", "hash", "committed_at", "author_email")
+
+
+@query
+def log_changes(t):
+    parsed = _parsed_log(t)
+    hashes = commit_log.commits(parsed).select("repo_id", "seq", "hash")
+    return commit_log.changes(parsed).join(hashes, ["repo_id", "seq"]).select(
+        "repo_id", "hash", "pos", "status", "path", "old_path"
+    )
+
+
+@query
+def enriched_layers(t):
+    """A user's function over the node table; the contract holds before and after it."""
+    whole = nodes(t)
+    analysis = Analysis(whole, shop.edges(t), pairs(t), repos(t), whole.limit(0))
+    small = F.when(F.col("loc") < 10, "other").otherwise(F.col("layer"))
+    return enrich(analysis, lambda n: n.withColumn("layer", small)).nodes.select("repo_id", "id", "kind", "layer")
+
+
 @query
 def loc_count(t):
     return shop.measured_documents(t).select("repo_id", "path", "loc", "is_binary")

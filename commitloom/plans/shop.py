@@ -100,6 +100,31 @@ def changes(t: Tables) -> DataFrame:
     )
 
 
+def log_chunks(t: Tables) -> DataFrame:
+    """The commits and changes as an exported log, in chunks of 64 order keys."""
+    nul = F.lit("\0")
+    change = F.when(
+        F.col("status") == "R", F.concat(F.lit("R100"), nul, F.col("old_path"), nul, F.col("path"), nul)
+    ).otherwise(F.concat("status", nul, F.col("path"), nul))
+    # an order has a handful of lines, a chunk at most 64 orders
+    touched = changes(t).groupBy("repo_id", "seq").agg(F.array_join(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("pos", "path", "status", change.alias("text")))), lambda c: c["text"]
+        ), "",
+    ).alias("changes"))
+    head = F.concat(
+        F.lit("\x1e"), "hash", F.lit("\x1f"), F.col("committed_at").cast("string"), F.lit("\x1f"), "author_email", nul
+    )
+    written = commits(t).join(touched, ["repo_id", "seq"], "left").select(
+        "repo_id", "seq", F.floor(F.col("seq") / 64).alias("chunk"),
+        F.concat(head, F.coalesce("changes", F.lit(""))).alias("text"),
+    )
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda c: c["text"])
+    return written.groupBy("repo_id", "chunk").agg(
+        F.encode(F.array_join(ordered, ""), "UTF-8").alias("content")
+    )
+
+
 def part_files(t: Tables, extension: str = "ts") -> DataFrame:
     """File nodes of the listed parts, with their module id in ``parent``."""
     key, kind = F.col("p_partkey"), F.col("p_type")
@@ -184,6 +209,31 @@ def document_files(t: Tables) -> DataFrame:
     )
 
 
+def archived(batches):
+    """A tar archive for each file row."""
+    import io
+    import tarfile
+
+    import pandas as pd
+
+    for batch in batches:
+        made = []
+        for path, content in zip(batch["path"], batch["content"]):
+            held = io.BytesIO()
+            with tarfile.open(fileobj=held, mode="w") as tar:
+                folder = tarfile.TarInfo("./folder")
+                folder.type = tarfile.DIRTYPE
+                tar.addfile(folder)
+                entry = tarfile.TarInfo("./" + path)
+                entry.size = len(content or b"")
+                tar.addfile(entry, io.BytesIO(content or b""))
+                link = tarfile.TarInfo(path + ".link")
+                link.type, link.linkname = tarfile.SYMTYPE, "elsewhere"
+                tar.addfile(link)
+            made.append(held.getvalue())
+        yield pd.DataFrame({"repo_id": batch["repo_id"], "content": made})
+
+
 def listed_documents(t: Tables) -> DataFrame:
     return scan.exclude_paths(document_files(t), SCAN_OPTIONS.excludes)
 

@@ -90,8 +90,12 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
         F.regexp_extract("path", r"(\d+)\.log\z", 1).try_cast("long").alias("chunk"),
         "content",
     )
-    # commits and changes both read it, so each chunk is parsed once
-    return checkpoint(named.mapInPandas(_parse, _SCHEMA))
+    return parse_chunks(named)
+
+
+def parse_chunks(chunks: DataFrame) -> DataFrame:
+    """The rows of ``(repo_id, chunk, content)``, written once: commits and changes both read them."""
+    return checkpoint(chunks.select("repo_id", "chunk", "content").mapInPandas(_parse, _SCHEMA))
 
 
 def commits(log: DataFrame) -> DataFrame:

@@ -67,7 +67,12 @@ def read_entries(spark: SparkSession, root: str) -> DataFrame:
     repo = F.regexp_extract("path", r"([^/]+)/\d+\.tar\z", 1)
     unnamed = F.raise_error(F.concat(F.lit("not named <repo_id>/<number>.tar: "), "path"))
     named = archives.select(F.when(repo != "", repo).otherwise(unnamed).alias("repo_id"), "content")
-    return named.mapInPandas(_read, _SCHEMA)
+    return parse_archives(named)
+
+
+def parse_archives(archives: DataFrame) -> DataFrame:
+    """The entries of ``(repo_id, content)`` tar archives."""
+    return archives.select("repo_id", "content").mapInPandas(_read, _SCHEMA)
 
 
 def files(entries: DataFrame) -> DataFrame:
