@@ -33,7 +33,7 @@ from commitloom.llm.components import components
 
 SHINGLE, RADIUS = 3, 3
 #: for a radius over three: drawn tables and the bits of each
-TABLES, TABLE_BITS = 40, 14
+TABLES, TABLE_BITS = 60, 14
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
