@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import sys
 import types
 import uuid
 
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,16 @@ def worker_state(name: str, make):
     return getattr(home, name)
 
 
+def send(spark: SparkSession, value) -> Broadcast:
+    """Broadcast a value of this package's classes together with their code."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast):
+    """What was sent, unpacked; once a task."""
+    return pickle.loads(sent.value)
+
+
 def binary(column):
     """An Arrow string column as Python byte strings; null is empty."""
     import pyarrow as pa

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitloom.llm.common import binary, store
+from commitloom.llm.common import binary, received, send, store
 from commitloom.llm.words import FOLD, folded_words, known_runs
 
 WINDOW = 10
@@ -96,11 +96,10 @@ def _shards(items: DataFrame, window: int) -> Iterator:
     ).where(F.length("text") > 0).dropDuplicates()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-2 * total // SHARD_BYTES) if total > SHARD_BYTES else 1
-    context = items.sparkSession.sparkContext
     for shard in range(shards):
         some = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard)
         listed = sorted((r.item, r.text.encode()) for r in some.collect())
-        yield context.broadcast(WindowSet(listed, window))
+        yield send(items.sparkSession, WindowSet(listed, window))
 
 
 def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -116,7 +115,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     schema = found.schema
     for place, windows in enumerate(_shards(items, window)):
         found = store(found) if place else found
-        found = found.mapInArrow(lambda batches, w=windows: _find(batches, w.value), schema)
+        found = found.mapInArrow(lambda batches, w=windows: _find(batches, received(w)), schema)
     return found.drop("text")
 
 
@@ -178,7 +177,7 @@ def remove_items(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     schema = found.schema
     for place, windows in enumerate(_shards(items, window)):
         found = store(found) if place else found
-        found = found.mapInArrow(lambda batches, w=windows: _cut(batches, w.value), schema)
+        found = found.mapInArrow(lambda batches, w=windows: _cut(batches, received(w)), schema)
     kept = found.where(~F.col("cut") | F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
     columns = []
     for name in docs.columns:

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commitloom.llm.common import binary
+from commitloom.llm.common import binary, received, send
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: most labelled documents learned from
@@ -171,12 +171,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     # at most `sample` pairs of numbers
     texts = rows.join(F.broadcast(chosen), "doc_id")
-    made = texts.mapInArrow(_features, "doc_id long, quality int, places array<int>, counts array<float>, stats array<double>")
+    made = texts.mapInArrow(_features, "doc_id long, quality int, places binary, counts binary, stats binary")
     import numpy as np
 
-    found = sorted(made.collect(), key=lambda r: (r.doc_id, r.places, r.quality))
-    listed = [(np.array(r.places, "i8"), np.array(r.counts, "f8"), np.array(r.stats)) for r in found[:sample]]
-    return learn(listed, [int(r.quality > 0) for r in found[:sample]])
+    found = sorted(made.collect(), key=lambda r: (r.doc_id, r.places, r.quality))[:sample]
+    listed = [
+        (np.frombuffer(r.places, "i4"), np.frombuffer(r.counts, "f4"), np.frombuffer(r.stats, "f8")) for r in found
+    ]
+    return learn(listed, [int(r.quality > 0) for r in found])
 
 
 def _features(batches: Iterator) -> Iterator:
@@ -188,9 +190,8 @@ def _features(batches: Iterator) -> Iterator:
         made = [features(text, places) for text in binary(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("quality").cast(pa.int32()),
-             pa.array([a for a, _, _ in made], pa.list_(pa.int32())),
-             pa.array([v for _, v, _ in made], pa.list_(pa.float32())),
-             pa.array([s for _, _, s in made], pa.list_(pa.float64()))], names,
+             *(pa.array([column.astype(kind).tobytes() for column in columns], pa.binary())
+               for kind, columns in zip(("i4", "f4", "f8"), zip(*made, strict=True), strict=True))], names,
         )
 
 
@@ -198,15 +199,15 @@ def scored(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """`row`, the whole document, and its score."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     schema = rows.withColumn("score", F.lit(0.0)).schema
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    sent = send(docs.sparkSession, machine)
 
     def batch_scores(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        places = WordPlaces()
+        places, learned = WordPlaces(), received(sent)
         for batch in batches:
             column = batch.column("row").field(text)
-            scores = [sent.value.score(*features(t, places)) for t in binary(column)]
+            scores = [learned.score(*features(t, places)) for t in binary(column)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
 
     return rows.mapInArrow(batch_scores, schema)

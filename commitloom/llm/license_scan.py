@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitloom.llm.common import binary
+from commitloom.llm.common import binary, received, send
 from commitloom.llm.license_texts import BASE_PHRASES, NOTICES
 from commitloom.llm.suffix_automaton import SuffixAutomaton
 from commitloom.llm.words import folded_words, known_runs
@@ -116,9 +116,9 @@ def scan_licenses(
     coverage: float = COVERAGE,
 ) -> DataFrame:
     """Per document: base places, labels, the best coverage, and the labelled spans."""
-    scanner = docs.sparkSession.sparkContext.broadcast(LicenseScanner(phrases, notices))
+    scanner = send(docs.sparkSession, LicenseScanner(phrases, notices))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lambda batches: _scan(batches, scanner.value, coverage),
+        lambda batches: _scan(batches, received(scanner), coverage),
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
         "labels string, score double, "
         "spans array<struct<label:string,start:int,stop:int,coverage:double>>",

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitloom.llm.common import binary, free, store
+from commitloom.llm.common import binary, free, received, send, store
 from commitloom.llm.suffix_automaton import SuffixAutomaton
 
 WINDOW, GRAM = 20, 8
@@ -221,10 +221,9 @@ def _reference_shards(reference: DataFrame, shard_words: int) -> Iterator:
     total = pieces.agg(F.sum(F.size("w"))).first()[0] or 0
     shards = max(1, -(-total // shard_words))
     spread = pieces.withColumn("shard", F.pmod(F.xxhash64("w"), F.lit(shards)))
-    context = reference.sparkSession.sparkContext
     for shard in range(shards):
         listed = sorted([x.encode() for x in r.w if x] for r in spread.where(F.col("shard") == shard).toLocalIterator())
-        yield context.broadcast(SuffixAutomaton(listed, places=False))
+        yield send(reference.sparkSession, SuffixAutomaton(listed, places=False))
 
 
 def remove_known(docs: DataFrame, reference: DataFrame, length: int, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -242,7 +241,7 @@ def remove_known(docs: DataFrame, reference: DataFrame, length: int, shard_words
     schema = state.schema
     for place, automaton in enumerate(_reference_shards(reference, shard_words)):
         state = store(state) if place else state
-        state = state.mapInArrow(lambda batches, a=automaton: _matched(batches, a.value, length), schema)
+        state = state.mapInArrow(lambda batches, a=automaton: _matched(batches, received(a), length), schema)
     return state.mapInArrow(_without, "doc_id long, n_words long, n_removed long, kept string")
 
 
