@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     spark = session.build("tests", 8, shuffle_partitions=2)
     spark.sparkContext.setLogLevel("ERROR")
     shared = tmp_path_factory.mktemp("shared")
-    spark.conf.set("spark.checkpoint.dir", str(shared))
+    spark.sparkContext.setCheckpointDir(str(shared))
     yield spark
     session.clear(spark)
-    assert not list(shared.glob("commitloom-*"))
+    assert not list(shared.glob("*/commitloom-*"))
