@@ -111,9 +111,10 @@ def candidates(signed: DataFrame) -> DataFrame:
 
 def similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets' exact Jaccard similarity reaches the threshold."""
-    left = lines.select(F.col("id").alias("a"), F.col("data").alias("x"))
-    right = lines.select(F.col("id").alias("b"), F.col("data").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b")
+    left = lines.select(F.col("id").alias("a"), F.col("data").alias("x"), F.col("n").alias("nx"))
+    right = lines.select(F.col("id").alias("b"), F.col("data").alias("y"), F.col("n").alias("ny"))
+    # the counts go along so that this and the signatures read the same shuffled lines
+    joined = pairs.join(left, "a").join(right, "b").withColumn("n", F.greatest("n", "nx", "ny"))
 
     def hashed(name: str) -> Column:
         return F.array_distinct(F.transform(
