@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import pickle
 import sys
+import time
 import types
 import uuid
 
@@ -44,8 +45,10 @@ def free(spark: SparkSession) -> None:
     little garbage does rarely; a job of several phases would keep every phase's
     files on the executors' disks to its end.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go first reaches the JVM a moment later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def new_folder(spark: SparkSession) -> str:

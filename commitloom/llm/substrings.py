@@ -31,6 +31,8 @@ from commitloom.llm.common import binary, free, received, send, store
 from commitloom.llm.suffix_automaton import SuffixAutomaton
 
 WINDOW, GRAM = 20, 8
+#: stands for a null id, before all others
+NO_ID = -(1 << 63)
 #: words of a reference shard; its automaton takes up to a kilobyte a word
 SHARD_WORDS = 100_000
 
@@ -102,8 +104,7 @@ class Windows:
 def _identified(docs: DataFrame) -> DataFrame:
     """Order and identity of a row: its id, null first, and its text's hash."""
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
         F.xxhash64("text").alias("tie"),
         F.col("text").alias("text"),
     )
@@ -174,7 +175,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     firsts = first.select("first.*").groupBy("rank").agg(F.collect_list("start").alias("firsts"))
     judged = found.join(firsts, "rank", "left").select("doc", "tie", "places", "firsts")
     whole = texts.join(judged, ["doc", "tie"], "left")
-    return whole.select("doc_id", "text", "places", "firsts").mapInArrow(
+    # both joins above take the same three columns and read one shuffle of the texts
+    doc_id = F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id")
+    return whole.select(doc_id, "text", "places", "firsts").mapInArrow(
         lambda batches: _kept(batches, window), "doc_id long, n_words long, n_removed long, kept string"
     )
 
