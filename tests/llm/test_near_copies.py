@@ -6,6 +6,7 @@ from conftest_llm import AWKWARD
 from test_duplicates import least_reachable
 
 import corpus_pipeline
+from commitloom.llm import alike, near_copies
 
 
 def word_shingles(text, size=5):
@@ -45,3 +46,30 @@ def test_kept_documents_are_those_of_brute_force(make):
     assert 10 < len(set(group.values())) < len(rows) - 10
     docs = make([*rows, (None, rows[0][1])])
     assert kept_of(docs) == {*group.values(), None}
+
+
+def test_pairs_at_the_threshold_are_found(make):
+    rng, rows = random.Random(3), []
+    for k, base in enumerate(texts_of(rng, 400, 94)):
+        words = base.split()  # 90 shingles; two edits inside leave 80 of 100
+        words[20], words[60] = f"n{k}", f"m{k}"
+        rows += [(2 * k, base), (2 * k + 1, " ".join(words))]
+    a, b = word_shingles(rows[0][1]), word_shingles(rows[1][1])
+    assert len(a & b) == 80 and len(a | b) == 100
+    assert alike.recall(0.8, near_copies.ROWS, near_copies.BANDS) > 0.999
+    kept = kept_of(make(rows))
+    assert {i for i, _ in rows if i % 2 == 0} <= kept and len(kept) <= 402
+
+
+def test_buckets_of_unlike_templates_lose_no_pair(make, monkeypatch):
+    monkeypatch.setattr(alike, "WHOLE", 200)  # so that buckets are dealt anew
+    rng, rows = random.Random(4), []
+    template = texts_of(rng, 1, 80)[0].split()
+    for k in range(300):  # own ending: 76 of 126 shingles and more in common
+        rows.append((k, " ".join([*template, *(f"o{k}x{j}" for j in range(25))])))
+    for k in range(40):  # the copy lacks the last 15 words
+        rows.append((1000 + k, rows[7 * k][1].rsplit(" ", 15)[0]))
+    sets = {i: word_shingles(text) for i, text in rows}
+    group = least_reachable(list(sets), lambda a, b: like(sets[a], sets[b]))
+    assert len(set(group.values())) > 200
+    assert kept_of(make(rows)) == set(group.values())
