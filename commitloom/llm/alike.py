@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from commitloom.llm.common import store
 from commitloom.llm.components import components
 
-#: signature rows of a band and bands of the deals after the first
-FURTHER = ((6, 28), (12, 120))
+#: signature rows of a band and bands of the deals after the first; 0.9998 of pairs of similarity 0.8 meet again
+FURTHER = ((8, 48),)
 #: a bucket of at most so many pairs of different components is compared in full at once
-WHOLE = 10_000
+WHOLE = 1_000_000
 
 
 def recall(similarity: float, rows: int, bands: int) -> float:
@@ -123,7 +123,7 @@ def links(shared: DataFrame, items: DataFrame, hashes: Callable[[str], Column],
         return reduce(DataFrame.unionByName, found)
 
     found = [store(similar(chosen_pairs(shared), items, hashes, similarity))]
-    for place, (rows, bands) in enumerate((*FURTHER, (0, 0))):
+    for rows, bands in (*FURTHER, (0, 0)):
         held = store(apart(shared, joined()))
         whole = held.where(F.col("crossing") <= WHOLE) if rows else held
         found.append(store(similar(all_pairs(whole), items, hashes, similarity)))

@@ -5,8 +5,9 @@ shingle is hashed once, each signature place takes the least value of its own
 mixing of that hash. Bands of signature places are buckets; in each bucket every
 line is held against two lines of it: the one that occurs most often, of which
 the others tend to be variants, and the least by an order of the bucket's own.
-So a bucket of any size gives at most twice as many pairs as it has lines, and a
-group of like lines meets in several ways. Pairs count only if the exact Jaccard
+Lines of a bucket that are not linked after that are compared in full, in large
+buckets after further deals by more signature places (`alike.py`), so no pair
+that shares a bucket is left out. Pairs count only if the exact Jaccard
 similarity of their shingle sets reaches the threshold. Connected lines form a
 component by distributed union-find, and of all places of a component's lines
 the first, by document and place, is kept.
@@ -21,11 +22,10 @@ carried by `drop_lines` and ignored by `line_classes`. Lines are identified by a
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commitloom.llm import alike
 from commitloom.llm.common import free, store
 from commitloom.llm.components import components
 
@@ -36,7 +36,7 @@ BLANKS = " \t\r\x0b\f"
 
 def recall(similarity: float, rows: int = ROWS, bands: int = BANDS) -> float:
     """The probability that two lines of a similarity share a bucket."""
-    return 1 - (1 - similarity**rows) ** bands
+    return alike.recall(similarity, rows, bands)
 
 
 def _blank(line: Column) -> Column:
@@ -71,6 +71,13 @@ def _shingles(data: Column) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(data) - (SHINGLE - 1)))
 
 
+def _hashes(name: str) -> Column:
+    """The different shingle hashes of a line."""
+    return F.array_distinct(F.transform(
+        _shingles(F.col(name)), lambda start: F.xxhash64(F.substring(F.col(name), start, F.lit(SHINGLE)))
+    ))
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """(id, n, s0, s1, ...): at each place the shingle hash next to the place's own point.
 
@@ -81,57 +88,28 @@ def signatures(lines: DataFrame) -> DataFrame:
     starts = lines.select("id", "n", "data", F.explode(_shingles(F.col("data"))).alias("start"))
     hashes = starts.select("id", "n", F.xxhash64(F.substring("data", F.col("start"), F.lit(SHINGLE))).alias("h"))
     short = hashes.select("id", "n", F.shiftright("h", 32).cast("int").alias("h"))
-    rng = random.Random(4)
-    points = [rng.getrandbits(32) - (1 << 31) for _ in range(ROWS * BANDS)]
     return short.groupBy("id").agg(
         F.max("n").alias("n"),
-        *(F.min(F.col("h").bitwiseXOR(F.lit(point))).alias(f"s{k}") for k, point in enumerate(points)),
+        *(F.min(F.col("h").bitwiseXOR(F.lit(point))).alias(f"s{k}") for k, point in enumerate(alike.points(ROWS * BANDS, 4))),
     )
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """(a, b, n): each line of a bucket with the two lines the bucket has chosen."""
+def buckets(signed: DataFrame) -> DataFrame:
+    """(bucket, id, n): each line in a bucket of every band."""
     bands = F.array(*(
         F.xxhash64(F.lit(band), *(f"s{band * ROWS + row}" for row in range(ROWS))) for band in range(BANDS)
     ))
-    rows = signed.select(F.explode(bands).alias("bucket"), "id", "n").repartition("bucket")
-    chosen = rows.groupBy("bucket").agg(
-        F.max(F.struct("n", "id"))["id"].alias("most"),
-        F.min(F.col("id").bitwiseXOR(F.col("bucket"))).alias("least"),
-        F.count("*").alias("size"),
-    ).where("size > 1").select(
-        "bucket", F.array_distinct(F.array("most", F.col("least").bitwiseXOR(F.col("bucket")))).alias("others")
-    )
-    pairs = rows.join(chosen, "bucket").select("id", "n", F.explode("others").alias("other")).where("id <> other")
-    # n goes along so that the choice and the join read the same shuffled rows
-    return pairs.groupBy(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).agg(
-        F.max("n").alias("n")
-    )
-
-
-def similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets' exact Jaccard similarity reaches the threshold."""
-    left = lines.select(F.col("id").alias("a"), F.col("data").alias("x"), F.col("n").alias("nx"))
-    right = lines.select(F.col("id").alias("b"), F.col("data").alias("y"), F.col("n").alias("ny"))
-    # the counts go along so that this and the signatures read the same shuffled lines
-    joined = pairs.join(left, "a").join(right, "b").withColumn("n", F.greatest("n", "nx", "ny"))
-
-    def hashed(name: str) -> Column:
-        return F.array_distinct(F.transform(
-            _shingles(F.col(name)), lambda start: F.xxhash64(F.substring(F.col(name), start, F.lit(SHINGLE)))
-        ))
-
-    sets = joined.select("a", "b", "n", hashed("x").alias("x"), hashed("y").alias("y"))
-    counted = sets.select(
-        "a", "b", "n", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both")
-    )
-    return counted.where(F.col("both") >= similarity * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b", "n")
+    return signed.select(F.explode(bands).alias("bucket"), "id", "n")
 
 
 def links(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """(a, b, n): similar lines by id, enough of them to connect each bucket's alike."""
-    lines = distinct_lines(docs)
-    return store(similar(candidates(signatures(lines)), lines, similarity))
+    """(a, b): similar lines by id, enough of them to connect all alike that share a bucket."""
+    lines = store(distinct_lines(docs))
+    shared = store(alike.members(buckets(signatures(lines))))
+    free(docs.sparkSession)
+    # the texts of those alone that share a bucket
+    some = store(lines.join(shared.select("id").distinct(), "id", "left_semi"))
+    return alike.links(shared, some, _hashes, similarity)
 
 
 def kept_places(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
