@@ -30,7 +30,7 @@ from commitloom.llm.common import free, store
 from commitloom.llm.components import components
 
 #: bytes of a shingle; signature places of a band, bands; the least similarity
-SHINGLE, ROWS, BANDS, SIMILAR = 8, 4, 6, 0.8
+SHINGLE, ROWS, BANDS, SIMILAR = 8, 3, 12, 0.8
 BLANKS = " \t\r\x0b\f"
 
 

@@ -26,3 +26,12 @@ def test_a_bucket_of_unlike_template_lines_loses_no_pair(make):
     docs = make([(k, "\n".join(own[40 * k : 40 * k + 40])) for k in range(50)] + [(99, "\n".join(copies))])
     gone = {r.doc_id: r.n_removed for r in lines.line_classes(docs).collect()}
     assert gone.pop(99) == 200 and not any(gone.values())
+
+
+def test_lines_at_the_threshold_are_found(make):
+    rng = random.Random(2)
+    own = [drawn(rng, 187) for _ in range(1000)]
+    copies = [line[:-36] for line in own]
+    assert all(likeness(a, b) == 0.8 for a, b in zip(own[:50], copies, strict=False))
+    gone = {r.doc_id: r.n_removed for r in lines.line_classes(make([(1, "\n".join(own)), (2, "\n".join(copies))])).collect()}
+    assert gone[1] == 0 and gone[2] >= 998
