@@ -15,6 +15,7 @@ from commitloom.llm import (
     packing,
     simhash_trees,
     substrings,
+    token_counts,
     token_files,
 )
 from commitloom.llm.oracles import ORACLES
@@ -22,7 +23,9 @@ from commitloom.llm.common import new_folder, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
-VOCABULARY = "word_bpe_49k.json"
+VOCABULARY, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
+#: tokens of a text that operator 11 reports as too long beyond
+COUNT_LIMIT = 4096
 
 
 def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +72,11 @@ def op10_simhash_trees(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_trees.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return token_counts.count_tokens(docs, public_tokenizers.path(PIECES), COUNT_LIMIT)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_license_scan": op2_license_scan,
@@ -80,4 +88,5 @@ QUERIES = {
     "op8_factorization": op8_factorization,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_trees": op10_simhash_trees,
-}
\ No newline at end of file
+    "op11_token_counts": op11_token_counts,
+}
