@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from commitloom.llm import (
+    alignment,
     decontaminate,
     factorization,
     fingerprints,
@@ -23,7 +24,7 @@ from commitloom.llm.common import new_folder, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
-VOCABULARY, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
+VOCABULARY, BYTE_LEVEL, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: tokens of a text that operator 11 reports as too long beyond
 COUNT_LIMIT = 4096
 
@@ -77,6 +78,11 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path(PIECES), COUNT_LIMIT)
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return alignment.align(docs, public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_license_scan": op2_license_scan,
@@ -89,4 +95,5 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_trees": op10_simhash_trees,
     "op11_token_counts": op11_token_counts,
+    "op13_token_alignment": op13_token_alignment,
 }
