@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from commitloom.llm import (
     alignment,
     decontaminate,
     factorization,
     fingerprints,
+    hard_negatives,
     interpolation,
     license_scan,
     lines,
@@ -78,6 +80,12 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path(PIECES), COUNT_LIMIT)
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, "embedding", shifted, F.col("vec_id") % 50 == 0)
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return alignment.align(docs, public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
@@ -95,5 +103,6 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_trees": op10_simhash_trees,
     "op11_token_counts": op11_token_counts,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_alignment": op13_token_alignment,
 }
