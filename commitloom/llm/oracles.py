@@ -39,9 +39,9 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 HARD_NEGATIVES = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-                  list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q
+                  [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same,
              CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
       FROM v AS a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 50 = 0),
