@@ -303,21 +303,24 @@ def language_keys(t):
     return shares.select("repo_id", F.array_join(F.map_keys("languages"), ",").alias("languages"))
 
 
+# Bytes of an archive or a log that one task of these queries reads.
+RANGE_BYTES = 1 << 16
+
+
 @query
 def archive_entries(t):
-    """Every document as a tar archive with a file, a folder and a symbolic link, read back."""
-    archives = shop.document_files(t).mapInPandas(shop.archived, "repo_id string, content binary")
-    entries = tree.parse_archives(archives)
+    """Documents as tar archives with files, folders and symbolic links, read back by byte ranges."""
+    entries = tree.read_entries(t.spark, shop.archive_folder(t), RANGE_BYTES)
     return entries.select("repo_id", "path", "entry_kind", F.md5("content").alias("md5"))
 
 
 def _parsed_log(t: shop.Tables) -> DataFrame:
-    return t.stored("log", lambda: commit_log.parse_chunks(shop.log_chunks(t)))
+    return t.stored("log", lambda: commit_log.read_log(t.spark, shop.log_folder(t), RANGE_BYTES))
 
 
 @query
 def log_commits(t):
-    """Orders exported as a commit log and read back; 64 order keys make a chunk."""
+    """Orders exported as commit logs, several byte ranges each, and read back."""
     return commit_log.commits(_parsed_log(t)).select("repo_id", "hash", "committed_at", "author_email")
 
 

@@ -7,6 +7,7 @@ is also a small source file with one import; ``events`` are event series.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from commitloom.operators import resolution, scan
 from commitloom.options import Options
-from commitloom.session import checkpoint, configure
+from commitloom.session import checkpoint, configure, run_folder
+from commitloom.sources import ranged
 
 REPO = "shop"
 OPTIONS = Options(anchor="2000-07-01T00:00:00Z", window_days=1800)
@@ -100,13 +102,17 @@ def changes(t: Tables) -> DataFrame:
     )
 
 
+# Order keys whose commits are in one log file, and documents in one archive.
+LOG_ORDERS, ARCHIVE_DOCUMENTS = 4096, 64
+
+
 def log_chunks(t: Tables) -> DataFrame:
-    """The commits and changes as an exported log, in chunks of 64 order keys."""
+    """The commits and changes as an exported log, in chunks of some order keys."""
     nul = F.lit("\0")
     change = F.when(
         F.col("status") == "R", F.concat(F.lit("R100"), nul, F.col("old_path"), nul, F.col("path"), nul)
     ).otherwise(F.concat("status", nul, F.col("path"), nul))
-    # an order has a handful of lines, a chunk at most 64 orders
+    # an order has a handful of lines
     touched = changes(t).groupBy("repo_id", "seq").agg(F.array_join(
         F.transform(
             F.sort_array(F.collect_list(F.struct("pos", "path", "status", change.alias("text")))), lambda c: c["text"]
@@ -116,7 +122,7 @@ def log_chunks(t: Tables) -> DataFrame:
         F.lit("\x1e"), "hash", F.lit("\x1f"), F.col("committed_at").cast("string"), F.lit("\x1f"), "author_email", nul
     )
     written = commits(t).join(touched, ["repo_id", "seq"], "left").select(
-        "repo_id", "seq", F.floor(F.col("seq") / 64).alias("chunk"),
+        "repo_id", "seq", F.floor(F.col("seq") / LOG_ORDERS).alias("chunk"),
         F.concat(head, F.coalesce("changes", F.lit(""))).alias("text"),
     )
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda c: c["text"])
@@ -125,6 +131,25 @@ def log_chunks(t: Tables) -> DataFrame:
     )
 
 
+def new_root(t: Tables) -> str:
+    """A folder for files that a query writes and reads back."""
+    return ranged.full_path(t.spark, f"{run_folder(t.spark)}/{uuid.uuid4().hex}")
+
+
+def log_folder(t: Tables) -> str:
+    """The log as files below a folder."""
+    root = new_root(t)
+
+    def write(batches):
+        for batch in batches:
+            for repo, chunk, content in zip(batch["repo_id"], batch["chunk"], batch["content"]):
+                ranged.write_file(f"{root}/{repo}/{chunk}.log", content)
+            yield batch[["chunk"]]
+
+    log_chunks(t).mapInPandas(write, "chunk long").agg(F.count("*")).collect()
+    return root
+
+
 def part_files(t: Tables, extension: str = "ts") -> DataFrame:
     """File nodes of the listed parts, with their module id in ``parent``."""
     key, kind = F.col("p_partkey"), F.col("p_type")
@@ -198,29 +223,32 @@ def document_path() -> Column:
     )
 
 
-def document_files(t: Tables) -> DataFrame:
+def document_rows(t: Tables) -> DataFrame:
     """One repository per language; one source holds binary files."""
     text = F.encode("text", "UTF-8")
     content = F.when(
         F.col("source") == "src5", F.concat(F.unhex(F.lit("00")), text)
     ).otherwise(text)
     return t.documents.select(
-        F.col("lang").alias("repo_id"), document_path().alias("path"), content.alias("content")
+        F.col("lang").alias("repo_id"), document_path().alias("path"), content.alias("content"), "doc_id"
     )
 
 
-def archived(batches):
-    """A tar archive for each file row."""
+def document_files(t: Tables) -> DataFrame:
+    return document_rows(t).drop("doc_id")
+
+
+def archive_folder(t: Tables) -> str:
+    """The documents in tar archives below a folder, each with a folder and a symbolic link beside it."""
     import io
     import tarfile
 
-    import pandas as pd
+    root = new_root(t)
 
-    for batch in batches:
-        made = []
-        for path, content in zip(batch["path"], batch["content"]):
-            held = io.BytesIO()
-            with tarfile.open(fileobj=held, mode="w") as tar:
+    def write(key, rows):
+        held = io.BytesIO()
+        with tarfile.open(fileobj=held, mode="w") as tar:
+            for path, content in zip(rows["path"], rows["content"]):
                 folder = tarfile.TarInfo("./folder")
                 folder.type = tarfile.DIRTYPE
                 tar.addfile(folder)
@@ -230,8 +258,12 @@ def archived(batches):
                 link = tarfile.TarInfo(path + ".link")
                 link.type, link.linkname = tarfile.SYMTYPE, "elsewhere"
                 tar.addfile(link)
-            made.append(held.getvalue())
-        yield pd.DataFrame({"repo_id": batch["repo_id"], "content": made})
+        ranged.write_file(f"{root}/{key[0]}/{key[1]}.tar", held.getvalue())
+        return rows[["number"]].head(1)
+
+    numbered = document_rows(t).withColumn("number", F.floor(F.col("doc_id") / ARCHIVE_DOCUMENTS))
+    numbered.groupBy("repo_id", "number").applyInPandas(write, "number long").agg(F.count("*")).collect()
+    return root
 
 
 def listed_documents(t: Tables) -> DataFrame:

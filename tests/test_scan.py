@@ -188,6 +188,72 @@ def test_tree_archives(spark, tmp_path):
     ]
 
 
+def _tar(path, members):
+    """(name, type, content or other name) members in an archive."""
+    path.parent.mkdir(exist_ok=True)
+    with tarfile.open(path, "w", format=tarfile.GNU_FORMAT) as tar:
+        for name, kind, data in members:
+            entry = tarfile.TarInfo(name)
+            entry.type = kind
+            if kind == tarfile.REGTYPE:
+                entry.size = len(data)
+                tar.addfile(entry, io.BytesIO(data))
+            else:
+                entry.linkname = data or ""
+                tar.addfile(entry)
+
+
+@pytest.mark.parametrize("width", [1, 512, 1 << 20])
+def test_archives_by_ranges(spark, tmp_path, width):
+    file, hard = tarfile.REGTYPE, tarfile.LNKTYPE
+    _tar(tmp_path / "r" / "0.tar", [
+        ("./a/b", file, b"first"), ("link", hard, "a/b"), ("a/b", file, b"second"), ("again", hard, "./a/b"),
+        ("lost", hard, "nowhere"), ("early", hard, "z"), ("z", file, b"z" * 2000), ("empty", file, b""),
+        ("d" * 150 + "/" + "e" * 90, file, b"long name"), ("sym", tarfile.SYMTYPE, "z"), ("dir", tarfile.DIRTYPE, None),
+    ])
+    _tar(tmp_path / "q q" / "7.tar", [(f"f{k}", file, str(k).encode() * k) for k in range(50)])
+    (tmp_path / "r" / "1.tar").write_bytes(b"\0" * 10240)
+    got = {(r.repo_id, r.path, r.entry_kind, bytes(r.content) if r.content is not None else None)
+           for r in tree.read_entries(spark, str(tmp_path), width).collect()}
+    want = {("q q", f"f{k}", "file", str(k).encode() * k) for k in range(50)} | {
+        ("r", "a/b", "file", b"first"), ("r", "link", "file", b"first"), ("r", "a/b", "file", b"second"),
+        ("r", "again", "file", b"second"), ("r", "lost", "file", None), ("r", "early", "file", None),
+        ("r", "z", "file", b"z" * 2000), ("r", "empty", "file", b""), ("r", "d" * 150 + "/" + "e" * 90, "file", b"long name"),
+        ("r", "sym", "symlink", None),
+    }
+    assert got == want
+
+
+def test_archive_of_more_than_two_gigabytes(spark, tmp_path):
+    """A member too large for a row is passed over; the others are read by several tasks."""
+    path, large = tmp_path / "r" / "0.tar", 3 << 30
+    path.parent.mkdir()
+    with open(path, "wb") as out:
+        def member(name, data):
+            entry = tarfile.TarInfo(name)
+            entry.size = len(data)
+            out.write(entry.tobuf(tarfile.GNU_FORMAT) + data + b"\0" * (-len(data) % 512))
+
+        for k in range(20):
+            member(f"before{k}", b"x" * 100_000)
+        entry = tarfile.TarInfo("large")
+        entry.size = large
+        out.write(entry.tobuf(tarfile.GNU_FORMAT))
+        out.seek(large, 1)  # a hole, so the file takes no room
+        for k in range(20):
+            member(f"after{k}", b"y" * 100_000)
+        out.write(b"\0" * 1024)
+    members = tree.list_members(spark, str(tmp_path), 1 << 20)
+    assert members.select("slot").distinct().count() >= 4
+    entries = tree.read_members(members)
+    tasks = entries.withColumn("task", F.spark_partition_id())
+    found = {r.path: (r.size, r.task) for r in tasks.select("path", "task", F.length("content").alias("size")).collect()}
+    assert {p: s for p, (s, _) in found.items()} == {
+        **{f"{w}{k}": 100_000 for w in ("before", "after") for k in range(20)}, "large": None,
+    }
+    assert len({t for _, t in found.values()}) > 1
+
+
 def test_join_path(spark):
     cases = [("a/b", "../c"), ("a", "../../x"), ("", "./y"), ("a", "b//./c"), ("a", ".."), ("a", "")]
     got = _one(spark, cases, paths.join_path(F.col("d"), F.col("r")), "d string, r string")

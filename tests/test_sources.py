@@ -1,3 +1,4 @@
+import io
 import json
 
 import pytest
@@ -7,7 +8,7 @@ from commitloom import schemas
 from commitloom.operators import quality, rates
 from commitloom.options import Options
 from commitloom.plans import analyze
-from commitloom.sources import commit_log, documents
+from commitloom.sources import commit_log, documents, ranged
 from pyspark.sql import functions as F
 
 
@@ -52,6 +53,54 @@ def test_log_chunks(spark, tmp_path):
     ]
 
 
+AMBIGUOUS = _raw(
+    ("c5", 50, "Ada\x1f@X", ("R100", "\x1eold\x1f1\x1fx", "\x1edeadbeef\x1f1\x1fx"), ("M", "M"), ("R9", "R", "C")),
+    ("c4", 40, "b@x"), ("c3", 30, "b@x", ("A", "\x1e"), ("M", "M"), ("M", "R"), ("D", "a\nb")),
+    ("", 25, "nobody", ("M", "ignored")), ("c2", 20, "c@x", ("C75", "p", "q"), ("M", "ünï")), ("c1", 10, "c@x", ("M", "\x1e")),
+) + b"\n\0\0M\0"
+
+
+def _by_ranges(raw, cuts):
+    """Rows of a log read in ranges that end at the cuts, by both passes."""
+    file, state, before, found = io.BytesIO(raw), commit_log.IGNORED, 0, []
+    for start, stop in zip([0, *cuts], [*cuts, len(raw)]):
+        tokens = lambda: ranged.tokens(file, start)  # noqa: B023,E731
+        found += commit_log.range_rows(tokens(), stop, state, before)
+        ends, commits = commit_log.summary(tokens(), stop)
+        before, state = before + commits[state], ends[state]
+    return found
+
+
+def test_log_cut_anywhere():
+    want = list(commit_log.log_rows(AMBIGUOUS))
+    assert [r[1] for r in want if r[4] == -1] == ["c5", "c4", "c3", "c2", "c1"]
+    for cut in range(len(AMBIGUOUS) + 1):
+        assert _by_ranges(AMBIGUOUS, [cut]) == want, cut
+    for width in range(1, 40):
+        assert _by_ranges(AMBIGUOUS, range(width, len(AMBIGUOUS), width)) == want, width
+
+
+def test_tokens_from_any_place(monkeypatch):
+    raw = b"ab\0\0c\0\0\0def"
+    want = [(0, b"ab"), (3, b""), (4, b"c"), (6, b""), (7, b""), (8, b"def")]
+    for size in (1, 2, 3, 100):
+        monkeypatch.setattr(ranged.blocks, "__defaults__", (size,))
+        for start in range(len(raw) + 1):
+            assert list(ranged.tokens(io.BytesIO(raw), start)) == [t for t in want if t[0] >= start]
+
+
+def test_log_file_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    one = _raw(*((f"h{k}", k, f"{k % 7}@x", *((("M", f"p{j}") for j in range(k % 9)))) for k in range(400)))
+    (tmp_path / "r" / "0.log").write_bytes(one)
+    (tmp_path / "r" / "1.log").write_bytes(AMBIGUOUS)
+    (tmp_path / "r" / "2.log").write_bytes(b"")
+    read = commit_log.read_log(spark, str(tmp_path), 256)
+    assert len(read.inputFiles()) > 10
+    chunks = table(spark, [("r", 0, bytearray(one)), ("r", 1, bytearray(AMBIGUOUS))], "repo_id string, chunk long, content binary")
+    assert rows(read) == rows(commit_log.parse_chunks(chunks))
+
+
 def _document(**changes):
     doc = {
         "schemaVersion": "1.0",
