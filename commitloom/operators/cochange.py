@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitloom.functions import fixed_values as fv
+from commitloom.operators.skew import ranked
 from commitloom.options import Options
 
 
@@ -23,28 +24,33 @@ def _pairs(ids: Column, kind: str) -> Column:
 
 
 def paired_commits(touched: DataFrame, options: Options) -> DataFrame:
-    """Per commit its sorted file and module ids, bulk commits left out.
+    """Per commit its sorted file and module ids that can be in a pair, bulk commits left out.
 
     Ranking one past the limit tells a bulk commit from a small one while no
-    task ever holds more than that many rows per commit and map output.
+    task ever holds more than that many rows per commit and part. An id that
+    fewer commits than the least pair count name is in no pair; it goes before
+    any pair is made, but after its commit was judged by all its paths.
     """
-    in_commit = Window.partitionBy("repo_id", "seq").orderBy("path")
     limit = options.bulk_paths
-    return (
-        touched.select(
-            "repo_id", "seq", "path", "id", "module",
-            F.row_number().over(in_commit).alias("_n"),
-        )
-        .where(F.col("_n") <= limit + 1)
-        .groupBy("repo_id", "seq")
-        .agg(
-            F.max("_n").alias("_paths"),
-            F.array_sort(F.collect_set("id")).alias("files"),
-            F.array_sort(F.collect_set("module")).alias("modules"),
-        )
-        .where(F.col("_paths") <= limit)
-        .drop("_paths")
+    first = ranked(
+        touched.select("repo_id", "seq", "path", "id", "module"), ["repo_id", "seq"], ["path"], limit + 1, "_n",
+        spread=["path"],
+    )
+    small = first.withColumn("_paths", F.max("_n").over(Window.partitionBy("repo_id", "seq"))).where(
+        F.col("_paths") <= limit
     )
+    named = F.array(
+        F.struct(F.lit("file").alias("kind"), F.col("id").alias("id")),
+        F.struct(F.lit("module").alias("kind"), F.col("module").alias("id")),
+    )
+    members = small.select("repo_id", "seq", F.inline(named)).where("id IS NOT NULL")
+    # a module counts once for each of its files, which keeps more than needed and drops none
+    frequent = members.groupBy("repo_id", "kind", "id").agg(F.count("*").alias("_commits")).where(
+        F.col("_commits") >= options.min_pair_count
+    )
+    kept = members.join(frequent.drop("_commits"), ["repo_id", "kind", "id"], "left_semi")
+    of_kind = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("id"))))
+    return kept.groupBy("repo_id", "seq").agg(of_kind("file").alias("files"), of_kind("module").alias("modules"))
 
 
 def pair_counts(touched: DataFrame, options: Options) -> DataFrame:
@@ -61,12 +67,8 @@ def pair_counts(touched: DataFrame, options: Options) -> DataFrame:
 
 def strongest_pairs(pairs: DataFrame, limit: int = fv.MAX_PAIRS_PER_KIND) -> DataFrame:
     """The strongest pairs per repository and kind: count, then ids."""
-    order = Window.partitionBy("repo_id", "kind").orderBy(F.desc("count"), "a", "b")
-    return (
-        pairs.withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= limit)
-        .drop("_n")
-    )
+    order = [F.desc("count"), "a", "b"]
+    return ranked(pairs, ["repo_id", "kind"], order, limit, "_n", spread=["a", "b"]).drop("_n")
 
 
 def cochanges(touched: DataFrame, options: Options) -> DataFrame:

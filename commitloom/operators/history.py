@@ -163,7 +163,6 @@ def node_activity(universe: DataFrame, touched: DataFrame) -> DataFrame:
 
 def p95_by_kind(activity: DataFrame) -> DataFrame:
     """Nearest-rank 95th percentile of commits over the active nodes of a kind."""
-    # one row per distinct count first: the percentile buffer stays that small
     rank = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY commits)")
     return (
         activity.where(F.col("commits") >= 1)

@@ -2,8 +2,9 @@
 
 Most joins need nothing here: with the settings of ``session.configure`` Spark
 measures the shuffled partitions and splits the skewed ones. The two joins of
-the raw change table, the largest input, are salted by counted hot keys, and
-tables of a few rows per repository are joined through copies.
+the raw change table, the largest input, are salted: every key is counted, and a
+hot one is split into as many places as its rows need. Tables of a few rows per
+repository are joined through copies, and long top lists are ranked in two levels.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitloom.session import checkpoint
 
 # What one task may get of a key; a key with more rows is split.
 HOT_ROWS = 200_000
+# Places of null keys, copies for rows of one repository, parts of a long top list.
 SPLITS = 32
 
 _SALT = "_salt"
@@ -33,13 +35,14 @@ def _all_salts(splits: int) -> Column:
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Every key with more than ``hot_rows`` rows, as a stored table.
+    """Every key with more than ``hot_rows`` rows and the places ``_splits`` it needs, as a stored table.
 
     Both sides of a join must see the same keys, so they are counted once, in
     full, and written. The count combines before it shuffles.
     """
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    return checkpoint(counts.where(F.col("_rows") > hot_rows).select(*keys))
+    hot = counts.where(F.col("_rows") > hot_rows)
+    return checkpoint(hot.select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_splits")))
 
 
 def spread_join(
@@ -50,36 +53,53 @@ def spread_join(
     *,
     spread: Sequence[str],
     profile: DataFrame,
-    splits: int = SPLITS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join (inner or left) whose hot left keys are split over tasks.
 
-    Left rows of a hot key go to ``splits`` places by the hash of ``spread``;
-    the matching right rows are copied there. All other keys keep one place.
-    ``profile`` is a stored table with the keys of ``left``; its key columns are
-    read once more to find the hot ones. Of n rows at most n / ``hot_rows`` keys
-    are hot; Spark broadcasts them where their written size allows.
+    Left rows of a hot key go, by the hash of ``spread``, to one of as many places
+    as hold ``hot_rows`` rows each (``HOT_ROWS`` if not given); the matching right
+    rows are copied to all of them. All other keys keep one place. ``profile`` is a
+    stored table with the keys of ``left``; its key columns are read once more to
+    find the hot ones. Of n rows at most n / ``hot_rows`` keys are hot; Spark
+    broadcasts them where their written size allows.
     """
-    flags = hot_keys(profile, on, hot_rows).withColumn("_hot", F.lit(True))
+    flags = hot_keys(profile, on, hot_rows or HOT_ROWS)
     # null keys match nothing and are spread like a hot key
-    apart = reduce(or_, [F.col(key).isNull() for key in on], F.col("_hot"))
+    nothing = reduce(or_, [F.col(key).isNull() for key in on])
+    places = F.coalesce("_splits", F.when(nothing, SPLITS), F.lit(1))
     salted_left = (
         left.join(flags, list(on), "left")
-        .withColumn(_SALT, F.when(apart, _salt_of(spread, splits)).otherwise(0))
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(
-        F.array(F.lit(0))
+        .withColumn(_SALT, F.pmod(F.xxhash64(*spread), places).cast("int"))
+        .drop("_splits")
     )
     salted_right = (
         right.join(flags, list(on), "left")
-        .withColumn(_SALT, F.explode(copies))
-        .drop("_hot")
+        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)))
+        .drop("_splits")
     )
     return salted_left.join(salted_right, [*on, _SALT], how).drop(_SALT)
 
 
+def ranked(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], limit: int, name: str,
+    *, spread: Sequence[str], splits: int = SPLITS,
+) -> DataFrame:
+    """The first ``limit`` rows of every key, ranked from 1 in column ``name``.
+
+    Up to a limit of the session Spark cuts each map task's rows before the shuffle.
+    For a higher one there are two levels: each of ``splits`` parts of a key, dealt by
+    the hash of ``spread``, is cut to its own first rows, then the parts together, so
+    a hot key is sorted by many tasks and the last one holds ``splits * limit`` rows.
+    """
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    if limit >= int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        part = Window.partitionBy(*keys, _SALT).orderBy(*order)
+        dealt = rows.withColumn(_SALT, _salt_of(spread, splits)).withColumn(name, F.row_number().over(part))
+        rows = dealt.where(F.col(name) <= limit).drop(_SALT, name)
+    return rows.withColumn(name, F.row_number().over(whole)).where(F.col(name) <= limit)
+
+
 def per_repo_join(
     left: DataFrame,
     per_repo: DataFrame,

@@ -42,6 +42,9 @@ class Options:
         instant_seconds(self.anchor)
         if self.window_days < 1:
             raise ValueError("window_days must be at least 1")
+        for name in ("bulk_paths", "min_pair_count", "max_pairs"):
+            if getattr(self, name) < 1:
+                raise ValueError(f"{name} must be at least 1")
         unknown = sorted(set(self.layers.values()) - set(fv.LAYERS))
         if unknown:
             raise ValueError(f"unknown layers: {unknown}")

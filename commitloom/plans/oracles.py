@@ -797,6 +797,14 @@ WHERE repo_id IN (SELECT repo_id FROM doc_repos)"""),
         """SELECT p.repo_id, n.kind, p.a, p.b, p.count
 FROM doc_pairs p LEFT JOIN doc_nodes n ON n.repo_id = p.repo_id AND n.id = p.a
 WHERE p.repo_id IN (SELECT repo_id FROM doc_repos)"""),
+    "document_folder_status": with_(
+        DOC_NODES,
+        """, placed AS (SELECT repo_id, id, row_number() OVER (PARTITION BY repo_id ORDER BY id) - 1 AS n FROM doc_nodes),
+spoilt AS (SELECT repo_id, max(CASE WHEN id = 'm7/f7.ts' THEN 1 ELSE 0 END) AS json,
+                  max(CASE WHEN id = 'm3/f3.ts' THEN n END) AS n FROM placed GROUP BY repo_id)
+SELECT repo_id, CASE WHEN json = 1 OR n IS NOT NULL THEN 'malformed' ELSE 'ok' END AS status,
+       CASE WHEN json = 1 THEN 'not valid JSON' WHEN n IS NOT NULL THEN 'not a node at index ' || n END AS detail
+FROM doc_repos LEFT JOIN spoilt USING (repo_id)"""),
     "document_violations": "WITH c AS (SELECT *, CAST(c_custkey AS VARCHAR) AS repo_id FROM customer)\n"
     + " UNION ALL ".join(
         f"SELECT repo_id, '{place}' AS path, '{message}' AS message FROM c WHERE {broken}"
@@ -866,3 +874,9 @@ SELECT repo_id,
     WHEN 5 THEN '`repo.stats` is missing' END AS detail
 FROM v""",
 }
+ORACLES |= {
+    f"document_folder_{kind}": ORACLES[whole]
+    for kind, whole in (
+        ("nodes", "document_roundtrip"), ("edges", "document_edges"), ("cochanges", "document_cochanges")
+    )
+}

@@ -745,6 +745,44 @@ def document_cochanges(t):
     return documents.document_tables(raw)["cochanges"]
 
 
+def _document_folder(t: shop.Tables) -> dict[str, DataFrame]:
+    """The documents written to a folder, a line an element, and read back line by line."""
+    return documents.line_tables(t.stored("read_lines", lambda: documents.read_lines(t.spark, _written(t))))
+
+
+@query
+def document_folder_nodes(t):
+    return _document_folder(t)["nodes"].select(
+        "repo_id", "id", "kind", "parent", "layer", "loc", "churn", "last_changed_at"
+    )
+
+
+@query
+def document_folder_edges(t):
+    return _document_folder(t)["edges"]
+
+
+@query
+def document_folder_cochanges(t):
+    return _document_folder(t)["cochanges"]
+
+
+@query
+def document_folder_status(t):
+    """Load status of each document; some of the written lines are spoilt on the way."""
+    spoilt = F.when(F.col("line").contains('"id":"m3/f3.ts"'), F.replace("line", F.lit('"id"'), F.lit('"name"'))).when(
+        F.col("line").contains('"id":"m7/f7.ts"'), F.concat("line", F.lit("}"))
+    )
+    lines = documents.read_lines(t.spark, _written(t)).withColumn("line", F.coalesce(spoilt, "line"))
+    return documents.line_tables(lines)["status"]
+
+
+def _written(t: shop.Tables) -> str:
+    root = shop.new_root(t)
+    documents.write_documents(_documents(t), root)
+    return root
+
+
 @query
 def document_violations(t):
     """Documents of one node each, broken in one way or another."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from commitloom import schemas
 from commitloom.functions import fixed_values as fv
@@ -198,14 +200,15 @@ _SHAPE = (
 )
 
 
-def _shape_problem(v: Column) -> Column:
-    """The first thing that keeps a document from being read, null if nothing does."""
+def _fits(element: Column, field: str, allowed: tuple[str, ...]) -> Column:
+    """Whether a list's element has the field as it must be."""
+    if allowed == fv.KINDS:
+        return F.coalesce(_get(element, field, "string").isin(*allowed), F.lit(False))
+    return is_type(_get(element, field), *allowed)
 
-    def fits(element: Column, field: str, allowed: tuple[str, ...]) -> Column:
-        if allowed == fv.KINDS:
-            return F.coalesce(_get(element, field, "string").isin(*allowed), F.lit(False))
-        return is_type(_get(element, field), *allowed)
 
+def _shape_problem(v: Column) -> Column:
+    """The first thing that keeps a document from being read, null if nothing does."""
     problems = []
     for path, types, fields in _SHAPE:
         noun = f"`{path}` array" if types == ("array",) else f"`{path}`"
@@ -214,7 +217,7 @@ def _shape_problem(v: Column) -> Column:
             article = "a node" if path == "nodes" else "an edge"
             numbered = F.transform(
                 _get(v, path, "array<variant>"),
-                lambda e, n: F.when(~reduce(and_, [fits(e, f, t) for f, t in fields.items()]), n),  # noqa: B023
+                lambda e, n: F.when(~reduce(and_, [_fits(e, f, t) for f, t in fields.items()]), n),  # noqa: B023
             )
             first = F.array_min(numbered).cast("string")
             problems.append(F.concat(F.lit(f"not {article} at index "), first))
@@ -235,11 +238,18 @@ def version_status(version: Column) -> tuple[Column, Column]:
     return status, detail
 
 
+def _declared(v: Column) -> Column:
+    return F.when(is_type(_get(v, "schemaVersion"), "string"), _get(v, "schemaVersion", "string"))
+
+
+def _version_problem(raw: Column) -> Column:
+    return version_status(_declared(F.try_parse_json(raw)))[0].isNotNull()
+
+
 def load_status(docs: DataFrame) -> DataFrame:
     """``(repo_id, raw, status, detail)``: ``ok``, ``malformed`` or ``unsupported-version``."""
     v = F.try_parse_json("raw")
-    declared = F.when(is_type(_get(v, "schemaVersion"), "string"), _get(v, "schemaVersion", "string"))
-    status, detail = version_status(declared)
+    status, detail = version_status(_declared(v))
     shape = _shape_problem(v)
     return docs.select(
         "repo_id", "raw",
@@ -260,30 +270,162 @@ def document_tables(docs: DataFrame) -> dict[str, DataFrame]:
         .where(F.col("status") == "ok")
         .select("repo_id", F.from_json("raw", schemas.DOCUMENT).alias("d"))
     )
+    listed = {name: parsed.select("repo_id", F.inline(f"d.{name}")) for name in _LISTS}
+    return _tables(parsed.select("repo_id", "d.repo"), **listed)
+
+
+_LISTS = ("nodes", "edges", "cochanges")
+
+
+def _tables(repos: DataFrame, nodes: DataFrame, edges: DataFrame, cochanges: DataFrame) -> dict[str, DataFrame]:
+    """Tables of parsed elements, with the engine's column names and types."""
     seconds = lambda c: F.unix_timestamp(F.to_timestamp(c))
     whole = lambda c: F.col(c).cast("long").alias(c.split(".")[-1])
-    nodes = parsed.select("repo_id", F.inline("d.nodes")).select(
+    shaped = nodes.select(
         "repo_id", "id", "kind", "parent", "path", "layer", whole("loc"), "churn",
         whole("commits"), whole("authors"), seconds("lastChangedAt").alias("last_changed_at"),
         "description", F.col("descriptionSource").alias("description_source"),
     )
-    kinds = nodes.select("repo_id", F.col("id").alias("a"), "kind")
-    pairs = parsed.select("repo_id", F.inline("d.cochanges"))
+    kinds = shaped.select("repo_id", F.col("id").alias("a"), "kind")
     return {
-        "nodes": nodes,
-        "edges": parsed.select("repo_id", F.inline("d.edges")).select(
-            "repo_id", "source", "target", "kind", whole("weight")
-        ),
-        "cochanges": pairs.join(kinds, ["repo_id", "a"], "left").select(
+        "nodes": shaped,
+        "edges": edges.select("repo_id", "source", "target", "kind", whole("weight")),
+        "cochanges": cochanges.join(kinds, ["repo_id", "a"], "left").select(
             "repo_id", "kind", "a", "b", whole("count")
         ),
-        "repos": parsed.select(
-            "repo_id", F.col("d.repo.name").alias("name"),
-            F.col("d.repo.remoteUrl").alias("remote_url"),
-            F.col("d.repo.defaultBranch").alias("default_branch"),
-            seconds("d.repo.analyzedAt").alias("analyzed_at"),
-            F.col("d.repo.analysisWindowDays").cast("int").alias("window_days"),
-            *[whole(f"d.repo.stats.{field}") for field in ("files", "loc", "commits")],
-            "d.repo.stats.languages",
+        "repos": repos.select(
+            "repo_id", F.col("repo.name").alias("name"),
+            F.col("repo.remoteUrl").alias("remote_url"),
+            F.col("repo.defaultBranch").alias("default_branch"),
+            seconds("repo.analyzedAt").alias("analyzed_at"),
+            F.col("repo.analysisWindowDays").cast("int").alias("window_days"),
+            *[whole(f"repo.stats.{field}") for field in ("files", "loc", "commits")],
+            "repo.stats.languages",
         ),
     }
+
+
+# ---------------------------------------------------------------- reading line by line
+
+# The lines between the lists, each of which ends one; after the last nothing may come.
+_MARKS = ('],"edges":[', '],"cochanges":[', "]}")
+_HEAD = r'\A\{"schemaVersion".*"nodes":\[\z'
+_PLACES = "file string, block long, part int, n long, line string, mark int"
+
+
+def _in_blocks(batches: Iterator) -> Iterator:
+    """Each line with the lists that ended before it in its block, and its place in its list there."""
+    import pyarrow as pa
+
+    at, part, n = None, 0, 0
+    for batch in batches:
+        parts, places, marks = [], [], []
+        columns = (batch.column(c).to_pylist() for c in ("file", "block", "line"))
+        for *its, line in zip(*columns, strict=True):
+            if its != at:
+                at, part, n = its, 0, 0
+            mark = _MARKS.index(line) if line in _MARKS else None
+            element = mark is None and line.startswith(("{", ",{"))
+            parts.append(part)
+            places.append(n)
+            marks.append(mark)
+            n += element
+            if mark is not None:
+                part, n = part + 1, 0
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("file"), batch.column("block"), pa.array(parts, pa.int32()), pa.array(places, pa.int64()),
+             batch.column("line"), pa.array(marks, pa.int32())],
+            [c.split()[0] for c in _PLACES.split(", ")],
+        )
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(repo_id, section, n, line, mark)`` of documents that :func:`write_documents` wrote.
+
+    Every line is a row, whatever the size of its document. A line's list is told by
+    how many lists ended before it. Tasks count that within the blocks they read; a
+    prefix sum over the blocks, a few rows a file, does the rest. ``n`` is the place
+    of an element in its list.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").text(path)
+    rows = text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").alias("line"),
+    ).mapInArrow(_in_blocks, _PLACES)
+    # the head stands in no list, but begins as an element does
+    head = F.col("line").rlike(_HEAD)
+    rows = rows.withColumns({
+        "repo_id": F.url_decode(F.regexp_extract("file", r"/repo_id=([^/]+)/[^/]+\z", 1)),
+        "element": F.col("mark").isNull() & F.regexp_like("line", F.lit(r"\A,?\{")) & ~head,
+        "head": head,
+    })
+    counted = rows.groupBy("repo_id", "file", "block", "part").agg(
+        F.count("mark").alias("marks"), F.count_if("element").alias("elements"), F.count_if("head").alias("heads")
+    )
+    ended = Window.partitionBy("repo_id").orderBy("file", "block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    listed = counted.withColumn("section", F.coalesce(F.sum("marks").over(ended), F.lit(0)))
+    earlier = Window.partitionBy("repo_id", "section").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    base = listed.select(
+        "repo_id", "file", "block", "part", "section", "heads",
+        F.coalesce(F.sum("elements").over(earlier), F.lit(0)).alias("before"),
+    )
+    # a head counts as an element where it is read
+    place = F.col("n") - F.when(F.col("head"), 0).otherwise(F.col("heads")) + F.col("before")
+    return rows.join(base, ["repo_id", "file", "block", "part"]).select(
+        "repo_id", "section", F.when(F.col("element"), place).alias("n"), "line", "mark", "head"
+    )
+
+
+def line_tables(lines: DataFrame) -> dict[str, DataFrame]:
+    """Tables of ``read_lines``, and ``status``: what :func:`load_status` says of each document.
+
+    No document is ever one row. Lists are checked element by element; the rest of a
+    document is its head, which is checked as a document with empty lists.
+    """
+    element = F.col("n").isNotNull()
+    comma = F.startswith("line", F.lit(","))
+    body = F.when(comma, F.expr("substr(line, 2)")).otherwise(F.col("line"))
+    value = F.try_parse_json(body)
+    bad = {
+        section: ~reduce(and_, [_fits(value, field, allowed) for field, allowed in dict(
+            (path, fields) for path, _, fields in _SHAPE)[name].items()])
+        for section, name in ((0, "nodes"), (1, "edges"))
+    }
+    misplaced = (
+        F.when(element, (comma != (F.col("n") > 0)) | value.isNull() | (F.col("section") > 2))
+        .when(F.col("mark").isNotNull(), F.col("mark") != F.col("section"))
+        .when(F.col("head"), F.col("section") != 0)
+        .otherwise(True)
+    )
+    judged = lines.groupBy("repo_id").agg(
+        F.max(F.when(F.col("head"), F.col("line"))).alias("line"),
+        (F.max(misplaced) | (F.count_if("head") != 1) | (F.count("mark") != len(_MARKS))).alias("broken"),
+        *(F.min(F.when(element & (F.col("section") == s) & b, F.col("n"))).alias(f"bad{s}") for s, b in bad.items()),
+    )
+    rest = judged.withColumn("raw", F.concat("line", *(F.lit(mark) for mark in _MARKS)))
+    checked = load_status(rest.select("repo_id", "raw")).drop("raw").join(rest, "repo_id", "right")
+    shape = F.coalesce(
+        F.concat(F.lit("not a node at index "), F.col("bad0").cast("string")),
+        F.concat(F.lit("not an edge at index "), F.col("bad1").cast("string")),
+    )
+    unread = F.col("broken") | F.col("raw").isNull() | (F.col("detail") == "not valid JSON")
+    versioned = _version_problem(F.col("raw"))
+    status = checked.select(
+        "repo_id",
+        F.when(unread, "malformed").when(versioned, F.col("status"))
+        .when(shape.isNotNull(), "malformed").otherwise(F.col("status")).alias("status"),
+        F.when(unread, "not valid JSON").when(versioned, F.col("detail"))
+        .otherwise(F.coalesce(shape, "detail")).alias("detail"),
+        "raw",
+    )
+    good = status.where("status = 'ok'")
+    kept = lines.where(element).withColumn("body", body).join(good.select("repo_id"), "repo_id", "left_semi")
+    document = StructType.fromDDL(schemas.DOCUMENT)
+    listed = {
+        name: kept.where(F.col("section") == section).select(
+            "repo_id", F.from_json("body", document[name].dataType.elementType).alias("e")
+        ).select("repo_id", "e.*")
+        for section, name in enumerate(_LISTS)
+    }
+    repos = good.select("repo_id", F.from_json("raw", schemas.DOCUMENT).alias("d")).select("repo_id", "d.repo")
+    return {**_tables(repos, **listed), "status": status.drop("raw")}

@@ -239,6 +239,95 @@ def test_hot_keys_are_split_without_changing_the_result(spark):
         assert rows(got, "k", "v", "w") == rows(want, "k", "v", "w")
 
 
+def test_a_key_gets_the_places_its_rows_need(spark):
+    from commitloom.operators import skew
+
+    left = spark.range(5000).selectExpr("if(id % 2 = 0, 'hot', if(id % 10 = 1, 'warm', cast(id as string))) as k", "id as v")
+    hot = {r.k: r._splits for r in skew.hot_keys(left, ["k"], 100).collect()}
+    assert hot == {"hot": 25, "warm": 5}
+    salted = left.join(skew.hot_keys(left, ["k"], 100), "k").selectExpr("k", "pmod(xxhash64(v), _splits) as salt")
+    assert salted.groupBy("k", "salt").count().agg({"count": "max"}).first()[0] <= 200
+
+
+def test_touched_is_split_by_counted_rows(spark, monkeypatch):
+    from commitloom.operators import skew
+
+    nodes = universe(spark, ("a", "file", None), ("b", "file", None))
+    entries = [(f"c{k}", 1000 - k, f"{k % 5}@x", "a", *(["b"] if k % 4 == 0 else [])) for k in range(300)]
+    want = rows(history.resolve_history(nodes, *log(spark, *entries), ALL_TIME))
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    assert rows(history.resolve_history(nodes, *log(spark, *entries), ALL_TIME)) == want
+
+
+@pytest.mark.parametrize("limit", [1, 7, 60, 200])
+def test_two_level_ranks_equal_one_sort(spark, limit):
+    from commitloom.operators import skew
+
+    made = [(f"k{k % 3 if k % 2 else 0}", (k * 7919) % 101, f"n{k}") for k in range(500)]
+    df = table(spark, made, "k string, c long, n string")
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(key, "1000")
+    want = []
+    for name in {m[0] for m in made}:
+        some = sorted((m for m in made if m[0] == name), key=lambda m: (-m[1], m[2]))
+        want += [(*m, place) for place, m in enumerate(some[:limit], 1)]
+    try:
+        for threshold in ("1000", "1"):
+            spark.conf.set(key, threshold)
+            got = skew.ranked(df, ["k"], [F.desc("c"), "n"], limit, "place", spread=["n"])
+            assert rows(got, "k", "c", "n", "place") == sorted(want, key=repr)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_rare_ids_make_no_pairs(spark):
+    """Pairs equal brute force; ids of too few commits are gone before pairs are made."""
+    import itertools
+    import random
+    from collections import Counter
+    from dataclasses import replace
+
+    from commitloom.operators import cochange
+
+    rng = random.Random(5)
+    names = [f"m{k % 4}/f{k}" for k in range(40)]
+    nodes = universe(spark, *((n, "file", n[:3]) for n in names), *((f"m{k}/", "module", None) for k in range(4)))
+    entries = [(f"c{k}", 1000 - k, "x", *rng.sample(names, rng.randrange(1, 9))) for k in range(60)]
+    options = replace(ALL_TIME, bulk_paths=6, min_pair_count=3)
+    touched = history.resolve_history(nodes, *log(spark, *entries), options).cache()
+    counts = Counter()
+    small = [e[3:] for e in entries if len(e[3:]) <= 6]
+    for paths in small:
+        counts.update(("file", *p) for p in itertools.combinations(sorted(paths), 2))
+        counts.update(("module", *p) for p in itertools.combinations(sorted({p[:3] for p in paths}), 2))
+    got = rows(cochange.pair_counts(touched, options), "kind", "a", "b", "count")
+    assert got == sorted(((*p, n) for p, n in counts.items() if n >= 3), key=repr)
+    commits = Counter(p for paths in small for p in paths)
+    listed = {f for r in cochange.paired_commits(touched, options).collect() for f in r.files}
+    assert listed == {p for p, n in commits.items() if n >= 3} != set(commits)
+
+
+def test_high_limits_on_one_hot_key(spark):
+    """Limits beyond Spark's own cut: one commit and one repository hold all rows."""
+    from dataclasses import replace
+
+    from commitloom.operators import cochange
+
+    names = [f"m/f{k:04}" for k in range(1500)]
+    nodes = universe(spark, *((n, "file", "m/") for n in names), ("m/", "module", None))
+    options = replace(ALL_TIME, bulk_paths=1200, min_pair_count=1, max_pairs=5000)
+    touched = history.resolve_history(nodes, *log(spark, ("big", 9, "x", *names), ("few", 8, "x", *names[:120])), options)
+    found = cochange.cochanges(touched, options)
+    assert found.count() == 5000
+    assert found.agg(F.max("b")).first()[0] < "m/f0120"
+
+
+@pytest.mark.parametrize("name", ["bulk_paths", "min_pair_count", "max_pairs"])
+def test_limits_are_at_least_one(name):
+    with pytest.raises(ValueError, match=name):
+        Options(anchor="2026-01-01T00:00:00Z", **{name: 0})
+
+
 def test_bad_anchor_is_an_error():
     with pytest.raises(ValueError):
         Options(anchor="yesterday")

@@ -296,6 +296,78 @@ def test_large_document_makes_the_round_trip(spark, tmp_path):
     assert back.select("id").exceptAll(nodes.select("id")).count() == 0 and back.count() == 60_000
 
 
+def _folder(root, docs):
+    """Documents as folders of part files; a document is a list of parts, a part a list of lines."""
+    for repo, parts in docs.items():
+        (root / f"repo_id={repo}").mkdir(parents=True)
+        for k, part in enumerate(parts):
+            (root / f"repo_id={repo}" / f"part-{k:05}.txt").write_text("".join(line + "\n" for line in part))
+
+
+HEAD = (
+    '{"schemaVersion":"1.0","repo":{"name":"r","remoteUrl":null,"analyzedAt":"2026-01-01T00:00:00Z","defaultBranch":"main",'
+    '"analysisWindowDays":90,"stats":{"files":1,"loc":1,"commits":1,"languages":{"go":1}}},"nodes":['
+)
+EDGES, PAIRS, END = '],"edges":[', '],"cochanges":[', "]}"
+
+
+def _node(n, **changes):
+    node = {"id": f"n{n}", "kind": "file", "parent": None, "path": f"n{n}", "layer": "other", "loc": n, "churn": 0,
+            "commits": 1, "authors": 1, "lastChangedAt": None, "description": None, "descriptionSource": None}
+    return json.dumps({**node, **changes}, separators=(",", ":"))
+
+
+@pytest.mark.parametrize("width", ["134217728", "300"])
+def test_documents_line_by_line(spark, tmp_path, width):
+    """Elements over many blocks and part files equal the document read whole."""
+    edge = '{"source":"n1","target":"n2","kind":"import","weight":1}'
+    pair = '{"a":"n1","b":"n2","count":3}'
+    nodes = [("," if k else "") + _node(k) for k in range(60)]
+    _folder(tmp_path, {
+        "one": [[HEAD, *nodes[:7]], nodes[7:31], [*nodes[31:], EDGES], [edge, "," + edge, PAIRS, pair, END]],
+        "a%20b": [[HEAD], [EDGES, PAIRS], [], [END]],
+        "other-version": [[HEAD.replace("1.0", "2.0"), EDGES, PAIRS, END]],
+        "bad-node": [[HEAD, *nodes[:5], "," + _node(5, loc="x"), *nodes[6:9], EDGES, PAIRS, END]],
+        "bad-edge": [[HEAD, EDGES, edge], ['  ,{"source":"n1"}'.strip(), PAIRS, END]],
+    })
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", width)
+    try:
+        lines = documents.read_lines(spark, str(tmp_path))
+        assert lines.where("repo_id = 'one' AND section = 0 AND n IS NOT NULL").orderBy("n").select("n").collect() == [
+            (k,) for k in range(60)
+        ]
+        got = documents.line_tables(lines)
+        whole = documents.read_documents(spark, str(tmp_path)).cache()
+        want = documents.document_tables(whole)
+        for name in ("nodes", "edges", "cochanges", "repos"):
+            assert rows(got[name]) == rows(want[name]), name
+        assert got["nodes"].count() == 60
+        assert rows(got["status"]) == rows(documents.load_status(whole).drop("raw"))
+        assert {(r.repo_id, r.detail) for r in got["status"].where("status <> 'ok'").collect()} == {
+            ("other-version", "schemaVersion is not supported: 2.0"), ("bad-node", "not a node at index 5"),
+            ("bad-edge", "not an edge at index 1"),
+        }
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_broken_lines_are_malformed(spark, tmp_path):
+    sound = [HEAD, _node(1), "," + _node(2), EDGES, PAIRS, END]
+    broken = {
+        "no-head": sound[1:], "no-end": sound[:-1], "comma": [HEAD, "," + _node(1), *sound[3:]],
+        "no-comma": [HEAD, _node(1), _node(2), *sound[3:]], "json": [HEAD, '{"id":', *sound[3:]],
+        "order": [HEAD, PAIRS, EDGES, END], "twice": [HEAD, HEAD, *sound[1:]], "after": [*sound, _node(3)],
+        "text": [HEAD, "what", *sound[1:]], "late-head": [EDGES, HEAD, PAIRS, END],
+    }
+    _folder(tmp_path, {"sound": [sound], **{k: [v] for k, v in broken.items()}})
+    tables = documents.line_tables(documents.read_lines(spark, str(tmp_path)))
+    assert {r.repo_id: (r.status, r.detail) for r in tables["status"].collect()} == {
+        "sound": ("ok", None), **dict.fromkeys(broken, ("malformed", "not valid JSON")),
+    }
+    assert rows(tables["nodes"], "repo_id", "id") == [("sound", "n1"), ("sound", "n2")]
+
+
 def test_enrichment_hook(analysed):
     assert analyze.enrich(analysed, lambda nodes: nodes).nodes.columns == analysed.nodes.columns
     with pytest.raises(ValueError):
