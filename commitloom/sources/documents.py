@@ -385,7 +385,9 @@ def line_tables(lines: DataFrame) -> dict[str, DataFrame]:
     element = F.col("n").isNotNull()
     comma = F.startswith("line", F.lit(","))
     body = F.when(comma, F.expr("substr(line, 2)")).otherwise(F.col("line"))
-    value = F.try_parse_json(body)
+    # in a list of one, as the parser itself reads over what follows a value
+    alone = _get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "", "array<variant>")
+    value = F.when(F.size(alone) == 1, alone[0])
     bad = {
         section: ~reduce(and_, [_fits(value, field, allowed) for field, allowed in dict(
             (path, fields) for path, _, fields in _SHAPE)[name].items()])

@@ -356,7 +356,7 @@ def test_broken_lines_are_malformed(spark, tmp_path):
     sound = [HEAD, _node(1), "," + _node(2), EDGES, PAIRS, END]
     broken = {
         "no-head": sound[1:], "no-end": sound[:-1], "comma": [HEAD, "," + _node(1), *sound[3:]],
-        "no-comma": [HEAD, _node(1), _node(2), *sound[3:]], "json": [HEAD, '{"id":', *sound[3:]],
+        "no-comma": [HEAD, _node(1), _node(2), *sound[3:]], "json": [HEAD, '{"id":', *sound[3:]], "more": [HEAD, _node(1) + "}", *sound[3:]],
         "order": [HEAD, PAIRS, EDGES, END], "twice": [HEAD, HEAD, *sound[1:]], "after": [*sound, _node(3)],
         "text": [HEAD, "what", *sound[1:]], "late-head": [EDGES, HEAD, PAIRS, END],
     }
