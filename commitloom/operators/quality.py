@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from commitloom.functions import fixed_values as fv
 from commitloom.operators import resolution as res
@@ -342,10 +343,44 @@ def pair_rules(
     return reduce(DataFrame.unionByName, [single, repeated, crowded])
 
 
+#: parts of a table that are compared by a digest each; as many rows at most are broadcast
+DIGESTS = 1 << 16
+
+
+def _row_hash(rows: DataFrame, seed: int) -> Column:
+    """A 64-bit hash of all columns; nulls are told apart by their place, inside of nested values too."""
+    nested = [F.to_json(F.struct(f.name), {"ignoreNullFields": "false"}) for f in rows.schema
+              if isinstance(f.dataType, (ArrayType, StructType))]
+    return F.xxhash64(F.lit(seed), *rows.columns, *[F.col(c).isNull() for c in rows.columns], *nested)
+
+
+def _digests(rows: DataFrame, name: str) -> DataFrame:
+    """Per part the rows' number and two sums of their hashes, which no order changes."""
+    parts = rows.select(
+        F.pmod(_row_hash(rows, 0), F.lit(DIGESTS)).alias("_part"), _row_hash(rows, 1).alias("h"), _row_hash(rows, 2).alias("k")
+    )
+    return parts.groupBy("_part").agg(
+        F.struct(F.count("*"), F.bit_xor("h"), F.sum(F.col("k").cast("decimal(38,0)"))).alias(name)
+    )
+
+
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows only one of two runs has; empty when both agree."""
-    one = left.exceptAll(right).withColumn("only_in", F.lit("left"))
-    two = right.exceptAll(left).withColumn("only_in", F.lit("right"))
+    """Rows only one of two runs has; empty when both agree.
+
+    Rows are dealt by their hash to parts, whose digests need one aggregate a
+    table. Only rows of parts whose digests differ are compared themselves.
+    """
+    right = right.select(*left.columns)
+    both = _digests(left, "l").join(_digests(right, "r"), "_part", "full")
+    unequal = F.broadcast(both.where(~F.col("l").eqNullSafe(F.col("r"))).select("_part"))
+
+    def doubtful(rows: DataFrame) -> DataFrame:
+        marked = rows.withColumn("_part", F.pmod(_row_hash(rows, 0), F.lit(DIGESTS)))
+        return marked.join(unequal, "_part", "left_semi").drop("_part")
+
+    some, others = doubtful(left), doubtful(right)
+    one = some.exceptAll(others).withColumn("only_in", F.lit("left"))
+    two = others.exceptAll(some).withColumn("only_in", F.lit("right"))
     return one.unionByName(two)
 
 

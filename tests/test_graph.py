@@ -172,3 +172,9 @@ def test_table_checks(spark):
     assert rows(quality.unmet_counts(nodes, {"module": 3, "file": 4}), "kind", "expected", "found") == [("file", 4, 5)]
     assert quality.differences(nodes, nodes.repartition(3)).count() == 0
     assert rows(quality.differences(nodes, nodes.where("id <> 'lone'")), "id", "only_in") == [("lone", "left")]
+    nulls = spark.createDataFrame([(None, "a", [1, None]), ("a", None, [None, 1]), (None, "a", [1, None])], "x string, y string, z array<int>")
+    other = spark.createDataFrame([("a", None, [1, None]), (None, "a", [None, 1]), (None, "a", [1, None])], "x string, y string, z array<int>")
+    assert quality.differences(nulls, nulls.repartition(2)).count() == 0
+    assert rows(quality.differences(nulls, other)) == rows(
+        nulls.exceptAll(other).selectExpr("*", "'left'").union(other.exceptAll(nulls).selectExpr("*", "'right'"))
+    )
