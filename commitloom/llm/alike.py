@@ -1,12 +1,12 @@
 """Links between sets that are alike: shared MinHash buckets, then the exact Jaccard similarity.
 
-In a bucket every member is first held against two chosen ones, which links most
-of a group of like members at a cost linear in the bucket. What a bucket still
-holds apart after that, members of different components, is compared in full, so
-that no pair that shares a bucket is left out: at once where a bucket has few
-such pairs; where it has many, its members are dealt out anew by more signature
-rows, which tell unlike members apart better, into enough bands that like ones
-still meet. The last deal is compared in full whatever its size.
+In a bucket every member is held against two chosen ones, which links most of a
+group of like members at a cost linear in the bucket. Members that a bucket still
+holds apart after that, in different components, go on to an exact prefix-filter
+join: their elements are ordered by how many of them hold it, rare first, and two
+sets of similarity t must share one of the first n - ceil(t n) + 1 of a set's n
+elements. What a whole family of unlike sets has in common comes last in that order,
+so its members do not meet, and no bucket is ever compared pair by pair.
 
 All of it is DataFrame code. Members are told apart by a 64-bit id and set
 elements by a 64-bit hash.
@@ -16,20 +16,13 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitloom.llm.common import store
 from commitloom.llm.components import components
 
-#: signature rows of a band and bands of the deals after the first; 0.9998 of pairs of similarity 0.8 meet again
-FURTHER = ((8, 48),)
-#: a bucket of at most so many pairs of different components is compared in full at once
-WHOLE = 1_000_000
-
-
 def recall(similarity: float, rows: int, bands: int) -> float:
     """The probability that two sets of a similarity share a bucket."""
     return 1 - (1 - similarity**rows) ** bands
@@ -41,20 +34,6 @@ def points(count: int, seed: int) -> list[int]:
     return [rng.getrandbits(32) - (1 << 31) for _ in range(count)]
 
 
-def dealt(items: DataFrame, hashes: Column, rows: int, bands: int) -> DataFrame:
-    """(bucket, id, n) of items (id, n, ...), whose element hashes are given as an array of long."""
-    drawn = F.array(*map(F.lit, points(rows * bands, rows)))
-    signed = items.select("id", "n", F.transform(hashes, lambda h: F.shiftright(h, 32).cast("int")).alias("h")).select(
-        "id", "n", F.transform(drawn, lambda point: F.array_min(F.transform("h", lambda h: h.bitwiseXOR(point)))).alias("s")
-    )
-    return signed.select(
-        F.explode(F.transform(
-            F.sequence(F.lit(0), F.lit(bands - 1)),
-            lambda band: F.xxhash64(F.lit(rows), band, F.slice("s", band * rows + 1, rows)),
-        )).alias("bucket"), "id", "n",
-    )
-
-
 def members(rows: DataFrame) -> DataFrame:
     """(bucket, id, n, others) of buckets with company; others: the two the bucket has chosen."""
     rows = rows.repartition("bucket")
@@ -80,27 +59,33 @@ def chosen_pairs(shared: DataFrame) -> DataFrame:
 
 
 def apart(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """(bucket, id, class, major, crossing) of buckets whose members are not all linked.
-
-    major: the class most of the bucket is of; crossing: its pairs of different classes.
-    """
+    """(id, class) of the members of buckets that hold more than one class, a component of the links."""
     found = components(links).withColumnRenamed("node", "id")
-    classed = shared.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("class"))
-    counts = classed.groupBy("bucket", "class").agg(F.count("*").alias("c"))
-    buckets = counts.groupBy("bucket").agg(
-        F.max(F.struct("c", "class"))["class"].alias("major"),
-        F.count("*").alias("classes"),
-        F.sum(F.col("c").cast("double")).alias("size"),
-        F.sum(F.col("c").cast("double") * F.col("c")).alias("within"),
-    ).where("classes > 1").selectExpr("bucket", "major", "(size * size - within) / 2 AS crossing")
-    return classed.join(buckets, "bucket")
+    classed = shared.select("bucket", "id").join(found, "id", "left").select(
+        "bucket", "id", F.coalesce("component", "id").alias("class")
+    )
+    mixed = classed.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
+    return classed.join(mixed.select("bucket"), "bucket", "left_semi").select("id", "class").distinct()
 
 
-def all_pairs(held: DataFrame) -> DataFrame:
-    """(a, b): every pair of different classes in a bucket."""
-    left = held.where("class <> major").select("bucket", "id", "class")
-    right = held.select("bucket", F.col("id").alias("other"), F.col("class").alias("its"), "major")
-    return _pairs(left.join(right, "bucket").where("its = major OR class < its"))
+def sharing_pairs(rest: DataFrame, items: DataFrame, hashes: Callable[[str], Column], similarity: float) -> DataFrame:
+    """(a, b): the pairs of different classes of (id, class) that the prefix filter lets through.
+
+    An element that one set alone holds links nothing, but stands first in its order.
+    """
+    sets = items.join(rest, "id").select("id", "class", hashes("data").alias("h"))
+    each = store(sets.select("id", "class", F.size("h").alias("n"), F.explode("h").alias("h")))
+    held = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    order = Window.partitionBy("id").orderBy("c", "h")
+    # a set of n elements, m of them shared, is let go unless m - ceil(t n) + 1 of those are in its prefix
+    places = each.join(held, "h").select(
+        "*", F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy("id")).alias("m")
+    )
+    prefix = places.where(F.col("r") <= F.col("m") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
+    left = prefix.select("h", "id", "class", "n")
+    right = prefix.select("h", F.col("id").alias("other"), F.col("class").alias("its"), F.col("n").alias("size"))
+    near = F.least("n", "size") >= F.greatest("n", "size") * similarity - 1e-9
+    return _pairs(left.join(right, "h").where((F.col("id") > F.col("other")) & (F.col("class") != F.col("its")) & near))
 
 
 def similar(pairs: DataFrame, items: DataFrame, hashes: Callable[[str], Column], similarity: float) -> DataFrame:
@@ -117,20 +102,8 @@ def similar(pairs: DataFrame, items: DataFrame, hashes: Callable[[str], Column],
 def links(shared: DataFrame, items: DataFrame, hashes: Callable[[str], Column], similarity: float) -> DataFrame:
     """(a, b): links enough to connect all like items (id, n, data) that share a bucket.
 
-    `shared` holds the stored members of the first deal's buckets.
+    `shared` holds the stored members of the buckets.
     """
-    def joined() -> DataFrame:
-        return reduce(DataFrame.unionByName, found)
-
-    found = [store(similar(chosen_pairs(shared), items, hashes, similarity))]
-    for rows, bands in (*FURTHER, (0, 0)):
-        held = store(apart(shared, joined()))
-        whole = held.where(F.col("crossing") <= WHOLE) if rows else held
-        found.append(store(similar(all_pairs(whole), items, hashes, similarity)))
-        large = held.where(F.col("crossing") > WHOLE).select("id").distinct()
-        if not rows or large.isEmpty():
-            break
-        again = items.join(large, "id", "left_semi")
-        shared = store(members(dealt(again, hashes("data"), rows, bands)))
-        found.append(store(similar(chosen_pairs(shared), items, hashes, similarity)))
-    return joined()
+    near = store(similar(chosen_pairs(shared), items, hashes, similarity))
+    rest = store(apart(shared, near))
+    return near.unionByName(store(similar(sharing_pairs(rest, items, hashes, similarity), items, hashes, similarity)))

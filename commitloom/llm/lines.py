@@ -5,13 +5,14 @@ shingle is hashed once, each signature place takes the least value of its own
 mixing of that hash. Bands of signature places are buckets; in each bucket every
 line is held against two lines of it: the one that occurs most often, of which
 the others tend to be variants, and the least by an order of the bucket's own.
-Lines of a bucket that are not linked after that are compared in full, in large
-buckets after further deals by more signature places (`alike.py`), so no pair
-that shares a bucket is left out. Pairs count only if the exact Jaccard
+Lines that a bucket still holds apart meet by their rarest shingles (`alike.py`), so
+no like pair that shares a bucket is left out. Pairs count only if the exact Jaccard
 similarity of their shingle sets reaches the threshold. Connected lines form a
 component by distributed union-find, and of all places of a component's lines
 the first, by document and place, is kept.
 
+Characters are UTF-16 units here, of which a shingle is cut at a fixed cost.
+
 All of it is DataFrame code. Defined cases: a null text has no line, an empty
 text one blank line; blank lines are always kept; a line shorter than a shingle
 is a shingle of its own; a null id comes before all others; rows equal in id and
@@ -29,8 +30,10 @@ from commitloom.llm import alike
 from commitloom.llm.common import free, store
 from commitloom.llm.components import components
 
-#: bytes of a shingle; signature places of a band, bands; the least similarity
-SHINGLE, ROWS, BANDS, SIMILAR = 8, 3, 12, 0.8
+#: characters of a shingle; signature places of a band, bands; the least similarity
+SHINGLE, ROWS, BANDS, SIMILAR = 8, 4, 10, 0.8
+#: bytes of a character
+UNIT = 2
 BLANKS = " \t\r\x0b\f"
 
 
@@ -61,21 +64,33 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """(id, data, n): every different line once, as bytes, and how often it occurs."""
-    lines = places(docs).groupBy("id").agg(F.min("line").alias("line"), F.count("*").alias("n"))
-    return lines.select("id", F.col("line").cast("binary").alias("data"), "n")
+    """(id, line, n): every different line once, and how often it occurs."""
+    return places(docs).groupBy("id").agg(F.min("line").alias("line"), F.count("*").alias("n"))
+
+
+def _wide(line: str) -> Column:
+    """A line with all its characters of one width."""
+    return F.encode(F.col(line), "UTF-16BE")
 
 
 def _shingles(data: Column) -> Column:
-    """Starts of a line's shingles, from 1."""
-    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(data) - (SHINGLE - 1)))
+    """Starts of a line's shingles in its bytes, from 1."""
+    last = F.octet_length(data) - (SHINGLE * UNIT - 1)
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), last), F.lit(UNIT))
 
 
 def _hashes(name: str) -> Column:
-    """The different shingle hashes of a line."""
-    return F.array_distinct(F.transform(
-        _shingles(F.col(name)), lambda start: F.xxhash64(F.substring(F.col(name), start, F.lit(SHINGLE)))
-    ))
+    """The different shingle hashes of a line, given as `_wide` makes it.
+
+    The line is bound once, as a list's element: read from its row it would be copied
+    for every shingle.
+    """
+    def different(data: Column) -> Column:
+        return F.array_distinct(F.transform(
+            _shingles(data), lambda start: F.xxhash64(F.substring(data, start, F.lit(SHINGLE * UNIT)))
+        ))
+
+    return F.get(F.transform(F.array(F.col(name)), different), F.lit(0))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -85,8 +100,9 @@ def signatures(lines: DataFrame) -> DataFrame:
     likely to be any shingle's, and two sets agree in it with the probability of
     their Jaccard similarity.
     """
-    starts = lines.select("id", "n", "data", F.explode(_shingles(F.col("data"))).alias("start"))
-    hashes = starts.select("id", "n", F.xxhash64(F.substring("data", F.col("start"), F.lit(SHINGLE))).alias("h"))
+    wide = lines.select("id", "n", _wide("line").alias("data"))
+    starts = wide.select("id", "n", "data", F.explode(_shingles(F.col("data"))).alias("start"))
+    hashes = starts.select("id", "n", F.xxhash64(F.substring("data", F.col("start"), F.lit(SHINGLE * UNIT))).alias("h"))
     short = hashes.select("id", "n", F.shiftright("h", 32).cast("int").alias("h"))
     return short.groupBy("id").agg(
         F.max("n").alias("n"),
@@ -108,7 +124,9 @@ def links(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     shared = store(alike.members(buckets(signatures(lines))))
     free(docs.sparkSession)
     # the texts of those alone that share a bucket
-    some = store(lines.join(shared.select("id").distinct(), "id", "left_semi"))
+    some = store(
+        lines.join(shared.select("id").distinct(), "id", "left_semi").select("id", _wide("line").alias("data"), "n")
+    )
     return alike.links(shared, some, _hashes, similarity)
 
 
@@ -130,12 +148,18 @@ def _with_kept(docs: DataFrame, similarity: float) -> DataFrame:
     """The columns but the text as `row`, text, n_lines, n_kept and the text of the kept lines."""
     rows = _identified(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
     joined = rows.join(kept_places(docs, similarity), ["doc", "tie"], "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(
-        F.transform(lines, lambda line, place: F.struct(line.alias("line"), place.alias("place"))),
-        lambda x: _blank(x["line"]) | F.array_contains("kept", x["place"]),
+    split = joined.select("row", "text", "kept", F.split("text", "\n", -1).alias("lines"))
+    # sets of places: each step takes a document's lines once
+    whole = F.when(F.col("lines").isNotNull(), F.sequence(F.lit(0), F.size("lines") - 1))
+    placed = split.select("row", "text", "lines", "kept", whole.alias("places"), F.filter(
+        F.transform("lines", lambda line, place: F.when(_blank(line), place)), lambda place: place.isNotNull()
+    ).alias("blank"))
+    gone = F.array_except(F.array_except("places", F.coalesce("kept", F.array().cast("array<int>"))), "blank")
+    left = placed.select("row", "text", "lines", F.array_except("places", gone).alias("left"))
+    listed = left.select(
+        "row", "text", F.size("lines").alias("n_lines"),
+        F.transform("left", lambda place: F.get("lines", place)).alias("kept"),
     )
-    listed = joined.select("row", "text", F.size(lines).alias("n_lines"), F.transform(kept, lambda x: x["line"]).alias("kept"))
     return listed.select(
         "row",
         "text",

@@ -61,8 +61,7 @@ def test_pairs_at_the_threshold_are_found(make):
     assert {i for i, _ in rows if i % 2 == 0} <= kept and len(kept) <= 402
 
 
-def test_buckets_of_unlike_templates_lose_no_pair(make, monkeypatch):
-    monkeypatch.setattr(alike, "WHOLE", 200)  # so that buckets are dealt anew
+def test_buckets_of_unlike_templates_lose_no_pair(make):
     rng, rows = random.Random(4), []
     template = texts_of(rng, 1, 80)[0].split()
     for k in range(300):  # own ending: 76 of 126 shingles and more in common
