@@ -74,14 +74,15 @@ def sharing_pairs(rest: DataFrame, items: DataFrame, hashes: Callable[[str], Col
     An element that one set alone holds links nothing, but stands first in its order.
     """
     sets = items.join(rest, "id").select("id", "class", hashes("data").alias("h"))
-    each = store(sets.select("id", "class", F.size("h").alias("n"), F.explode("h").alias("h")))
+    sizes = store(sets.select("id", "class", F.size("h").alias("n")))
+    each = sets.select("id", F.explode("h").alias("h"))
     held = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     order = Window.partitionBy("id").orderBy("c", "h")
     # a set of n elements, m of them shared, is let go unless m - ceil(t n) + 1 of those are in its prefix
     places = each.join(held, "h").select(
         "*", F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy("id")).alias("m")
     )
-    prefix = places.where(F.col("r") <= F.col("m") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
+    prefix = places.join(sizes, "id").where(F.col("r") <= F.col("m") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
     left = prefix.select("h", "id", "class", "n")
     right = prefix.select("h", F.col("id").alias("other"), F.col("class").alias("its"), F.col("n").alias("size"))
     near = F.least("n", "size") >= F.greatest("n", "size") * similarity - 1e-9
