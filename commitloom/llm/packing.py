@@ -22,6 +22,7 @@ from collections import deque
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,24 +92,39 @@ def best_cuts(places: list[int], costs: list[int], sequence: int, last_cost) ->
     return cuts[::-1]
 
 
-def sentence_ends(text: bytes):
-    """For each word of a text, whether a sentence ends with it."""
-    import numpy as np
+def _holds(some: bytes):
+    """For each byte whether it is one of some."""
+    table = np.zeros(256, bool)
+    table[list(some)] = True
+    return table
+
+
+IS_SPACE, IS_CLOSER, IS_MARK = _holds(SPACE), _holds(CLOSERS), _holds(MARKS)
+WIDE = [int.from_bytes(mark.encode(), "big") for mark in WIDE_MARKS]
 
-    def holds(some: bytes):
-        table = np.zeros(256, bool)
-        table[list(some)] = True
-        return table
 
+def sentence_ends(text: bytes):
+    """For each word of a text, whether a sentence ends with it."""
     # blanks before the text, so that a word's end can be looked back from
     data = np.frombuffer(b"    " + text + b" ", "u1")
-    space = holds(SPACE)[data]
+    space = IS_SPACE[data]
     last = np.flatnonzero(~space[:-1] & space[1:])
+    final = data[last]
     for _ in range(2):
-        last = np.where(holds(CLOSERS)[data[last]], last - 1, last)
-    wide = data[last].astype("i4") | data[last - 1].astype("i4") << 8 | data[last - 2].astype("i4") << 16
-    marks = [int.from_bytes(mark.encode(), "big") for mark in WIDE_MARKS]
-    return holds(MARKS)[data[last]] | np.isin(wide, marks)
+        closed = np.flatnonzero(IS_CLOSER[final])
+        if not len(closed):
+            break
+        last[closed] -= 1
+        final[closed] = data[last[closed]]
+    ends = IS_MARK[final]
+    # a wide mark has three bytes, none of them ASCII
+    far = np.flatnonzero(final >= 0x80)
+    if len(far):
+        at = last[far]
+        wide = data[at].astype("i4") | data[at - 1].astype("i4") << 8 | data[at - 2].astype("i4") << 16
+        for mark in WIDE:
+            ends[far] |= wide == mark
+    return ends
 
 
 class _Stretch:
@@ -121,8 +137,6 @@ class _Stretch:
 
     def add(self, doc_id, text: bytes, ids: list[bytes], end: bytes, stretch: int) -> Iterator[None]:
         """Append a document, its ids word by word; yields whenever the stretch is full."""
-        import numpy as np
-
         data = np.frombuffer(b"".join(ids) + end, "<u4")
         sentence = sentence_ends(text)
         ends = np.cumsum(np.fromiter(map(len, ids), "i8", len(ids)))[sentence] // 4
@@ -145,8 +159,6 @@ class _Stretch:
         """Give out the sequences; all but the last one unless this is the end."""
         import zlib
 
-        import numpy as np
-
         if not self.length:
             return
         ids = np.concatenate(self.ids)
@@ -194,7 +206,6 @@ def _tail(length: int, sequence: int) -> tuple[int, list[int]]:
 
 
 def _pack(batches: Iterator, tokenizer: str, end_id: int, sequence: int, stretch: int) -> Iterator:
-    import numpy as np
     import pyarrow as pa
     from pyspark import TaskContext
 
@@ -216,7 +227,8 @@ def _pack(batches: Iterator, tokenizer: str, end_id: int, sequence: int, stretch
             next_id += rows[-1][0] + 1
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary(batch.column("text")), strict=True):
-            for _ in kept.add(doc_id, text, encoder.words(text)[1], end, stretch):
+        texts = binary(batch.column("text"))
+        for doc_id, text, (_, ids) in zip(batch.column("doc_id").to_pylist(), texts, encoder.batch(texts), strict=True):
+            for _ in kept.add(doc_id, text, ids, end, stretch):
                 yield from pieces(False)
     yield from pieces(True)

@@ -68,7 +68,7 @@ def _encode(batches: Iterator, tokenizer: str, end_id: int) -> Iterator:
     encoder, file, start = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        texts = [b"".join(encoder.words(t)[1]) + end for t in binary(batch.column("text"))]
+        texts = [b"".join(ids) + end for _, ids in encoder.batch(binary(batch.column("text")))]
         counts = np.array([len(t) // 4 for t in texts], "i8")
         offsets = np.concatenate([[0], np.cumsum(counts)])
         ids = pa.ListArray.from_arrays(
@@ -114,10 +114,10 @@ def _checksums(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        sums = [
-            zlib.crc32(ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-            for ids in batch.column("ids")
-        ]
+        ids = batch.column("ids")
+        data = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
+        ends = (ids.offsets.to_numpy() * 4).tolist()
+        sums = [zlib.crc32(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64())],
             ["doc_id", "start", "n_tokens", "ids_crc32"],

@@ -34,13 +34,42 @@ class WordEncoder(dict):
         self.lowers = self._encode(b"A B") == self._encode(b"a b")
         self.splits = self._encode(b"a.") == self._encode(b"a") + self._encode(b".")
 
-    def words(self, text: bytes) -> tuple[list[bytes], list[bytes]]:
-        """The words of a UTF-8 text, and the ids of each."""
+    def batch(self, texts: list[bytes]) -> list[tuple[list[bytes], list[bytes]]]:
+        """The words of each UTF-8 text, and the ids of each; what is new goes to the tokenizer together."""
+        split = [self._split(text) for text in texts]
+        self._learn(word for word in set().union(*split) if word not in self)
+        return [(words, list(map(self.__getitem__, words))) for words in split]
+
+    def _split(self, text: bytes) -> list[bytes]:
         folded = text.lower() if self.lowers else text
         if folded is not text and any(s in folded for s in self.special):
             folded = text  # the tokenizer tells these strings' case apart
-        words = folded.split()
-        return words, list(map(self.__getitem__, words))
+        return folded.split()
+
+    def words(self, text: bytes) -> tuple[list[bytes], list[bytes]]:
+        """The words of a UTF-8 text, and the ids of each."""
+        return self.batch([text])[0]
+
+    def _parts(self, word: bytes) -> list[bytes]:
+        """The word, or its letters and the marks after them where those are encoded apart."""
+        letters = word.rstrip(PUNCTUATION) if self.splits else word
+        if letters != word and _only_letters(letters.decode()):
+            return [letters, word[len(letters) :]]
+        return [word]
+
+    def _learn(self, words) -> None:
+        """Remember words, each part of those not seen lately encoded once."""
+        import numpy as np
+
+        parts = {word: self._parts(word) for word in words}
+        new = list({p for some in parts.values() for p in some if p not in self and p not in self.old})
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+        ids = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, found, strict=True)}
+        if len(self) + len(parts) + len(new) > self.remembered:
+            self.old = dict(self)
+            self.clear()
+        for word, some in parts.items():
+            self[word] = b"".join([ids[p] if p in ids else self[p] for p in some])
 
     def _encode(self, word: bytes) -> bytes:
         import numpy as np
@@ -50,14 +79,8 @@ class WordEncoder(dict):
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            letters = word.rstrip(PUNCTUATION) if self.splits else word
-            if letters != word and _only_letters(letters.decode()):
-                ids = self[letters] + self[word[len(letters) :]]
-            else:
-                ids = self._encode(word)
-        if len(self) >= self.remembered:
-            self.old = dict(self)
-            self.clear()
+            some = self._parts(word)
+            ids = self._encode(word) if len(some) == 1 else b"".join(self[p] for p in some)
         self[word] = ids
         return ids
 
