@@ -83,9 +83,16 @@ def sharing_pairs(rest: DataFrame, items: DataFrame, hashes: Callable[[str], Col
         "*", F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy("id")).alias("m")
     )
     prefix = places.join(sizes, "id").where(F.col("r") <= F.col("m") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
-    left = prefix.select("h", "id", "class", "n")
-    right = prefix.select("h", F.col("id").alias("other"), F.col("class").alias("its"), F.col("n").alias("size"))
-    near = F.least("n", "size") >= F.greatest("n", "size") * similarity - 1e-9
+    prefix = prefix.select("h", "id", "class", "n", (F.col("m") - F.col("r")).alias("after"))
+    left = prefix
+    right = prefix.select(
+        "h", F.col("id").alias("other"), F.col("class").alias("its"), F.col("n").alias("size"), F.col("after").alias("rest")
+    )
+    # at their first common element two sets have no more in common than it and what follows in both
+    needed = (F.col("n") + F.col("size")) * (similarity / (1 + similarity))
+    near = (F.least("n", "size") >= F.greatest("n", "size") * similarity - 1e-9) & (
+        F.least("after", "rest") + 1 >= needed - 1e-9
+    )
     return _pairs(left.join(right, "h").where((F.col("id") > F.col("other")) & (F.col("class") != F.col("its")) & near))
 
 
