@@ -66,6 +66,20 @@ def test_remembered_words_change_nothing():
             assert ids == whole.encode(part, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_plain_letters_have_the_tokenizer_s_ids(name):
+    path = public_tokenizers.path(name)
+    encoder, whole = WordEncoder(path), Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x300) if chr(c).isalpha()]
+    words = [*letters, *(a + b for a, b in zip(letters, letters[7:] + letters[:7], strict=True)), "e\u0301te", "straße", "ﬁn"]
+    if encoder.lowers:  # words that stand alone
+        assert len(encoder.plain) > 200
+        words = [w.lower() for w in words]
+    for word in words:
+        ids = np.frombuffer(encoder._encode_word(word), "<u4").tolist()
+        assert ids == whole.encode(word, add_special_tokens=False).ids, word
+
+
 @pytest.mark.parametrize("stretch", [1 << 20, 5000])
 @pytest.mark.parametrize("case", ["table", "awkward"])
 def test_pieces_cover_every_document(make, texts, case, stretch):
