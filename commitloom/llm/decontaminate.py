@@ -89,13 +89,21 @@ class WindowSet:
         return hit, found
 
 
-def _shards(items: DataFrame, window: int) -> Iterator:
-    """Broadcast window sets, each of about `SHARD_BYTES` of item text at most."""
-    rows = items.select(
+def _passages(items: DataFrame) -> DataFrame:
+    return items.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text")
     ).where(F.length("text") > 0).dropDuplicates()
+
+
+def _shard_count(rows: DataFrame) -> int:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = -(-2 * total // SHARD_BYTES) if total > SHARD_BYTES else 1
+    return -(-2 * total // SHARD_BYTES) if total > SHARD_BYTES else 1
+
+
+def _shards(items: DataFrame, window: int) -> Iterator:
+    """Broadcast window sets, each of about `SHARD_BYTES` of item text at most."""
+    rows = _passages(items)
+    shards = _shard_count(rows)
     for shard in range(shards):
         some = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard)
         listed = sorted((r.item, r.text.encode()) for r in some.collect())
@@ -169,15 +177,17 @@ def remove_items(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
 
     A cut leaves a line break. `n_chars` follows the text where there is one.
     Removing a passage may bring the words around it together; texts cut once
-    are scanned again until none of them holds a window of its shard.
+    are scanned again until none of them holds a window. A text is judged by the
+    windows of all shards before it is cut, so the number of shards changes nothing.
     """
-    found = docs.select(F.struct(*_all(docs)).alias("row"), F.col("text").alias("text")).withColumn(
-        "cut", F.lit(False)
+    texts = docs.select(
+        F.struct(*_all(docs)).alias("row"), F.col("text").alias("text"), F.lit(False).alias("cut")
     )
-    schema = found.schema
-    for place, windows in enumerate(_shards(items, window)):
-        found = store(found) if place else found
-        found = found.mapInArrow(lambda batches, w=windows: _cut(batches, received(w)), schema)
+    if _shard_count(_passages(items)) == 1:
+        (windows,) = _shards(items, window)
+        found = texts.mapInArrow(lambda batches: _cut(batches, received(windows)), texts.schema)
+    else:
+        found = _cut_in_rounds(texts, items, window)
     kept = found.where(~F.col("cut") | F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
     columns = []
     for name in docs.columns:
@@ -190,22 +200,56 @@ def remove_items(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     return kept.select(columns)
 
 
-def without_hits(text: bytes, windows: WindowSet) -> bytes:
-    """The text without any occurrence of a window."""
+def _cut_in_rounds(texts: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(row, text, cut): every round marks the windows of all shards, then cuts; texts just cut go on."""
+    done = None
+    while True:
+        marked = store(find_items(texts, items, window).select("row.*", "hits"))
+        clean = marked.where(F.size("hits") == 0).drop("hits")
+        done = clean if done is None else done.unionByName(clean)
+        hit = marked.where(F.size("hits") > 0)
+        if hit.isEmpty():
+            return done
+        texts = store(hit.mapInArrow(_cut_marked, clean.schema))
+
+
+def without_words(text: bytes, hit) -> bytes:
+    """The text with a line break for each stretch of words that are hit."""
     import re
 
+    spans = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(FOLD))]
+    parts, at = [], 0
+    for place, (start, end) in enumerate(spans):
+        if hit[place]:
+            if not place or not hit[place - 1]:
+                parts.append(text[at:start])
+            at = end
+    return b"\n".join([*parts, text[at:]])
+
+
+def without_hits(text: bytes, windows: WindowSet) -> bytes:
+    """The text without any occurrence of a window."""
     while True:
         hit, _ = windows.find(folded_words(text))
         if not hit.any():
             return text
-        spans = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(FOLD))]
-        parts, at = [], 0
-        for place, (start, end) in enumerate(spans):
-            if hit[place]:
-                if not place or not hit[place - 1]:
-                    parts.append(text[at:start])
-                at = end
-        text = b"\n".join([*parts, text[at:]])
+        text = without_words(text, hit)
+
+
+def _cut_marked(batches: Iterator) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        texts = []
+        for text, places in zip(binary(batch.column("text")), batch.column("hits").to_pylist(), strict=True):
+            hit = np.zeros(len(folded_words(text)), bool)
+            hit[places] = True
+            texts.append(without_words(text, hit).decode())
+        yield pa.RecordBatch.from_pydict({
+            "row": batch.column("row"), "text": pa.array(texts, pa.string()),
+            "cut": pa.array([True] * len(texts), pa.bool_()),
+        })
 
 
 def _cut(batches: Iterator, windows: WindowSet) -> Iterator:

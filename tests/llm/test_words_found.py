@@ -124,6 +124,42 @@ def test_removal_leaves_no_window_and_all_else(spark, make):
     assert texts[3] == (None, None) and texts[4] == ("", 0) and texts[8] == ("x", 1)
 
 
+def cleaned(text, items, size=10):
+    """The words left when all occurrences of all windows go at once, until none is left."""
+    left = words(text)
+    windows = {tuple(w[s : s + size]) for _, t in items for w in [words(t)] for s in range(max(1, len(w) - size + 1))}
+    while True:
+        hit = set()
+        for window in windows:
+            for s in range(len(left) - len(window) + 1):
+                if tuple(left[s : s + len(window)]) == window[:size]:
+                    hit.update(range(s, s + len(window)))
+        if not hit:
+            return left
+        left = [w for k, w in enumerate(left) if k not in hit]
+
+
+def test_shards_cut_no_text_differently(spark, make, monkeypatch):
+    run = [f"w{k}" for k in range(40)]
+    # items overlap in the texts; the last ones come together only where another is cut out
+    items = [(k, " ".join(run[s : s + 12])) for k, s in enumerate((2, 8, 14, 20))]
+    items += [(10, "one two three four"), (11, "x one"), (12, "y z")]
+    rows = [
+        (1, " ".join(run)), (2, "a " + " ".join(run[5:30]) + " b"), (3, "clean text"),
+        (4, "p x " + " ".join(run[2:14]) + " one q"), (5, "y one two three four z. End"), (6, "y x one two three four z"),
+    ]
+    docs, table = make(rows, extra=True), items_of(spark, items)
+    whole = sorted((r.doc_id, r.text, r.n_chars) for r in decontaminate.remove_items(docs, table).collect())
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 100)
+    assert decontaminate._shard_count(decontaminate._passages(table)) > 4
+    parts = decontaminate.remove_items(docs, table)
+    assert parts.schema == docs.schema
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in parts.collect()) == whole
+    left = {i: cleaned(t, items) for i, t in rows}
+    assert {i: words(t) for i, t, _ in whole} == {i: w for i, w in left.items() if w}
+    assert left[4] == ["p", "q"] and left[6] != words(rows[5][1])
+
+
 def test_empty_tables(spark, make, texts):
     none = items_of(spark, [])
     assert decontaminate.contamination(make([]), items_of(spark, ITEMS)).count() == 0
