@@ -16,16 +16,17 @@ def search(
 ) -> DataFrame:
     """The best matches per repository and query, ties by path.
 
-    The queries are a list typed by a user; blank ones give no rows. Ranks are
-    cut inside each map task first, so a broad query stays cheap.
+    The queries are a list typed by a user; blank ones give no rows, as
+    does a null path. A path is repeated only for the queries that it may match, so
+    characters are placed and scored for few pairs. Ranks are cut inside each map task
+    first, so a broad query stays cheap.
     """
     wanted = [q.strip() for q in dict.fromkeys(queries) if q.strip()]
     if not wanted:
         wanted_rows = nodes.limit(0).withColumn("query", F.lit(""))
     else:
-        wanted_rows = nodes.withColumn(
-            "query", F.explode(F.array(*[F.lit(q) for q in wanted]))
-        )
+        fitting = F.array(*[F.when(text.may_match(F.col("path"), q), F.lit(q)) for q in wanted])
+        wanted_rows = nodes.withColumn("query", F.explode(F.array_compact(fitting)))
     scored = (
         wanted_rows.select("repo_id", "query", "id", "path")
         .withColumn("positions", text.match_positions(F.col("path"), F.col("query")))
