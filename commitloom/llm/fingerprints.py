@@ -10,7 +10,7 @@ of them, two fingerprints within the radius agree in all blocks of some table.
 
 All of it is DataFrame code. Defined cases: a null text is empty; a text without
 words has fingerprint zero, a single word is a term of its own; a null id comes
-before all others; rows equal in id and text give one row; the only document
+before all others; rows equal in id and text are one document and give a row each; the only document
 follows itself; an empty table gives an empty one; other columns are ignored.
 """
 
@@ -94,12 +94,14 @@ def within(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFr
 
 
 def following(docs: DataFrame) -> DataFrame:
-    """(doc, tie, n, next_doc, next_tie): each document's successor by id, the first after the last.
+    """(doc, tie, n, copies, next_doc, next_tie): each document's successor by id, the first after the last.
 
     Ids are dealt out by range and ordered within each range; only the ranges'
     first ids, one row a partition, meet in one place.
     """
-    ids = docs.groupBy("doc", "tie").agg(F.max(F.length("text")).cast("long").alias("n"))
+    ids = docs.groupBy("doc", "tie").agg(
+        F.max(F.length("text")).cast("long").alias("n"), F.count("*").cast("int").alias("copies")
+    )
     dealt = store(ids.repartitionByRange("doc", "tie").withColumn("part", F.spark_partition_id()))
     first = dealt.groupBy("part").agg(F.min(F.struct("doc", "tie")).alias("first"))
     parts = Window.orderBy("part")
@@ -113,7 +115,7 @@ def following(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("part").orderBy("doc", "tie")
     placed = dealt.withColumn("next", F.lead(F.struct("doc", "tie")).over(order)).join(F.broadcast(after), "part")
     nearest = F.coalesce("next", "after")
-    return store(placed.select("doc", "tie", "n", nearest["doc"].alias("next_doc"), nearest["tie"].alias("next_tie")))
+    return store(placed.select("doc", "tie", "n", "copies", nearest["doc"].alias("next_doc"), nearest["tie"].alias("next_tie")))
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def edits(docs: DataFrame, order: DataFrame) -> DataFrame:
     heads = docs.join(wanted, ["doc", "tie"]).select(
         F.col("of.doc").alias("doc"), F.col("of.tie").alias("tie"),
         F.substring("text", F.lit(1), F.col("k")).alias("head"),
-    )
+    ).dropDuplicates(["doc", "tie"])  # the next document may stand in many rows
     kept = F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int"))
     joined = docs.join(order.select("doc", "tie", "n"), ["doc", "tie"]).join(heads, ["doc", "tie"])
     return joined.select("doc", "tie", "n", "text", F.concat(kept, F.col("head")).alias("edited"))
@@ -167,8 +169,9 @@ def compare_edits(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     queries = paired.where("doc % 20 = 0").select("print").distinct()
     near = within(queries, index, radius).groupBy("print").agg((F.count("*") - 1).alias("n_near"))
     nexts = paired.select(F.col("doc").alias("next_doc"), F.col("tie").alias("next_tie"), F.col("print").alias("next_print"))
-    linked = order.select("doc", "tie", "next_doc", "next_tie").join(nexts, ["next_doc", "next_tie"])
+    linked = order.select("doc", "tie", "copies", "next_doc", "next_tie").join(nexts, ["next_doc", "next_tie"])
     whole = paired.join(linked, ["doc", "tie"]).join(near, "print", "left")
+    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return whole.select(
         F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"),
         "n_chars",

@@ -172,6 +172,15 @@ def test_search_within_a_radius(spark):
     assert got == want
 
 
+def test_repeated_rows_are_one_document_in_a_row_each(make):
+    once = [(1, "first text of some words"), (2, "second text, another one"), (3, "third text"), (4, None)]
+    often = once + [once[1]] * 30 + [once[2]] * 20 + [once[3]]
+    want = {r.doc_id: r for r in fingerprints.compare_edits(make(once)).collect()}
+    got = fingerprints.compare_edits(make(often, extra=True)).collect()
+    assert len(got) == len(often) and all(r == want[r.doc_id] for r in got)
+    assert sum(r.doc_id == 2 for r in got) == 31
+
+
 def test_one_and_no_document(make):
     one = fingerprints.compare_edits(make([(5, "a single text of some words")])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
