@@ -36,20 +36,26 @@ SHINGLE, RADIUS = 3, 3
 TABLES, TABLE_BITS = 60, 14
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Unsigned 64-bit SimHash of a text's lower-cased word shingles; 0 without words."""
+def shingle_hashes(text: bytes, shingle: int):
+    """64-bit hashes of a text's lower-cased word shingles, repeats included; none without words."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, size = b" ".join(words), min(shingle, len(words))
     lengths = np.fromiter(map(len, words), "i8", len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
     spans = zip(starts, ends[size - 1 :].tolist(), strict=False)
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], "<u8")
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], "<u8")
+
+
+def voted(hashes) -> int:
+    """Unsigned 64-bit SimHash of shingle hashes; 0 without any."""
+    import numpy as np
+
     votes = np.zeros(64, "i8")
     for some in range(0, len(hashes), 1 << 16):
         part = hashes[some : some + (1 << 16)].view("u1").reshape(-1, 8)
@@ -57,6 +63,11 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Unsigned 64-bit SimHash of a text's lower-cased word shingles; 0 without words."""
+    return voted(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and print, the fingerprint's bits as a long."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))

@@ -25,7 +25,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """In operator 10's place: of each group of documents with like shingle sets, checked exactly, one stays."""
+    """Operator 10: of its classes' documents with like shingle sets, and of others that alike, one of each group stays."""
     prepare(spark)
     return near_copies.keep_one(docs, SHINGLE, SIMILAR)
 

@@ -72,3 +72,13 @@ def test_buckets_of_unlike_templates_lose_no_pair(make):
     group = least_reachable(list(sets), lambda a, b: like(sets[a], sets[b]))
     assert len(set(group.values())) > 200
     assert kept_of(make(rows)) == set(group.values())
+
+
+def test_classes_of_operator_10_bring_documents_together(make, monkeypatch):
+    """Without MinHash buckets fingerprints alone still do; the exact check keeps unlike sets apart."""
+    monkeypatch.setattr(near_copies, "BANDS", 0)
+    base, other = texts_of(random.Random(5), 2, 4000)
+    words = base.split()
+    words[2000] = "edited"
+    kept = kept_of(make([(1, base), (2, " ".join(words)), (3, other), (4, None), (5, "one two"), (6, "one  TWO")]))
+    assert kept == {1, 3, 4, 5}
