@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commitloom.llm.common import store
+from commitloom.llm.common import free, store
 from commitloom.llm.components import components
 
 def recall(similarity: float, rows: int, bands: int) -> float:
@@ -84,7 +84,9 @@ def sharing_pairs(rest: DataFrame, items: DataFrame, hashes: Callable[[str], Col
     )
     prefix = places.join(sizes, "id").where(F.col("r") <= F.col("m") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
     prefix = prefix.select("h", "id", "class", "n", (F.col("m") - F.col("r")).alias("after"))
-    left = prefix
+    # written, so that both sides of the join read it and what led to it can go from the disks
+    left = prefix = store(prefix)
+    free(items.sparkSession)
     right = prefix.select(
         "h", F.col("id").alias("other"), F.col("class").alias("its"), F.col("n").alias("size"), F.col("after").alias("rest")
     )
@@ -112,6 +114,11 @@ def links(shared: DataFrame, items: DataFrame, hashes: Callable[[str], Column],
 
     `shared` holds the stored members of the buckets.
     """
+    spark = items.sparkSession
     near = store(similar(chosen_pairs(shared), items, hashes, similarity))
+    free(spark)
     rest = store(apart(shared, near))
-    return near.unionByName(store(similar(sharing_pairs(rest, items, hashes, similarity), items, hashes, similarity)))
+    free(spark)
+    sharing = store(sharing_pairs(rest, items, hashes, similarity))
+    free(spark)
+    return near.unionByName(store(similar(sharing, items, hashes, similarity)))
