@@ -153,7 +153,7 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = []
         for path, start, stop in zip(batch["path"], batch["start"], batch["stop"]):
             with ranged.open_file(path) as file:
-                made.append(summary(ranged.tokens(file, start), stop))
+                made.append(summary(ranged.tokens(file, start, size=ranged.block_bytes(stop - start)), stop))
         batch["ends"], batch["commits"] = [m[0] for m in made], [m[1] for m in made]
         yield batch
 
@@ -170,26 +170,29 @@ def _placed(file: pd.DataFrame) -> pd.DataFrame:
 
 
 def _parse_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = []
     for batch in batches:
         for row in batch.itertuples():
-            base, rows = int(row.number) << _CHUNK_BITS, []
+            base, size = int(row.number) << _CHUNK_BITS, ranged.block_bytes(row.stop - row.start)
             with ranged.open_file(row.path) as file:
-                for n, *fields in range_rows(ranged.tokens(file, row.start), row.stop, row.state, row.before):
+                found = ranged.tokens(file, row.start, size=size)
+                for n, *fields in range_rows(found, row.stop, row.state, row.before):
                     rows.append((row.repo_id, base + n, *fields))
                     if len(rows) == _BATCH_ROWS:
                         yield pd.DataFrame(rows, columns=_COLUMNS)
                         rows = []
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+    yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def read_log(spark: SparkSession, root: str, width: int | None = None) -> DataFrame:
     """Commit rows (``pos`` -1) and change rows of all files in one table.
 
-    A task reads ``width`` bytes, by default what Spark gives a task of a file.
+    A range has ``width`` bytes, by default what Spark gives a task of a file; a task
+    reads as many ranges as make up its bytes.
     """
     places = "path string, length long, repo_id string, number long, start long, stop long"
     parts = ranged.ranges(ranged.list_files(spark, root, "log"), width or ranged.range_bytes(spark))
-    tasks = parts.count()
+    tasks = ranged.task_count(parts, F.col("stop") - F.col("start"))
     told = ranged.spread(parts, tasks, "path", "start").mapInPandas(
         _summaries, f"{places}, ends array<int>, commits array<long>"
     )

@@ -8,11 +8,14 @@ S3, GCS) and reads its own bytes, so no row ever holds a file.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
+# what a task reads of many ranges; a range may be smaller
+TASK_BYTES = 32 << 20
 
 
 def list_files(spark: SparkSession, root: str, extension: str) -> DataFrame:
@@ -49,6 +52,17 @@ def ranges(files: DataFrame, width: int) -> DataFrame:
     )
 
 
+def task_count(rows: DataFrame, size: Column) -> int:
+    """Tasks for rows that stand for ``size`` bytes each: one for ``TASK_BYTES``, four a core if there are rows enough.
+
+    It follows from the bytes and not from the number of rows, of which there may be
+    very many: each task costs a start, and every shuffle before it a block.
+    """
+    total, count = rows.agg(F.sum(size), F.count("*")).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(count, max(4 * cores, ceil((total or 0) / TASK_BYTES))))
+
+
 def spread(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
     """Small rows that stand for much work, over a stated number of tasks.
 
@@ -99,8 +113,13 @@ def blocks(file, start: int, size: int = BLOCK_BYTES) -> Iterator[bytes]:
         yield block
 
 
-def tokens(file, start: int, end: bytes = b"\0") -> Iterator[tuple[int, bytes]]:
-    """Place and bytes of every token that starts at ``start`` or later.
+def block_bytes(width: int) -> int:
+    """Bytes to read at once of a range: little beyond its end is read."""
+    return max(4096, min(BLOCK_BYTES, width // 8))
+
+
+def tokens(file, start: int, end: bytes = b"\0", size: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """Place and bytes of every token that starts at ``start`` or later; ``size`` bytes are read at once.
 
     A token starts at the file's first byte or after an ``end`` byte. What follows
     the last ``end`` is a token unless it is empty.
@@ -108,7 +127,7 @@ def tokens(file, start: int, end: bytes = b"\0") -> Iterator[tuple[int, bytes]]:
     at, held, skipping = start, [], start > 0
     if skipping:  # a token starts at `start` only after an end
         at = start - 1
-    for block in blocks(file, at):
+    for block in blocks(file, at, size) if size else blocks(file, at):
         parts = block.split(end)
         if skipping:
             if len(parts) == 1:

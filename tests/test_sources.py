@@ -101,6 +101,26 @@ def test_log_file_is_read_by_many_tasks(spark, tmp_path):
     assert rows(read) == rows(commit_log.parse_chunks(chunks))
 
 
+def test_tasks_follow_the_bytes_and_not_the_ranges(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    one = _raw(*((f"h{k}", k, f"{k % 7}@x", *((("M", f"p{j}") for j in range(k % 9)))) for k in range(4000)))
+    (tmp_path / "r" / "0.log").write_bytes(one)
+    read = commit_log.read_log(spark, str(tmp_path), 256)  # more than 500 ranges
+    assert len(one) / 256 > 500
+    assert len(read.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
+    assert read.where("pos = -1").count() == 4000
+
+
+def test_a_small_range_is_read_in_small_blocks():
+    """What lies far beyond a range's end is not read."""
+    assert ranged.block_bytes(1 << 16) < 1 << 14 and ranged.block_bytes(1 << 40) == ranged.BLOCK_BYTES
+    file = io.BytesIO(b"ab\0" * 100_000)
+    for at, _ in ranged.tokens(file, 0, size=ranged.block_bytes(1 << 10)):
+        if at >= 1 << 10:
+            break
+    assert file.tell() <= 2 * 4096
+
+
 def _document(**changes):
     doc = {
         "schemaVersion": "1.0",
