@@ -75,10 +75,10 @@ _MEMBER_COLUMNS = [field.split()[0] for field in _MEMBER.split(", ")]
 
 def _members(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     """Where each member lies; ``slot`` counts the ranges of about ``width`` bytes."""
+    rows = []
     for batch in batches:
         for archive, repo in zip(batch["path"], batch["repo_id"]):
             with ranged.open_file(archive) as file, tarfile.open(fileobj=file, mode="r:") as tar:
-                rows = []
                 while (entry := tar.next()) is not None:
                     tar.members.clear()  # else the reader keeps every member
                     if entry.isdir():
@@ -94,7 +94,7 @@ def _members(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFra
                     if len(rows) == _BATCH_MEMBERS:
                         yield pd.DataFrame(rows, columns=_MEMBER_COLUMNS)
                         rows = []
-                yield pd.DataFrame(rows, columns=_MEMBER_COLUMNS)
+    yield pd.DataFrame(rows, columns=_MEMBER_COLUMNS)
 
 
 def _followed(members: DataFrame) -> DataFrame:
@@ -152,18 +152,19 @@ def list_members(spark: SparkSession, root: str, width: int | None = None) -> Da
 
 
 def read_members(members: DataFrame) -> DataFrame:
-    """``(repo_id, path, entry_kind, content)`` of the members; each range of an archive is a task's."""
-    slots = members.select("archive", "slot").distinct().count()
+    """``(repo_id, path, entry_kind, content)`` of the members; each range of an archive is read by one task."""
+    tasks = ranged.task_count(members, F.col("size") + tarfile.BLOCKSIZE)
     placed = members.where("link IS NULL").unionByName(_followed(members))
-    dealt = ranged.spread(placed, slots, "archive", "slot").sortWithinPartitions("archive", "header")
+    dealt = ranged.spread(placed, tasks, "archive", "slot").sortWithinPartitions("archive", "header")
     return dealt.mapInPandas(_contents, _SCHEMA)
 
 
 def read_entries(spark: SparkSession, root: str, width: int | None = None) -> DataFrame:
     """``(repo_id, path, entry_kind, content)`` of all archives.
 
-    A task reads the members that start in ``width`` bytes of an archive, by default
-    what Spark gives a task of a file.
+    Members that start in the same ``width`` bytes of an archive, by default what Spark
+    gives a task of a file, are read by one task; a task reads as many such ranges as
+    make up its bytes.
     """
     return read_members(list_members(spark, root, width))
 

@@ -224,6 +224,15 @@ def test_archives_by_ranges(spark, tmp_path, width):
     assert got == want
 
 
+def test_archive_tasks_follow_the_bytes_and_not_the_ranges(spark, tmp_path):
+    _tar(tmp_path / "r" / "0.tar", [(f"f{k}", tarfile.REGTYPE, b"x" * k) for k in range(300)])
+    members = tree.list_members(spark, str(tmp_path), 512)
+    assert members.select("slot").distinct().count() == 300
+    entries = tree.read_members(members)
+    assert entries.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert entries.where("length(content) = substr(path, 2)").count() == 300
+
+
 def test_archive_of_more_than_two_gigabytes(spark, tmp_path):
     """A member too large for a row is passed over; the others are read by several tasks."""
     path, large = tmp_path / "r" / "0.tar", 3 << 30
