@@ -72,7 +72,7 @@ def spread(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
     return rows.repartition(max(1, tasks), *keys)
 
 
-def _store(path: str):
+def store_of(path: str):
     """Arrow's file system of a full path, and the path in it."""
     from urllib.parse import quote
 
@@ -87,13 +87,13 @@ def _store(path: str):
 
 def open_file(path: str):
     """A file of ``list_files`` for reading at any place."""
-    store, place = _store(path)
+    store, place = store_of(path)
     return store.open_input_file(place)
 
 
 def write_file(path: str, content: bytes) -> None:
     """Write a file whole or not at all, however often a task is repeated."""
-    store, place = _store(path)
+    store, place = store_of(path)
     store.create_dir(place.rpartition("/")[0], recursive=True)
     with store.open_output_stream(place + ".part") as file:
         file.write(content)

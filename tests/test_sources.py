@@ -372,6 +372,45 @@ def test_documents_line_by_line(spark, tmp_path, width):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def _named_documents(spark, names, count):
+    none = spark.createDataFrame([], schemas.EDGES), spark.createDataFrame([], schemas.COCHANGES)
+    repos = spark.createDataFrame(
+        [(name, name, None, "main", 1000, 90, count, 1, 1, {"go": 1.0}) for name in names],
+        schemas.REPOS + ", files long, loc long, commits long, languages map<string,double>",
+    )
+    nodes = spark.range(count * len(names)).select(
+        F.get(F.array(*map(F.lit, names)), (F.col("id") % len(names)).cast("int")).alias("repo_id"),
+        F.col("id").cast("string").alias("id"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("parent"),
+        F.lit("p").alias("path"), F.lit("other").alias("layer"), F.lit(1).cast("long").alias("loc"),
+        F.lit(0.5).alias("churn"), F.lit(1).cast("long").alias("commits"), F.lit(1).cast("long").alias("authors"),
+        F.lit(None).cast("long").alias("last_changed_at"),
+    )
+    return documents.document_lines(repos, nodes, *none)
+
+
+def test_lines_of_a_table_are_those_of_the_folder(spark, tmp_path):
+    """Documents in several parts; what lay in the folder before is gone."""
+    names = ["a b", "c", "\u00e9"]
+    lines = _named_documents(spark, names, 200)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "old.txt").write_text("gone")
+    documents.write_documents(lines, str(tmp_path / "out"))
+    assert all(p.name.startswith("part-") for p in (tmp_path / "out").rglob("*") if p.is_file())
+    folder, table_ = documents.read_lines(spark, str(tmp_path / "out")), documents.ordered_lines(lines)
+    assert rows(table_.select(folder.columns)) == rows(folder)
+    tables = documents.line_tables(table_)
+    assert rows(tables["status"]) == [(name, "ok", None) for name in sorted(names)]
+    assert tables["nodes"].count() == 600
+
+
+def test_document_queries_hold_no_whole_document(spark, monkeypatch):
+    from commitloom.plans.queries import QUERIES
+
+    monkeypatch.setattr(documents, "documents", None)
+    for name in ("document_roundtrip", "document_edges", "document_cochanges"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_broken_lines_are_malformed(spark, tmp_path):
     sound = [HEAD, _node(1), "," + _node(2), EDGES, PAIRS, END]
     broken = {
