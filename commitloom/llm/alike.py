@@ -1,7 +1,7 @@
 """Links between sets that are alike: shared MinHash buckets, then the exact Jaccard similarity.
 
 In a bucket every member is held against two chosen ones, which links most of a
-group of like members at a cost linear in the bucket. Members that a bucket still
+group of like members at a cost linear in the bucket. The others that a bucket still
 holds apart after that, in different components, go on to an exact prefix-filter
 join: their elements are ordered by how many of them hold it, rare first, and two
 sets of similarity t must share one of the first n - ceil(t n) + 1 of a set's n
@@ -37,15 +37,17 @@ def points(count: int, seed: int) -> list[int]:
 def members(rows: DataFrame) -> DataFrame:
     """(bucket, id, n, others) of buckets with company; others: the two the bucket has chosen."""
     rows = rows.repartition("bucket")
-    chosen = rows.groupBy("bucket").agg(
-        F.max(F.struct("n", "id"))["id"].alias("most"),
-        F.min(F.col("id").bitwiseXOR(F.col("bucket"))).alias("least"),
-        F.count("*").alias("size"),
-    ).where("size > 1").select(
-        "bucket", F.array_distinct(F.array("most", F.col("least").bitwiseXOR(F.col("bucket")))).alias("others")
-    )
-    # n goes along so that the choice and the join read the same shuffled rows
-    return rows.join(chosen, "bucket").select("bucket", "id", "n", "others")
+    # all columns go along so that the search for company and the join read the same shuffled rows
+    found = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("n").alias("n"))
+    shared = found.where("least < most AND n > 0").select("bucket")
+    # most buckets hold one member: the rows of the few others are picked without a sort of all
+    few = rows.join(shared.hint("shuffle_hash"), "bucket")  # a semi join would go before the shuffle, which then runs twice
+    bucket = Window.partitionBy("bucket")
+    chosen = few.withColumns({
+        "most": F.max(F.struct("n", "id")).over(bucket)["id"],
+        "least": F.min(F.col("id").bitwiseXOR(F.col("bucket"))).over(bucket).bitwiseXOR(F.col("bucket")),
+    })
+    return chosen.select("bucket", "id", "n", F.array_distinct(F.array("most", "least")).alias("others"))
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
@@ -59,9 +61,14 @@ def chosen_pairs(shared: DataFrame) -> DataFrame:
 
 
 def apart(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, class) of the members of buckets that hold more than one class, a component of the links."""
+    """(id, class) of members of buckets that hold more than one class, a component of the links.
+
+    The members a bucket has chosen were held against all others of it; what is left to
+    compare are the others among themselves.
+    """
     found = components(links).withColumnRenamed("node", "id")
-    classed = shared.select("bucket", "id").join(found, "id", "left").select(
+    unchosen = shared.where(~F.array_contains("others", F.col("id")))
+    classed = unchosen.select("bucket", "id").join(found, "id", "left").select(
         "bucket", "id", F.coalesce("component", "id").alias("class")
     )
     mixed = classed.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")

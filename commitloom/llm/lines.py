@@ -31,7 +31,7 @@ from commitloom.llm.common import free, store
 from commitloom.llm.components import components
 
 #: characters of a shingle; signature places of a band, bands; the least similarity
-SHINGLE, ROWS, BANDS, SIMILAR = 8, 4, 10, 0.8
+SHINGLE, ROWS, BANDS, SIMILAR = 8, 4, 11, 0.8
 #: bytes of a character
 UNIT = 2
 BLANKS = " \t\r\x0b\f"
@@ -65,7 +65,7 @@ def places(docs: DataFrame) -> DataFrame:
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """(id, line, n): every different line once, and how often it occurs."""
-    return places(docs).groupBy("id").agg(F.min("line").alias("line"), F.count("*").alias("n"))
+    return places(docs).groupBy("id", "line").agg(F.count("*").alias("n"))
 
 
 def _wide(line: str) -> Column:
@@ -85,12 +85,12 @@ def _hashes(name: str) -> Column:
     The line is bound once, as a list's element: read from its row it would be copied
     for every shingle.
     """
-    def different(data: Column) -> Column:
-        return F.array_distinct(F.transform(
+    def hashed(data: Column) -> Column:
+        return F.transform(
             _shingles(data), lambda start: F.xxhash64(F.substring(data, start, F.lit(SHINGLE * UNIT)))
-        ))
+        )
 
-    return F.get(F.transform(F.array(F.col(name)), different), F.lit(0))
+    return F.array_distinct(F.get(F.transform(F.array(F.col(name)), hashed), F.lit(0)))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -130,42 +130,39 @@ def links(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     return alike.links(shared, some, _hashes, similarity)
 
 
-def kept_places(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """(doc, tie, kept): the places of the lines each document keeps."""
+def gone_places(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """(doc, tie, gone): the places of the lines each document loses."""
     alike = links(docs, similarity)
     free(docs.sparkSession)
     found = components(alike).withColumnRenamed("node", "id")
-    first = places(docs).groupBy("id").agg(F.min("at").alias("at"))
-    classed = first.select("id", "at.*").join(found, "id", "left")
-    grouped = classed.where("component IS NOT NULL").groupBy("component").agg(
-        F.min(F.struct("doc", "tie", "place")).alias("at")
-    ).select("at.*")
-    firsts = grouped.unionByName(classed.where("component IS NULL").select("doc", "tie", "place"))
-    return firsts.groupBy("doc", "tie").agg(F.collect_list("place").alias("kept"))
+    placed = places(docs).select("id", "at.*").join(found, "id", "left").select(
+        F.coalesce("component", "id").alias("component"), "doc", "tie", "place"
+    )
+    first = placed.groupBy("component").agg(
+        F.min(F.struct("doc", "tie", "place")).alias("first"), F.count("*").alias("n")
+    ).where("n > 1").select("component", "first")
+    gone = placed.join(first, "component").where(F.struct("doc", "tie", "place") > F.col("first"))
+    # rows equal in id and text are one document
+    return gone.groupBy("doc", "tie").agg(F.collect_set("place").alias("gone"))
 
 
 def _with_kept(docs: DataFrame, similarity: float) -> DataFrame:
     """The columns but the text as `row`, text, n_lines, n_kept and the text of the kept lines."""
     rows = _identified(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
-    joined = rows.join(kept_places(docs, similarity), ["doc", "tie"], "left")
-    split = joined.select("row", "text", "kept", F.split("text", "\n", -1).alias("lines"))
+    joined = rows.join(gone_places(docs, similarity), ["doc", "tie"], "left")
+    split = joined.select("row", "text", "gone", F.split("text", "\n", -1).alias("lines"))
     # sets of places: each step takes a document's lines once
-    whole = F.when(F.col("lines").isNotNull(), F.sequence(F.lit(0), F.size("lines") - 1))
-    placed = split.select("row", "text", "lines", "kept", whole.alias("places"), F.filter(
-        F.transform("lines", lambda line, place: F.when(_blank(line), place)), lambda place: place.isNotNull()
-    ).alias("blank"))
-    gone = F.array_except(F.array_except("places", F.coalesce("kept", F.array().cast("array<int>"))), "blank")
-    left = placed.select("row", "text", "lines", F.array_except("places", gone).alias("left"))
-    listed = left.select(
-        "row", "text", F.size("lines").alias("n_lines"),
-        F.transform("left", lambda place: F.get("lines", place)).alias("kept"),
-    )
-    return listed.select(
+    left = split.select("row", "text", "lines", F.when(
+        F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    ).alias("left"))
+    kept = F.transform("left", lambda place: F.get("lines", place))
+    return left.select(
         "row",
         "text",
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("kept")).cast("long").alias("n_kept"),
-        F.array_join("kept", "\n").alias("kept_text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).when(F.col("left").isNull(), F.size("lines"))
+        .otherwise(F.size("left")).cast("long").alias("n_kept"),
+        F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
 
 

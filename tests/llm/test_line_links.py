@@ -4,7 +4,7 @@ import random
 
 from test_duplicates import shingles
 
-from commitloom.llm import lines
+from commitloom.llm import alike, lines
 
 
 def likeness(a, b):
@@ -36,3 +36,13 @@ def test_lines_at_the_threshold_are_found(make):
     gone = {r.doc_id: r.n_removed for r in lines.line_classes(make([(1, "\n".join(own)), (2, "\n".join(copies))])).collect()}
     share = lines.recall(0.8)  # of pairs at the threshold; four standard deviations below it
     assert gone[1] == 0 and gone[2] >= 1000 * share - 4 * (1000 * share * (1 - share)) ** 0.5 > 980
+
+
+def test_pairs_a_bucket_has_held_are_not_sought_again(spark):
+    """Of three members two are chosen, so all pairs were compared; of five, three are left to compare."""
+    rows = [(1, member, 1) for member in (10, 11, 12)] + [(2, member, 1) for member in (20, 21, 22, 23, 24)] + [(3, 30, 1)]
+    shared = alike.members(spark.createDataFrame(rows, "bucket long, id long, n long"))
+    chosen = {(r.bucket, tuple(sorted(r.others))) for r in shared.collect()}
+    assert chosen == {(1, (11, 12)), (2, (22, 24))} and shared.count() == 8
+    nothing = spark.createDataFrame([], "a long, b long")
+    assert sorted(r.id for r in alike.apart(shared, nothing).collect()) == [20, 21, 23]
