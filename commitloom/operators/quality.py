@@ -159,9 +159,8 @@ def _problem(path: Column, message: str | Column) -> Column:
     return F.struct(path.alias("path"), message.alias("message"))
 
 
-def _object_problems(value: Column, at: Column, fields: dict[str, Check]) -> Column:
-    """Array of ``(path, message)`` of one JSON object, or of a non-object."""
-    keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+def _object_problems(value: Column, keys: Column, at: Column, fields: dict[str, Check]) -> Column:
+    """Array of ``(path, message)`` of one JSON object with these keys, or of a non-object."""
     found = []
     for name, check in fields.items():
         field = F.try_variant_get(value, f"$.{name}", "variant")
@@ -186,48 +185,67 @@ def _object_problems(value: Column, at: Column, fields: dict[str, Check]) -> Col
     ).otherwise(wrong)
 
 
-def _list_problems(docs: DataFrame, name: str, fields: dict[str, Check]) -> DataFrame:
-    elements = docs.select(
-        "repo_id", F.posexplode(F.try_variant_get("v", f"$.{name}", "array<variant>"))
-    )
-    at = F.concat(F.lit(f"/{name}/"), F.col("pos").cast("string"))
-    return elements.select("repo_id", F.inline(_object_problems(F.col("col"), at, fields)))
+# The lists of a document, and what holds for their elements.
+LISTS = {"/nodes": NODE, "/edges": EDGE, "/cochanges": PAIR}
+OBJECTS = {"": ROOT, "/repo": REPO, "/repo/stats": STATS}
+SHARES = "/repo/stats/languages"
 
 
-def validate_documents(docs: DataFrame) -> DataFrame:
-    """``(repo_id, path, message)`` for every contract violation of ``docs(repo_id, raw)``."""
-    parsed = docs.select("repo_id", F.try_parse_json("raw").alias("v"))
-    broken = parsed.where(F.col("v").isNull()).select(
-        "repo_id", F.lit("/").alias("path"), F.lit("must be valid JSON").alias("message")
-    )
-    valid = parsed.where(F.col("v").isNotNull())
-    root = valid.select("repo_id", F.inline(_object_problems(F.col("v"), F.lit(""), ROOT)))
+def _path(part: str) -> str:
+    return "$" + part.replace("/", ".")
+
 
-    def nested(path: str, at: str, fields: dict[str, Check]) -> DataFrame:
-        value = F.try_variant_get("v", path, "variant")
-        return valid.where(is_type(value, "object")).select(
-            "repo_id", F.inline(_object_problems(value, F.lit(at), fields))
+def _parts(part: Column) -> Column:
+    """Array of ``(at, value)`` of what a part of the document ``v`` has to be checked."""
+    def one(at: Column, value: Column) -> Column:
+        return F.struct(at.alias("at"), value.alias("value"))
+
+    def own(at: str) -> Column:
+        value = F.try_variant_get("v", _path(at), "variant")
+        return F.when(is_type(value, "object"), F.array(one(F.lit(at), value)))
+
+    def elements(at: str) -> Column:
+        return F.transform(
+            F.try_variant_get("v", _path(at), "array<variant>"),
+            lambda value, place: one(F.concat(F.lit(f"{at}/"), place.cast("string")), value),
         )
 
-    shares = valid.select(
-        "repo_id",
-        F.explode(F.try_variant_get("v", "$.repo.stats.languages", "map<string,variant>"))
-        .alias("name", "share"),
+    shares = F.transform(
+        F.map_entries(F.try_variant_get("v", _path(SHARES), "map<string,variant>")),
+        lambda entry: one(F.concat(F.lit(f"{SHARES}/"), entry["key"]), entry["value"]),
     )
-    at = F.concat(F.lit("/repo/stats/languages/"), F.col("name"))
-    share_problems = F.array_compact(
-        F.array(*[F.when(b, _problem(at, m)) for b, m in _share(F.col("share"))])
+    # the root is checked in any case, also where there is no valid document
+    found = F.when(part == "", F.array(one(F.lit(""), F.col("v")))).when(part == SHARES, shares)
+    for at in OBJECTS:
+        if at:
+            found = found.when(part == at, own(at))
+    for at in LISTS:
+        found = found.when(part == at, elements(at))
+    return found
+
+
+def validate_documents(docs: DataFrame) -> DataFrame:
+    """``(repo_id, path, message)`` for every contract violation of ``docs(repo_id, raw)``.
+
+    A text is parsed once; a part of it after the other is cut into the values to check.
+    Checks cost far more than their bytes, so the texts are dealt to all tasks first, as
+    many as the session shuffles to whatever the bytes.
+    """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parsed = docs.repartition(tasks, "repo_id", "raw").select("repo_id", F.try_parse_json("raw").alias("v"))
+    parts = [*OBJECTS, SHARES, *LISTS]
+    each = parsed.select("repo_id", "v", F.explode(F.array(*[F.lit(part) for part in parts])).alias("part"))
+    values = each.select("repo_id", "part", F.inline(_parts(F.col("part"))))
+    keyed = values.select(
+        "*", F.map_keys(F.try_variant_get("value", "$", "map<string,variant>")).alias("keys")
     )
-    tables = [
-        broken, root,
-        nested("$.repo", "/repo", REPO),
-        nested("$.repo.stats", "/repo/stats", STATS),
-        shares.select("repo_id", F.inline(share_problems)),
-        _list_problems(valid, "nodes", NODE),
-        _list_problems(valid, "edges", EDGE),
-        _list_problems(valid, "cochanges", PAIR),
-    ]
-    return reduce(DataFrame.unionByName, tables)
+    at, value = F.col("at"), F.col("value")
+    problems = F.when((F.col("part") == "") & value.isNull(), F.array(_problem(F.lit("/"), "must be valid JSON"))).when(
+        F.col("part") == SHARES, F.array_compact(F.array(*[F.when(b, _problem(at, m)) for b, m in _share(value)]))
+    )
+    for part, fields in {**OBJECTS, **LISTS}.items():
+        problems = problems.when(F.col("part") == part, _object_problems(value, F.col("keys"), at, fields))
+    return keyed.select("repo_id", F.inline(problems))
 
 
 def document_order(docs: DataFrame) -> DataFrame:

@@ -195,6 +195,17 @@ def test_contract_violations(spark):
     assert rows(quality.validate_documents(docs)) == sorted(want, key=repr)
 
 
+def test_a_document_is_read_once_for_all_its_checks(spark, tmp_path):
+    share = _change(("repo", "stats", "languages", "go"), None)
+    _docs(spark, share, _change(("nodes",), [None, 1])).write.parquet(f"{tmp_path}/docs")
+    checked = quality.validate_documents(spark.read.parquet(f"{tmp_path}/docs"))
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert rows(checked) == [
+        ("0", "/repo/stats/languages/go", "must be number"),
+        ("1", "/nodes/0", "must be object"), ("1", "/nodes/1", "must be object"),
+    ]
+
+
 def test_load_status(spark):
     docs = _docs(
         spark, _document(), "{", _change(("schemaVersion",), KeyError), _change(("schemaVersion",), "one"),
