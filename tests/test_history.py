@@ -336,3 +336,16 @@ def test_bad_anchor_is_an_error():
 def test_schema_strings_parse(spark):
     for schema in (schemas.NODES, schemas.EDGES, schemas.DOCUMENT):
         assert spark.createDataFrame([], schema).columns
+
+
+def test_hot_keys_share_a_hash_with_others_and_pairs_need_no_lambda(spark, monkeypatch):
+    """Two keys whose hash is one are told apart; a key is named only if its own rows are many."""
+    from commitloom.operators import cochange, skew
+
+    monkeypatch.setattr(skew, "BUCKETS", 2)
+    keys = spark.createDataFrame([("r", k % 7 if k < 700 else 9) for k in range(1000)], "repo_id string, seq long")
+    found = {(r.seq, r._splits) for r in skew.hot_keys(keys, ["repo_id", "seq"], 150).collect()}
+    assert found == {(9, 2)} and skew.hot_keys(keys, ["repo_id", "seq"], 1000).count() == 0
+    touched = spark.createDataFrame([], "repo_id string, seq long, path string, id string, module string")
+    pairs = cochange.pair_counts(touched, ALL_TIME)
+    assert "lambdafunction" not in pairs._jdf.queryExecution().analyzed().toString()
