@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 import sys
@@ -46,11 +47,19 @@ def free(spark: SparkSession) -> None:
     files on the executors' disks to its end.
     """
     for _ in range(2):  # what Python lets go first reaches the JVM a moment later
-        gc.collect()
+        release()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
 
 
+def release() -> None:
+    """Give memory that Python no longer uses back to the system, where the C library keeps it."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def new_folder(spark: SparkSession) -> str:
     return f"{session.run_folder(spark)}/llm-{uuid.uuid4().hex}"
 

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commitloom.llm.common import binary, received, send
+from commitloom.llm.common import binary, received, send, release
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: most labelled documents learned from
@@ -178,7 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     listed = [
         (np.frombuffer(r.places, "i4"), np.frombuffer(r.counts, "f4"), np.frombuffer(r.stats, "f8")) for r in found
     ]
-    return learn(listed, [int(r.quality > 0) for r in found])
+    machine = learn(listed, [int(r.quality > 0) for r in found])
+    # the driver goes on to other stages; what training took would stay with its process
+    del found, listed
+    release()
+    return machine
 
 
 def _features(batches: Iterator) -> Iterator:

@@ -136,3 +136,18 @@ def test_identity_of_the_pairwise_sum():
         for j in range(i):
             total += machine.factors[places[i]] @ machine.factors[places[j]] * x[i] * x[j]
     assert machine.score(at, values, stats) == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_freed_memory_goes_back_to_the_system():
+    from pathlib import Path
+
+    from commitloom.llm import common
+
+    def held():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    blocks = [bytes(2000) for _ in range(100_000)]
+    last, full = blocks[-1], held()
+    del blocks
+    common.release()
+    assert last is not None and full - held() > 100e6
