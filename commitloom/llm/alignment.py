@@ -7,7 +7,7 @@ brought back to the documents.
 
 Ordinary documents are cut at words: before a space or a single line end that
 follows a word neither tokenizer joins anything, so a word's groups are the same in
-every text and are remembered. Documents go in chunks of bounded size. A chunk's
+every text and are remembered; words not known are encoded many at a time, as one text. Documents go in chunks of bounded size. A chunk's
 different pairs, each with the number of its documents, are the rows that shuffle;
 they are summed to the corpus counts and joined back to the chunks.
 
@@ -41,6 +41,8 @@ LONG, RANGE = 1 << 16, 1 << 14
 FAN = 16
 #: words and characters of words one worker remembers
 REMEMBERED, REMEMBERED_CHARS = 200_000, 8 << 20
+#: words that are encoded as one text
+TOGETHER = 256
 #: a chunk has no more documents than these, and about as many pairs at most
 CHUNK_DOCS, CHUNK_PAIRS = 8_000, 3_000_000
 
@@ -49,6 +51,8 @@ SOLID = "[^\\s\u180e\u200b\ufeff\u2581]"
 CUTS = rf"(?<={SOLID})(?= |\n{SOLID})"
 #: a text in which every space and line end stands between two words has none of these
 UNEVEN = "[^\\S \n]|[ \n][ \n]|[\0\u180e\u200b\ufeff\u2581]"
+#: a part that stands in a text of such parts as it stands alone
+PLAIN = rf"[ \n]{SOLID}(?:[^\u2581]*{SOLID})?"
 
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 CHUNKS = (
@@ -109,6 +113,41 @@ class Pair:
 
         return np.cumsum(sizes[ids])
 
+    def words(self, parts: list[str], plain: int):
+        """(a, b, n_a, n_b, valid): ids of A and of B of parts that both encode apart, and how many are of each part.
+
+        The first `plain` parts are `PLAIN`. A part that is not exact has no ids: its text
+        has no tokens, so what it would add is never read.
+        """
+        import numpy as np
+
+        starts = range(0, plain, TOGETHER)
+        ends = [min(start + TOGETHER, plain) for start in starts]
+        texts = ["".join(parts[x:y]) for x, y in zip(starts, ends, strict=True)]
+        sizes = np.fromiter((len(p.encode()) for p in parts[:plain]), "i8", plain)
+        counts, valid, found, odd = np.zeros((2, len(parts)), "i8"), np.zeros(len(parts), bool), [], []
+        for x, y, text, *ids in zip(starts, ends, texts, *self.encode(texts), strict=True):
+            own = [np.array(i, "i8") for i in ids]
+            if self.exact(text, *ids):
+                stops = np.cumsum(sizes[x:y])
+                byte = [self.ends(i, size) for i, size in zip(own, (self.sizes_a, self.sizes_b), strict=True)]
+                last = [np.searchsorted(e, stops) for e in byte]
+                if all((e[at] == stops).all() for e, at in zip(byte, last, strict=True)):
+                    counts[:, x:y], valid[x:y] = [np.diff(at, prepend=-1) for at in last], True
+                    found.append((x, own))
+                    continue
+            odd += range(x, y)
+        odd += range(plain, len(parts))
+        alone = [parts[k] for k in odd]
+        for k, part, *ids in zip(odd, alone, *self.encode(alone), strict=True):
+            if self.exact(part, *ids):
+                counts[:, k], valid[k] = [len(i) for i in ids], True
+                found.append((k, [np.array(i, "i8") for i in ids]))
+        found.sort(key=lambda x: x[0])
+        none = np.zeros(0, "i8")
+        a, b = (np.concatenate([none, *(own[side] for _, own in found)]) for side in (0, 1))
+        return a, b, *counts, valid
+
 
 def pair_of(tokenizers: tuple[str, str]) -> Pair:
     """This worker's tokenizers."""
@@ -125,6 +164,7 @@ class Words:
         import re
 
         self.own, self.uneven, self.cuts = own, re.compile(UNEVEN).search, re.compile(CUTS).split
+        self.plain = re.compile(PLAIN).fullmatch
         self.clear()
 
     def clear(self) -> None:
@@ -135,6 +175,32 @@ class Words:
         self.valid = np.zeros(0, bool)
         self.counts = np.zeros((4, 0), "i8")
         self.starts, self.links, self.chars = np.zeros(1, "i8"), np.zeros(0, "i8"), 0
+        self.asked = np.zeros(0, "i8")
+
+    def forget(self) -> None:
+        """Let go what was asked for once, or everything if that is too little."""
+        import numpy as np
+
+        kept = np.flatnonzero(self.asked > 1)
+        keys = list(self.place)
+        keys = [keys[k] for k in kept.tolist()]
+        chars = sum(map(len, keys))
+        if len(keys) > REMEMBERED // 2 or chars > REMEMBERED_CHARS // 2:
+            self.clear()
+            return
+        places = self._places(kept)
+        self.links, self.starts = self.links[places], np.concatenate([[0], np.cumsum(self.counts[3, kept])])
+        self.place, self.groups = dict(zip(keys, range(len(keys)), strict=True)), [self.groups[k] for k in kept.tolist()]
+        self.valid, self.counts, self.chars = self.valid[kept], self.counts[:, kept], chars
+        self.asked = np.zeros(len(keys), "i8")
+
+    def _places(self, words):
+        """Places of the links of some words."""
+        import numpy as np
+
+        starts, ends = self.starts[words], self.starts[words + 1]
+        each = ends - starts
+        return np.arange(each.sum()) + np.repeat(starts - (np.cumsum(each) - each), each)
 
     def split(self, text: str) -> list[str]:
         """Keys of the parts of a text: a part without its space, or one that starts otherwise."""
@@ -149,20 +215,19 @@ class Words:
         """Have every key of some texts at hand."""
         import numpy as np
 
-        new = list(set().union(*texts).difference(self.place))
+        keys = set().union(*texts)
+        new = keys.difference(self.place)
         if len(self.place) + len(new) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self.clear()
-            new = list(set().union(*texts))
+            self.forget()
+            new = keys.difference(self.place)
+        keys -= new
+        self.asked[np.fromiter(map(self.place.__getitem__, keys), "i8", len(keys))] += 1
         if not new:
             return
-        parts = [k if k[:1] == "\n" else k[1:] if k[:1] == "\0" else " " + k for k in new]
-        ids_a, ids_b = self.own.encode(parts)
-        valid = [self.own.exact(*x) for x in zip(parts, ids_a, ids_b, strict=True)]
-        for k, sound in enumerate(valid):
-            if not sound:  # its text has no tokens, so what it would add is never read
-                ids_a[k], ids_b[k] = [], []
-        n_a, n_b = (np.fromiter(map(len, ids), "i8", len(new)) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter((x for some in ids for x in some), "i8") for ids in (ids_a, ids_b))
+        parts = {k: k if k[:1] == "\n" else k[1:] if k[:1] == "\0" else " " + k for k in new}
+        plain = [k for k, part in parts.items() if self.plain(part)]
+        new = [*plain, *parts.keys() - set(plain)]
+        a, b, n_a, n_b, valid = self.own.words([parts[k] for k in new], len(plain))
         ends_a, ends_b = self.own.ends(a, self.own.sizes_a), self.own.ends(b, self.own.sizes_b)
         groups_a, groups_b, n = fragments.group_ends(ends_a, ends_b)
         # a word ends a group, so a group is of one word
@@ -175,16 +240,17 @@ class Words:
         each = np.bincount(groups_b, minlength=n)[groups_a]
         starts_b = np.searchsorted(groups_b, groups_a)
         places = np.arange(each.sum()) + np.repeat(starts_b - (np.cumsum(each) - each), each)
-        made = fragments.written(a, b, groups_a, groups_b, n)
-        ends = np.cumsum(n_groups).tolist()
+        made, chars = fragments.written(a, b, groups_a, groups_b, n)
+        stops = np.concatenate([[0], chars])[np.cumsum(n_groups)].tolist()
         at = len(self.place)
         self.place.update(zip(new, range(at, at + len(new)), strict=True))
-        self.groups += [";".join(made[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+        self.groups += [made[x : max(x, y - 1)] for x, y in zip([0, *stops], stops, strict=False)]
         self.valid = np.concatenate([self.valid, valid])
         self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, n_links])], axis=1)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n_links)])
         self.links = np.concatenate([self.links, fragments.pair(np.repeat(a, each), b[places])])
         self.chars += sum(map(len, new))
+        self.asked = np.concatenate([self.asked, np.ones(len(new), "i8")])
 
     def text(self, keys: list[str]):
         """Counts, digest, pairs and times of a text whose keys are at hand; None without tokens."""
@@ -196,10 +262,7 @@ class Words:
         at = np.array(words)
         if not self.valid[at].all():
             return None
-        starts, ends = self.starts[at], self.starts[at + 1]
-        each = ends - starts
-        places = np.arange(each.sum()) + np.repeat(starts - (np.cumsum(each) - each), each)
-        pairs, times = np.unique(self.links[places], return_counts=True)
+        pairs, times = np.unique(self.links[self._places(at)], return_counts=True)
         digest = hashlib.sha256(";".join(map(self.groups.__getitem__, words)).encode()).hexdigest()
         return self.counts[:, at].sum(axis=1).tolist(), digest, pairs, times
 
@@ -347,7 +410,7 @@ def _fragments(batches: Iterator, tokenizers: tuple[str, str]) -> Iterator:
             rows.append((
                 key, place, doc_id, True, len(a) + len(edge.head[0]) + len(edge.tail[0]),
                 len(b) + len(edge.head[1]) + len(edge.tail[1]), n, int(times.sum()), edge.closed, place,
-                *edge.head, *edge.tail, ";".join(fragments.written(a, b, groups_a, groups_b, n)), pairs, times,
+                *edge.head, *edge.tail, fragments.written(a, b, groups_a, groups_b, n)[0][:-1], pairs, times,
             ))
         yield _row_batch(rows, FRAGMENTS)
 

@@ -163,3 +163,30 @@ def test_links_of_large_groups_are_counted(monkeypatch):
     few = fragments.counted(*fragments.links(a, b, groups_a, groups_b, 3))
     assert all((x == y).all() for x, y in zip(plain, few, strict=True))
     assert plain[1].sum() == sum((groups_a == g).sum() * (groups_b == g).sum() for g in range(3))
+
+
+def test_words_are_encoded_together(library, monkeypatch):
+    """Words not known go to the tokenizers as a few texts, and what was asked for twice is still known later."""
+    own, asked = alignment.Pair(A, B), []
+    encode = own.encode
+    monkeypatch.setattr(own, "encode", lambda parts: asked.extend(parts) or encode(parts))
+    monkeypatch.setattr(alignment, "REMEMBERED", 3000)
+    rng, words = random.Random(5), alignment.Words(own)
+
+    def drawn(count):
+        return ["".join(rng.choices("abcéß的'1▁.-", k=rng.randint(1, 9))) for _ in range(count)]
+
+    common = [w for w in drawn(600) if "▁" not in w]
+    for _ in range(6):
+        text = " ".join(common + [w for w in drawn(1500) if "▁" not in w]) + "\nx" + " \ty"
+        keys = words.split(text)
+        asked.clear()
+        words.learn([keys])
+        (n_a, n_b, n_groups, n_links), digest, pairs, times = words.text(keys)
+        assert [(text, n_a, n_b, n_groups, n_links, digest)] == [(text, *r[1:6]) for r in library.rows([(0, text)])]
+        assert len(asked) < 30  # before: each word for itself
+        assert len(words.place) <= 3000
+    assert sum(len(a) for a in asked) < len(text) - sum(map(len, common))
+    keys = words.split("a▁b fine x▁")  # a word that is not exact does not spoil those beside it
+    words.learn([keys])
+    assert words.text(keys) is None and words.text(["fine"]) is not None
