@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from commitloom.llm.common import free, store
 from commitloom.llm.components import components
 
+#: an element's count, as far as it orders elements
+MOST_HELD = (1 << 20) - 1
+
+
 def recall(similarity: float, rows: int, bands: int) -> float:
     """The probability that two sets of a similarity share a bucket."""
     return 1 - (1 - similarity**rows) ** bands
@@ -82,15 +86,21 @@ def sharing_pairs(rest: DataFrame, items: DataFrame, hashes: Callable[[str], Col
     """
     sets = items.join(rest, "id").select("id", "class", hashes("data").alias("h"))
     sizes = store(sets.select("id", "class", F.size("h").alias("n")))
-    each = sets.select("id", F.explode("h").alias("h"))
-    held = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    order = Window.partitionBy("id").orderBy("c", "h")
+    # as in `members`: counts and join read the same shuffled rows, and only elements of several sets are looked up
+    each = sets.select("id", F.explode("h").alias("h")).repartition("h")
+    counted = each.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("least"), F.max("id").alias("most"))
+    held = counted.where("least < most").select("h", "c")
+    # rare first: one number an element, of its count and its hash, is sorted within each set; two elements of
+    # one number make a pair more to compare, never one less
+    number = F.shiftleft(F.least("c", F.lit(MOST_HELD)), 43).bitwiseOR(F.shiftrightunsigned("h", 21))
+    numbered = each.join(held.hint("shuffle_hash"), "h").select("id", number.alias("h")).repartition("id")
+    listed = numbered.groupBy("id").agg(F.sort_array(F.collect_list("h")).alias("h")).join(sizes, "id")
     # a set of n elements, m of them shared, is let go unless m - ceil(t n) + 1 of those are in its prefix
-    places = each.join(held, "h").select(
-        "*", F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy("id")).alias("m")
-    )
-    prefix = places.join(sizes, "id").where(F.col("r") <= F.col("m") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
-    prefix = prefix.select("h", "id", "class", "n", (F.col("m") - F.col("r")).alias("after"))
+    m = F.size("h")
+    length = (m - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    prefix = listed.where(length > 0).select(
+        "id", "class", "n", m.alias("m"), F.posexplode(F.slice("h", F.lit(1), length)).alias("r", "h")
+    ).select("h", "id", "class", "n", (F.col("m") - F.col("r") - 1).alias("after"))
     # written, so that both sides of the join read it and what led to it can go from the disks
     left = prefix = store(prefix)
     free(items.sparkSession)

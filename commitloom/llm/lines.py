@@ -32,8 +32,8 @@ from commitloom.llm.components import components
 
 #: characters of a shingle; signature places of a band, bands; the least similarity
 SHINGLE, ROWS, BANDS, SIMILAR = 8, 4, 11, 0.8
-#: bytes of a character
-UNIT = 2
+#: bytes of a character; shingles of one row
+UNIT, TOGETHER = 2, 16
 BLANKS = " \t\r\x0b\f"
 
 
@@ -100,13 +100,22 @@ def signatures(lines: DataFrame) -> DataFrame:
     likely to be any shingle's, and two sets agree in it with the probability of
     their Jaccard similarity.
     """
-    wide = lines.select("id", "n", _wide("line").alias("data"))
-    starts = wide.select("id", "n", "data", F.explode(_shingles(F.col("data"))).alias("start"))
-    hashes = starts.select("id", "n", F.xxhash64(F.substring("data", F.col("start"), F.lit(SHINGLE * UNIT))).alias("h"))
-    short = hashes.select("id", "n", F.shiftright("h", 32).cast("int").alias("h"))
-    return short.groupBy("id").agg(
+    wide = lines.select("id", "n", _wide("line").alias("data")).withColumn(
+        "last", F.greatest(F.lit(1), F.octet_length("data") - (SHINGLE * UNIT - 1))
+    )
+    starts = wide.select(
+        "id", "n", "data", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(TOGETHER * UNIT))).alias("start")
+    )
+    # a place is brought up to date once for several shingles; behind the last one it is taken again
+    each = [F.least(F.col("start") + k * UNIT, F.col("last")) for k in range(TOGETHER)]
+    hashes = starts.select("id", "n", *(
+        F.shiftright(F.xxhash64(F.substring("data", start, F.lit(SHINGLE * UNIT))), 32).cast("int").alias(f"h{k}")
+        for k, start in enumerate(each)
+    ))
+    return hashes.groupBy("id").agg(
         F.max("n").alias("n"),
-        *(F.min(F.col("h").bitwiseXOR(F.lit(point))).alias(f"s{k}") for k, point in enumerate(alike.points(ROWS * BANDS, 4))),
+        *(F.min(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(point)) for j in range(TOGETHER)))).alias(f"s{k}")
+          for k, point in enumerate(alike.points(ROWS * BANDS, 4))),
     )
 
 
