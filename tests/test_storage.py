@@ -96,6 +96,18 @@ def test_specifiers_without_a_lookup_path_are_not_joined(spark, monkeypatch):
     assert rows(answered, "specifier") == [("../y",), ("./b",), ("./gone",)]
 
 
+def test_python_imports_are_looked_up_only_by_paths_they_have(spark, monkeypatch):
+    written = watched(monkeypatch, python_imports)
+    nodes = universe(spark, ("a.py", "file", None), ("p/__init__.py", "file", "p/"), ("p/q.py", "file", "p/"))
+    found = python_imports.extract(files(spark, {"a.py": "from p import q, r\nimport os\nfrom .. import up"}))
+    resolved = python_imports.resolve(python_imports.imports(found), nodes)
+    assert rows(resolved, "ord", "specifier", "outcome", "target") == [
+        (0, "p", "edge", "p/q.py"), (1, "p", "edge", "p/__init__.py"), (2, "os", "external-import", None),
+        (3, "..", "unresolved-import", None),
+    ]
+    assert [rows(df, "ord") for df in written if "best" in df.columns] == [[(0,), (1,)], [(1,), (2,)]]
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     day = datetime.datetime(1998, 1, 1)
