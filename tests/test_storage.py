@@ -124,6 +124,16 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_edge_union_keeps_only_edges(spark, folder):
+    before = stored(spark)
+    found = QUERIES["edge_union"](spark, folder)
+    left = [columns for k, (columns, _) in stored(spark).items() if k not in before]
+    assert left == [["repo_id", "source", "target", "kind", "weight"]] * 2
+    both = QUERIES["import_resolve"](spark, folder).unionByName(QUERIES["python_resolve"](spark, folder))
+    assert rows(found, "source", "target") == rows(both.where("outcome = 'edge'").select("source", "target").distinct())
+    assert found.count() > 0
+
+
 def test_resolved_scripts_let_their_files_go(spark, folder):
     before = stored(spark)
     assert QUERIES["import_resolve"](spark, folder).count() == 60
